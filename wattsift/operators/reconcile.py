@@ -5,10 +5,14 @@ holds one of them unchanged, shifted by at most d. Segments become equi-join key
 text length, so no pair within d is missed and texts are compared only where a segment agrees.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattsift.functions.distance import edit_distance
 from wattsift.functions.text import comparable
+from wattsift.session import written
 
 
 def _segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
@@ -23,18 +27,28 @@ def _letters(letters: str) -> Column:
     return F.length("norm") - F.length(F.translate("norm", letters, ""))
 
 
-def _keyed(rows: DataFrame, key: Column) -> DataFrame:
-    return rows.select(
-        "id", key.alias("key"), _letters("etaoins").alias("common"), _letters("hrdlu ").alias("other")
-    )
+def _keyed(texts: DataFrame, keys: Callable[[Column, Column], Column]) -> DataFrame:
+    """One row per key; the text itself stays behind.
+
+    Folded texts are ASCII, so they are cut as bytes: any part is found without walking the text.
+    """
+    counts = [_letters("etaoins").alias("common"), _letters("hrdlu ").alias("other")]
+    rows = texts.select("id", *counts, F.col("norm").cast("binary").alias("bytes"))
+    parts = rows.select("id", "common", "other", keys(F.col("bytes"), F.length("bytes")).alias("keys"))
+    # The outer form keeps the optimiser from also evaluating the keys in a filter on the text's scan.
+    return parts.select("id", "common", "other", F.explode_outer("keys").alias("key"))
 
 
 def _indexed(texts: DataFrame, d: int) -> DataFrame:
     """Keys of every text's own segments."""
-    i = F.col("i")
-    start, size = _segment(F.length("norm"), i, d + 1)
-    rows = texts.select("id", "norm", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("i"))
-    return _keyed(rows, F.xxhash64(F.length("norm"), i, F.col("norm").substr(start, size)))
+
+    def keys(text: Column, length: Column) -> Column:
+        def key(i: Column) -> Column:
+            return F.xxhash64(length, i, text.substr(*_segment(length, i, d + 1)))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(d)), key)
+
+    return _keyed(texts, keys)
 
 
 def _probed(texts: DataFrame, d: int) -> DataFrame:
@@ -43,15 +57,22 @@ def _probed(texts: DataFrame, d: int) -> DataFrame:
     Some segment ``i`` is shared with at most ``i`` edits before it and ``d - i`` after it, which
     bounds its shift from both ends.
     """
-    mine, i = F.length("norm"), F.col("i")
-    rows = texts.select("id", "norm", F.explode(F.sequence(F.greatest(mine - d, F.lit(0)), mine + d)).alias("near"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("i"))
-    start, size = _segment(F.col("near"), i, d + 1)
-    gap = mine - F.col("near")
-    low = F.greatest(start - i, start + gap - (F.lit(d) - i), F.lit(1))
-    high = F.least(start + i, start + gap + (F.lit(d) - i), mine - size + 1)
-    rows = rows.select("*", size.alias("size"), F.explode(F.when(low <= high, F.sequence(low, high))).alias("at"))
-    return _keyed(rows, F.xxhash64("near", "i", F.col("norm").substr(F.col("at"), F.col("size"))))
+
+    def keys(text: Column, mine: Column) -> Column:
+        def places(near: Column, i: Column) -> Column:
+            start, size = _segment(near, i, d + 1)
+            gap = mine - near
+            low = F.greatest(start - i, start + gap - (F.lit(d) - i), F.lit(1))
+            high = F.least(start + i, start + gap + (F.lit(d) - i), mine - size + 1)
+            at_all = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+            return F.transform(at_all, lambda at: F.xxhash64(near, i, text.substr(at, size)))
+
+        def segments(near: Column) -> Column:
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(d)), lambda i: places(near, i)))
+
+        return F.flatten(F.transform(F.sequence(F.greatest(mine - d, F.lit(0)), mine + d), segments))
+
+    return _keyed(texts, keys)
 
 
 def _candidates(left: DataFrame, right: DataFrame, d: int, busy: int) -> DataFrame:
@@ -98,6 +119,8 @@ def reconcile(a: DataFrame, b: DataFrame, max_distance: int = 2, busy: int = 100
         .unionByName(folded(b).select("norm", F.lit(None).cast("bigint").alias("id_a"), F.col("id").alias("id_b")))
         .groupBy("norm").agg(F.max("id_a").alias("id_a"), F.max("id_b").alias("id_b"))
     )
+    # Both corpora are folded once; the steps below read the written table, some of them ids only.
+    both = written(both, "folded")
     exact = both.filter("id_a IS NOT NULL AND id_b IS NOT NULL").select(
         "id_a", "id_b", F.lit(0).cast("bigint").alias("distance")
     )
@@ -109,6 +132,6 @@ def reconcile(a: DataFrame, b: DataFrame, max_distance: int = 2, busy: int = 100
     texts = candidates.join(only_a.select(F.col("id").alias("id_a"), F.col("norm").alias("norm_a")), "id_a").join(
         only_b.select(F.col("id").alias("id_b"), F.col("norm").alias("norm_b")), "id_b"
     )
-    distance = F.levenshtein("norm_a", "norm_b", max_distance).cast("bigint")
+    distance = edit_distance(max_distance)(F.col("norm_a"), F.col("norm_b"))
     near = texts.select("id_a", "id_b", distance.alias("distance")).filter(F.col("distance") >= 0)
     return exact.unionByName(near)

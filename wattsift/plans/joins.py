@@ -209,7 +209,8 @@ def counter_delta(t):
 
 
 @query("w4_running_totals", twin(RUNS, body="""
-SELECT precision, run_id, count(*) OVER w AS n_so_far, round(avg(latency_s) OVER w, 6) AS mean_latency_so_far,
+SELECT precision, run_id, count(*) OVER w AS n_so_far,
+       round(sum(latency_s) OVER w, 3) / count(*) OVER w AS mean_latency_so_far,
        CAST(sum(output_tokens) OVER w AS BIGINT) AS tokens_so_far
 FROM runs WINDOW w AS (PARTITION BY precision ORDER BY run_id ROWS UNBOUNDED PRECEDING)"""))
 def running_totals(t):
@@ -220,7 +221,8 @@ def running_totals(t):
         "tokens_so_far": F.col("output_tokens"),
     }
     totals = running(rows, ["precision"], ["run_id"], sums, id_chunk("run_id"))
-    mean = F.round(F.col("latency_so_far") / F.col("n_so_far"), 6)
+    # Latencies have three decimals, so their sum is rounded to three before the division.
+    mean = F.round("latency_so_far", 3) / F.col("n_so_far")
     return totals.select("precision", "run_id", "n_so_far", mean.alias("mean_latency_so_far"), "tokens_so_far")
 
 

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: list[str] = []
 
@@ -36,3 +36,10 @@ def work_dir(spark: SparkSession, label: str) -> str:
             _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="wattsift-"))
         root = _LOCAL_ROOT[0]
     return f"{root.rstrip('/')}/wattsift/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the work folder: lineage is cut and lost executors cost no recomputation."""
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
