@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattsift.plans import joins, rows  # noqa: F401  (registers their queries)
+from wattsift.plans import files, groups, joins, rows, streams  # noqa: F401  (registers their queries)
 from wattsift.plans.registry import PLANS, TWINS, runner
 
 
