@@ -12,8 +12,8 @@ def joules(kwh: Column) -> Column:
 
 def net_energy(gross: Column, idle_w: Column, latency: Column, floor: float = ENERGY_FLOOR_J) -> Column:
     """Energy above idle, floored. ``greatest`` skips NULLs, so missing inputs are kept NULL here."""
-    net = gross - idle_w * latency
-    return F.when(net.isNotNull(), F.greatest(net, F.lit(floor)))
+    known = gross.isNotNull() & idle_w.isNotNull() & latency.isNotNull()
+    return F.when(known, F.greatest(gross - idle_w * latency, F.lit(floor)))
 
 
 def per_unit(amount: Column, base: Column) -> Column:

@@ -1,40 +1,32 @@
-"""Judge and rubric replies: JSON text to scores."""
+"""Scores in judge and rubric replies."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wattsift.functions.text import strip_ws
-from wattsift.schemas import DIMENSIONS, JUDGE_FALLBACK, JUDGE_FALLBACK_REASON
+from wattsift.schemas import DIMENSIONS
 
 _OBJECT = r"(?s)^\{.*\}$"
 _INTEGER = r"^\s*[+-]?\d+\s*$"
 
 
-def _object(reply: Column) -> Column:
-    """The reply as a VARIANT object, NULL unless the whole text is one."""
+def strict_json(reply: Column) -> Column:
+    """The reply as a one-element VARIANT array, NULL unless the whole text is one JSON value.
+
+    ``try_parse_json`` ignores what follows a complete value. Inside an array anything after it is an
+    error, except a bracket that closes the array early, which in turn is an error inside an object.
+    """
     text = strip_ws(reply)
-    return F.try_parse_json(F.when(text.rlike(_OBJECT), text))
-
-
-def judge_score(reply: Column) -> Column:
-    """Integer score, or NULL: fractions are cut, numeric text must be a whole number."""
-    raw = F.try_variant_get(_object(reply), "$.score", "string")
-    quoted = reply.rlike(r'"score"\s*:\s*"')
-    whole = F.when(raw.rlike(_INTEGER), F.trim(raw).try_cast("bigint"))
-    cut = F.when(~quoted, raw.try_cast("double").try_cast("bigint"))
-    return F.coalesce(whole, cut)
-
-
-def judge(reply: Column, fallback: int = JUDGE_FALLBACK) -> Column:
-    """struct(score, reason, parse_ok); a failed parse gets the fallback score, no range check."""
-    score = judge_score(reply)
-    reason = F.coalesce(F.try_variant_get(_object(reply), "$.reason", "string"), F.lit(""))
-    ok = score.isNotNull()
-    return F.struct(
-        F.coalesce(score, F.lit(fallback).cast("bigint")).alias("score"),
-        F.when(ok, reason).otherwise(F.lit(JUDGE_FALLBACK_REASON)).alias("reason"),
-        ok.alias("parse_ok"),
-    )
+    as_item = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    as_field = F.try_parse_json(F.concat(F.lit('{"r":'), text, F.lit("}")))
+    alone = as_field.isNotNull() & F.try_variant_get(as_item, "$[1]", "string").isNull()
+    return F.when(text.rlike(_OBJECT) & alone, as_item)
+
+
+def whole_number(value: Column, is_text: Column) -> Column:
+    """Number as an integer: fractions are cut, quoted numbers must be whole."""
+    whole = F.when(value.rlike(_INTEGER), F.trim(value).try_cast("bigint"))
+    return F.coalesce(whole, F.when(~is_text, value.try_cast("double").try_cast("bigint")))
 
 
 def rubric(reply: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattsift.functions.replies import judge, valid_score
+from wattsift.functions.replies import valid_score
+from wattsift.operators.judging import parse_judge
 
 Model = Callable[[str], tuple[str, int, int]]
 Judge = Callable[[str, str], str]
@@ -63,5 +64,4 @@ def apply_judge(runs: DataFrame, loader: Callable[[], Judge]) -> DataFrame:
                 reply=[reply(p, r) for p, r in zip(batch["prompt"], batch["response"], strict=True)]
             )
 
-    parsed = runs.mapInPandas(run, schema).withColumn("__j", judge(F.col("reply")))
-    return parsed.select("*", "__j.*").drop("__j").withColumn("score_ok", valid_score(F.col("score")))
+    return parse_judge(runs.mapInPandas(run, schema)).withColumn("score_ok", valid_score(F.col("score")))

@@ -33,10 +33,15 @@ def balanced(df: DataFrame, stratum: str, expected: int) -> DataFrame:
     )
 
 
+def flag_valid(df: DataFrame, rule: Column) -> DataFrame:
+    """The rule's outcome as a column; a NULL outcome is not valid."""
+    return df.withColumn("valid", F.coalesce(rule, F.lit(False)))
+
+
 def split_valid(df: DataFrame, rule: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows that satisfy the rule, and the quarantined rest (a NULL outcome is quarantined)."""
-    ok = F.coalesce(rule, F.lit(False))
-    return df.filter(ok), df.filter(~ok)
+    """Rows that satisfy the rule, and the quarantined rest."""
+    flagged = flag_valid(df, rule)
+    return flagged.filter("valid").drop("valid"), flagged.filter("NOT valid").drop("valid")
 
 
 def audit(df: DataFrame, tolerances: dict[str, float]) -> DataFrame:

@@ -30,13 +30,18 @@ def hour_chunk(column: str) -> Column:
 
 
 def _with_seeds(rows: DataFrame, keys: list[str], summary: Column, shift) -> DataFrame:
-    """Rows plus one seed row per chunk whose ``__carry`` is ``shift`` over the earlier chunks."""
+    """Rows plus one seed row per chunk whose ``__carry`` is ``shift`` over the earlier chunks.
+
+    The explicit repartition matters: a window may otherwise reuse a coarser partitioning by the keys
+    alone, which would put a hot key back into one task.
+    """
     per_chunk = rows.groupBy(*keys, _CHUNK).agg(summary.alias(_CARRY))
     earlier = Window.partitionBy(*keys).orderBy(_CHUNK)
     seeds = per_chunk.select(
         *keys, _CHUNK, shift(F.col(_CARRY), earlier).alias(_CARRY), F.lit(0).alias(_SEED)
     )
-    return rows.withColumn(_SEED, F.lit(1)).unionByName(seeds, allowMissingColumns=True)
+    seeded = rows.withColumn(_SEED, F.lit(1)).unionByName(seeds, allowMissingColumns=True)
+    return seeded.repartition(*keys, _CHUNK)
 
 
 def _in_chunk(keys: list[str], order: list[str]):

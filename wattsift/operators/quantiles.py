@@ -1,14 +1,15 @@
 """Exact interpolated quantiles without gathering a group in one task.
 
-``median``/``percentile`` keep every distinct value of a group in one buffer. Instead: a mergeable
-sketch brackets each quantile, one scan counts the rows below and up to each bracket (falling back to
-the group's range where the sketch missed), and only rows inside a bracket are ranked.
+``median``/``percentile`` keep every distinct value of a group in one buffer. Here a mergeable sketch
+brackets each quantile first; the second scan only counts what lies below a bracket and ranks the
+values inside it, about a thousandth of the rows.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattsift.operators.ordered import running
+from wattsift.session import written
 
 ACCURACY = 10_000
 
@@ -17,8 +18,13 @@ def exact_quantiles(
     df: DataFrame, keys: list[str], column: str, probs: list[float], name: str = "quantile",
     accuracy: int = ACCURACY, slots: int = 64,
 ) -> DataFrame:
-    """One row per group and probability: keys, ``prob``, ``n``, ``name``."""
-    rows = df.select(*keys, F.col(column).alias("__v")).filter(F.col("__v").isNotNull())
+    """One row per group and probability: keys, ``prob``, ``n``, ``name``.
+
+    The sketch is off by at most n / accuracy ranks and brackets reach five times as far. Groups too
+    small for that to cover the neighbouring rank are bracketed whole. Should a rank still lie outside
+    its bracket, the job fails rather than return an inexact value.
+    """
+    rows = df.select(*keys, F.col(column).alias("__v"))
     margin = 5.0 / accuracy
     marks = [m for p in probs for m in (max(p - margin, 0.0), min(p + margin, 1.0))]
     sketch = rows.groupBy(*keys).agg(
@@ -27,58 +33,57 @@ def exact_quantiles(
         F.max("__v").alias("__max"),
         F.percentile_approx("__v", marks, accuracy).alias("__m"),
     )
-
-    counted = _attach(rows, sketch.select(*keys, "__m"), keys).groupBy(*keys).agg(
-        *[F.count_if(F.col("__v") < F.col("__m")[2 * i]).alias(f"__below{i}") for i in range(len(probs))],
-        *[F.count_if(F.col("__v") <= F.col("__m")[2 * i + 1]).alias(f"__upto{i}") for i in range(len(probs))],
-    )
+    small = F.col("n") * F.lit(margin) < 4
 
     def bracket(i: int, p: float):
-        position = (F.col("n") - 1) * F.lit(float(p))
-        first = F.floor(position)
-        low_ok = F.col(f"__below{i}") <= first
-        high_ok = F.col(f"__upto{i}") > F.least(first + 1, F.col("n") - 1)
         return F.struct(
             F.lit(float(p)).alias("prob"),
-            position.alias("position"),
-            F.when(low_ok, F.col("__m")[2 * i]).otherwise(F.col("__min")).alias("low"),
-            F.when(low_ok, F.col(f"__below{i}")).otherwise(F.lit(0)).alias("below"),
-            F.when(high_ok, F.col("__m")[2 * i + 1]).otherwise(F.col("__max")).alias("high"),
+            F.when(small, F.col("__min")).otherwise(F.col("__m")[2 * i]).alias("low"),
+            F.when(small, F.col("__max")).otherwise(F.col("__m")[2 * i + 1]).alias("high"),
         )
 
-    brackets = _attach(sketch, counted, keys).select(
-        *keys, "n", F.array(*[bracket(i, p) for i, p in enumerate(probs)]).alias("__b")
-    )
+    brackets = sketch.select(*keys, "n", F.array(*[bracket(i, p) for i, p in enumerate(probs)]).alias("__b"))
 
-    inside = (
+    # Rows above a bracket drop out, rows below it fold into one count, rows inside fold per value.
+    needed = F.filter("__b", lambda b: F.col("__v") <= b["high"])
+    counted = (
         _attach(rows, brackets, keys)
-        .select(
-            *keys, "n", "__v",
-            F.explode(F.filter("__b", lambda b: F.col("__v").between(b["low"], b["high"]))).alias("b"),
-        )
-        .groupBy(*keys, "n", "b", F.col("__v"))
+        .select(*keys, "n", "__v", F.explode_outer(needed).alias("b"))
+        .filter(F.col("b").isNotNull())
+        .select(*keys, "n", "b.*", F.when(F.col("__v") >= F.col("b.low"), F.col("__v")).alias("__v"))
+        .groupBy(*keys, "n", "prob", "low", "high", "__v")
         .agg(F.count("*").alias("__c"))
-        .select(*keys, "n", "b.*", "__v", "__c")
     )
+    # What is left is small and read twice below, so it is written once instead of scanning twice more.
+    counted = written(counted, "quantiles")
     width = F.col("high") - F.col("low")
-    slot = F.when(width > 0, F.floor((F.col("__v") - F.col("low")) / width * slots)).otherwise(F.lit(0))
-    ranked = running(inside, [*keys, "prob"], ["__v"], {"__upto": F.col("__c")}, slot)
+    place = F.when(width > 0, F.floor((F.col("__v") - F.col("low")) / width * slots)).otherwise(F.lit(0))
+    slot = F.when(F.col("__v").isNull(), F.lit(-1)).otherwise(place)
+    ranked = running(counted, [*keys, "prob"], ["__v"], {"__upto": F.col("__c")}, slot)
 
-    # 0-based ranks covered by one distinct value: [before, before + count)
-    after = F.col("below") + F.col("__upto")
-    before = after - F.col("__c")
-    first = F.floor("position")
+    # A value covers the 0-based ranks [upto - count, upto).
+    position = (F.col("n") - 1) * F.col("prob")
+    first = F.floor(position)
     second = F.least(first + 1, F.col("n") - 1)
-    part = F.col("position") - first
-    low = F.max(F.when((before <= first) & (first < after), F.col("__v")))
-    high = F.max(F.when((before <= second) & (second < after), F.col("__v")))
-    weight = F.max(part)
-    return ranked.groupBy(*keys, "prob", "n").agg((low + (high - low) * weight).alias(name))
+
+    def at(rank):
+        covers = (F.col("__upto") - F.col("__c") <= rank) & (rank < F.col("__upto"))
+        return F.max(F.when(covers, F.col("__v")))
+
+    picked = ranked.groupBy(*keys, "prob", "n").agg(
+        at(first).alias("__a"), at(second).alias("__z"), F.max(position - first).alias("__part")
+    )
+    missed = F.col("__a").isNull() | F.col("__z").isNull()
+    failure = F.raise_error(F.lit("quantile outside its bracket: use a higher accuracy")).cast("double")
+    value = F.col("__a") + (F.col("__z") - F.col("__a")) * F.col("__part")
+    return picked.select(*keys, "prob", "n", F.when(missed, failure).otherwise(value).alias(name))
 
 
 def _attach(left: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
-    """Join one row per group back to its rows; a table without keys has a single group."""
-    if keys:
-        return left.join(per_group, keys)
-    one = F.lit(1).alias("__one")
-    return left.select("*", one).join(per_group.select("*", one), "__one").drop("__one")
+    """Join one row per group back to its rows; NULL is a group too, and no keys at all are one group."""
+    if not keys:
+        one = F.lit(1).alias("__one")
+        return left.select("*", one).join(per_group.select("*", one), "__one").drop("__one")
+    renamed = per_group.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    return left.join(renamed, same).drop(*[f"__k_{k}" for k in keys])

@@ -7,6 +7,7 @@ from wattsift.functions import replies as R
 from wattsift.functions import sensors as S
 from wattsift.functions import text as X
 from wattsift.operators import checks, enrich, panel
+from wattsift.operators.judging import parse_judge
 from wattsift.operators.ordered import day_chunk, id_chunk, number_rows
 from wattsift.operators.power import counter_delta
 from wattsift.operators.sampling import fits
@@ -16,6 +17,7 @@ from wattsift.plans.twins import (
     MODELS, POWER, PROMPTS, RAW, REPLIES, RUNS, SCORES, TURNS, decimal_round, twin, words,
 )
 from wattsift.schemas import CATEGORY_BANDS, ROUNDING
+from wattsift.session import written
 
 BAND_SQL = " ".join(f"WHEN prompt_id % 500 < {upper} THEN '{label}'" for upper, label in CATEGORY_BANDS)
 
@@ -225,8 +227,7 @@ def sensor_replies(t):
 
 @query("p22_judge_reply", twin(REPLIES, body="SELECT run_id, score, reason, parse_ok FROM judged"))
 def judge_reply(t):
-    rows = t.replies().withColumn("j", R.judge(F.col("reply")))
-    return rows.select("run_id", "j.score", "j.reason", "j.parse_ok")
+    return parse_judge(t.replies()).drop("reply")
 
 
 @query("p23_rubric_reply", twin(REPLIES, body="""
@@ -342,9 +343,8 @@ def balanced_strata(t):
 @query("q3_score_validity", twin(REPLIES, body="""
 SELECT run_id, score, parse_ok, score BETWEEN 1 AND 10 AS valid FROM judged"""))
 def score_validity(t):
-    rows = t.replies().withColumn("j", R.judge(F.col("reply"))).select("run_id", "j.score", "j.parse_ok")
-    good, bad = checks.split_valid(rows, R.valid_score(F.col("score")))
-    return good.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False)))
+    rows = parse_judge(t.replies()).select("run_id", "score", "parse_ok")
+    return checks.flag_valid(rows, R.valid_score(F.col("score")))
 
 
 @query("q4_recompute_audit", twin(RUNS, body="""
@@ -364,7 +364,8 @@ def recompute_audit(t):
     stored = t.runs().withColumns(
         {"power_net_w": F.round("power_net_w", 2) + spoiled(13), "lpw": F.round("lpw", 8) + spoiled(17)}
     )
-    failed = checks.audit(stored, {"power_net_w": 0.006, "lpw": 1e-6})
+    columns = ["run_id", "latency_s", "net_energy_j", "q_ped", "power_net_w", "lpw"]
+    failed = checks.audit(written(stored.select(*columns), "audited"), {"power_net_w": 0.006, "lpw": 1e-6})
     return failed.select(
         "run_id",
         F.round("power_net_w_error", 6).alias("power_net_w_error"),

@@ -12,7 +12,8 @@ PRECISIONS = [F16, Q4]
 
 
 def props_k() -> Column:
-    return F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
+    """The number in ``{"k": number}``."""
+    return F.btrim(F.col("props"), F.lit('{"k: }')).cast("bigint")
 
 
 def runs_of(events: DataFrame) -> DataFrame:
