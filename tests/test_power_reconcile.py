@@ -51,7 +51,7 @@ def test_counter_delta_and_integration(power, data):
         area = (watts + before[1]) / 2 * (ts - before[0]).total_seconds() if before else 0.0
         energy[device] = energy.get(device, 0.0) + area
         last[device] = (ts, watts, kwh)
-    got = P.counter_delta(power, O.hour_chunk("ts"))
+    got = P.counter_delta(power, O.time_chunk("ts"))
     assert collected(got, "device", "sample_id", "delta_kwh") == sorted(steps, key=repr)
     assert all(d is None or d >= 0 for _, _, d in steps)
     assert dict(collected(P.integrate(power), "device", "energy_j")) == pytest.approx(energy)
@@ -70,7 +70,7 @@ def test_asof_takes_a_reading_at_the_same_time(power, runs, data):
         return found[-1] if found else None
 
     want = [(r, seen(d, t0), seen(d, t1)) for r, d, t0, t1 in data[1]]
-    for chunk in (O.day_chunk("ts"), O.hour_chunk("ts")):
+    for chunk in (O.time_chunk("ts", O.DAY), O.time_chunk("ts")):
         got = P.asof_join(runs, power, chunk)
         assert collected(got, "run_id", "kwh_before", "kwh_after") == sorted(want, key=repr)
 

@@ -16,10 +16,12 @@ def strip_ws(text: Column) -> Column:
 
 
 def chat_prompt(text: Column) -> Column:
+    """Fixed value: the chat markers around a prompt."""
     return F.concat(F.lit("<|user|>\n"), text, F.lit("<|end|>\n<|assistant|>\n"))
 
 
 def judge_request(prompt: Column, response: Column) -> Column:
+    """Fixed value: the delimiters of a request to a judge."""
     return F.concat(F.lit("PROMPT: "), prompt, F.lit("\n\nAI RESPONSE: "), response)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1_000_000
+HOUR, DAY = 3600, 86_400
 _CHUNK, _SEED, _CARRY = "__chunk", "__seed", "__carry"
 
 
@@ -20,13 +21,14 @@ def id_chunk(column: str, rows: int = CHUNK_ROWS) -> Column:
     return F.floor(F.col(column) / F.lit(rows))
 
 
-def day_chunk(column: str) -> Column:
-    """Chunk of a timestamp: one calendar day of one device, bounded by its sampling rate."""
-    return F.to_date(F.col(column))
+def time_chunk(column: str, seconds: int = HOUR) -> Column:
+    """Chunk of a zone-less timestamp: spans of ``seconds``.
 
-
-def hour_chunk(column: str) -> Column:
-    return F.date_trunc("hour", F.col(column))
+    Pick a span in which the busiest key's rows fit one task; the list of chunks a key has grows with
+    the time covered over the span, not with the rows. Keys read a few times a day take ``DAY``.
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.floor(F.timestamp_diff("SECOND", epoch, F.col(column)) / F.lit(seconds))
 
 
 def _with_seeds(rows: DataFrame, keys: list[str], summary: Column, shift) -> DataFrame:

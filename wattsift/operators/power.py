@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattsift.functions.metrics import joules, seconds_between
-from wattsift.operators.ordered import day_chunk, fill_forward, previous_row
+from wattsift.operators.ordered import fill_forward, previous_row, time_chunk
 from wattsift.schemas import IDLE_SECONDS
 
 SAMPLE_ORDER = ["ts", "sample_id"]
@@ -14,7 +14,7 @@ def counter_delta(power: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Counter step and elapsed seconds since the device's previous reading; NULL on its first."""
     rows = previous_row(
         power, ["device"], SAMPLE_ORDER, {"prev_kwh": "counter_kwh", "prev_ts": "ts"},
-        day_chunk("ts") if chunk is None else chunk,
+        time_chunk("ts") if chunk is None else chunk,
     )
     return rows.withColumns(
         {
@@ -28,7 +28,7 @@ def integrate(power: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Trapezoid energy of the watt samples per device."""
     rows = previous_row(
         power, ["device"], SAMPLE_ORDER, {"prev_w": "watts", "prev_ts": "ts"},
-        day_chunk("ts") if chunk is None else chunk,
+        time_chunk("ts") if chunk is None else chunk,
     )
     area = (F.col("watts") + F.col("prev_w")) / 2.0 * seconds_between(F.col("prev_ts"), F.col("ts"))
     return rows.groupBy("device").agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("energy_j"), F.count("*").alias("n"))
@@ -36,16 +36,11 @@ def integrate(power: DataFrame, chunk: Column | None = None) -> DataFrame:
 
 def idle_baseline(power: DataFrame, windows: DataFrame, seconds: float = IDLE_SECONDS) -> DataFrame:
     """Idle watts per device over its idle window (device, t0, t1); 0.0 where nothing was read in it."""
-    inside = windows.join(power, "device", "left").withColumn(
-        "__kwh", F.when(F.col("ts").between(F.col("t0"), F.col("t1")), F.col("counter_kwh"))
-    )
-    watts = joules(F.max("__kwh") - F.min("__kwh")) / F.lit(seconds)
-    return inside.groupBy("device").agg(F.coalesce(watts, F.lit(0.0)).alias("idle_w"))
-
-
-def _bucket(ts: Column, seconds: int) -> Column:
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.floor(F.timestamp_diff("SECOND", epoch, ts) / F.lit(seconds))
+    inside = power.join(windows, "device").filter(F.col("ts").between(F.col("t0"), F.col("t1")))
+    watts = joules(F.max("counter_kwh") - F.min("counter_kwh")) / F.lit(seconds)
+    measured = inside.groupBy("device").agg(watts.alias("__w"))
+    idle = F.coalesce("__w", F.lit(0.0)).alias("idle_w")
+    return windows.select("device").distinct().join(measured, "device", "left").select("device", idle)
 
 
 def range_join(executions: DataFrame, power: DataFrame, bucket_s: int, salts: int = 4) -> DataFrame:
@@ -55,13 +50,13 @@ def range_join(executions: DataFrame, power: DataFrame, bucket_s: int, salts: in
     runs on (device, bucket, salt): a busy device is spread over its buckets, a busy bucket over the
     salts. A bucket about as long as an execution keeps both the copies and the misses few.
     """
-    spread = F.sequence(_bucket(F.col("t0"), bucket_s), _bucket(F.col("t1"), bucket_s))
+    spread = F.sequence(time_chunk("t0", bucket_s), time_chunk("t1", bucket_s))
     left = executions.withColumn("__bucket", F.explode(spread)).withColumn(
         "__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
     right = power.withColumns(
         {
-            "__bucket": _bucket(F.col("ts"), bucket_s),
+            "__bucket": time_chunk("ts", bucket_s),
             "__salt": F.pmod(F.xxhash64("sample_id"), F.lit(salts)).cast("int"),
         }
     )
@@ -84,7 +79,7 @@ def asof_join(executions: DataFrame, power: DataFrame, chunk: Column | None = No
     series = readings.unionByName(times, allowMissingColumns=True)
     filled = fill_forward(
         series, ["device"], ["ts", "kind", "id"], "counter_kwh", "seen_kwh",
-        day_chunk("ts") if chunk is None else chunk,
+        time_chunk("ts") if chunk is None else chunk,
     )
     asked = filled.filter(F.col("kind") > 0)
     return asked.groupBy(F.col("id").alias("run_id")).agg(

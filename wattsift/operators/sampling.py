@@ -25,6 +25,15 @@ def concatenate(parts: list[DataFrame], order: str) -> DataFrame:
     return out
 
 
+def corpus_intersection(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """Values in both; copies fold on each side before the sides meet."""
+    return a.select(column).distinct().intersect(b.select(column).distinct())
+
+
+def corpus_difference(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    return a.select(column).distinct().subtract(b.select(column).distinct())
+
+
 def grid(rows: DataFrame, name: str, values: list[str]) -> DataFrame:
     """Every row under every declared value; the copies are bounded by the declared list."""
     return rows.withColumn(name, F.explode(F.array(*map(F.lit, values))))

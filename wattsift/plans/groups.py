@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from wattsift.functions import metrics as M
 from wattsift.operators import compare, panel, power, sampling
-from wattsift.operators.ordered import day_chunk
+from wattsift.operators.ordered import DAY, time_chunk
 from wattsift.operators.quantiles import exact_quantiles
 from wattsift.plans.registry import query
 from wattsift.plans.tables import F16, PRECISIONS, Q4
@@ -12,6 +12,7 @@ from wattsift.plans.twins import PANEL, PLATFORMS, POWER, PROMPTS, RUNS, SCORES,
 
 ITEM = ["item_id", "precision"]
 METRICS = ["latency_s", "net_energy_j", "power_net_w", "tokens_per_s"]
+PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
 WEIGHTS = [0.0, 0.25, 0.5, 0.6, 0.75, 1.0]
 
 
@@ -45,9 +46,9 @@ def ranges(t):
 
 
 @query("a3_median", twin(RUNS, body="""
-SELECT category, count(lpw) AS n, median(lpw) AS lpw_median FROM runs GROUP BY category"""))
+SELECT category, count(lpw) AS n, round(median(lpw), 6) AS lpw_median FROM runs GROUP BY category"""))
 def median(t):
-    return exact_quantiles(t.runs(), ["category"], "lpw", [0.5], "lpw_median").drop("prob")
+    return rounded(exact_quantiles(t.runs(), ["category"], "lpw", [0.5], "lpw_median").drop("prob"), ["lpw_median"])
 
 
 @query("a4_category_means", twin(RUNS, body=f"""
@@ -239,12 +240,11 @@ def histogram(t):
     return compare.histogram(t.runs(), ["precision"], "lpw", 0.0, 2.0, 20)
 
 
-@query("a20_quantiles", twin(RUNS, body="""
-SELECT precision, p AS prob, count(lpw) AS n, quantile_cont(lpw, 0.05) AS lpw FROM runs, (SELECT 0.05e0 AS p) GROUP BY ALL
-""" + "".join(f"""UNION ALL SELECT precision, {p}e0, count(lpw), quantile_cont(lpw, {p}) FROM runs GROUP BY precision
-""" for p in (0.25, 0.5, 0.75, 0.95))))
+@query("a20_quantiles", twin(RUNS, body="UNION ALL ".join(f"""
+SELECT precision, {p}e0 AS prob, count(lpw) AS n, round(quantile_cont(lpw, {p}), 6) AS lpw FROM runs GROUP BY precision
+""" for p in PROBS)))
 def quantiles(t):
-    return exact_quantiles(t.runs(), ["precision"], "lpw", [0.05, 0.25, 0.5, 0.75, 0.95], "lpw")
+    return rounded(exact_quantiles(t.runs(), ["precision"], "lpw", PROBS, "lpw"), ["lpw"])
 
 
 @query("a21_weight_sweep", twin(RUNS, PANEL, body=f"""
@@ -284,7 +284,7 @@ def bandwidth(t):
 SELECT device, round(coalesce(sum((watts + prev_w) / 2e0 * ({seconds('prev_ts', 'ts')})), 0e0), 3) AS energy_j, count(*) AS n
 FROM steps GROUP BY device"""))
 def integrated_energy(t):
-    return rounded(power.integrate(t.samples(), day_chunk("ts")), ["energy_j"], 3)
+    return rounded(power.integrate(t.samples(), time_chunk("ts", DAY)), ["energy_j"], 3)
 
 
 @query("a24_idle_baseline", twin(POWER, body="""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from wattsift.functions import text as X
 from wattsift.operators import compare, panel, power, sampling
 from wattsift.operators.enrich import with_efficiency
-from wattsift.operators.ordered import day_chunk, fill_forward, id_chunk, moving, running
+from wattsift.operators.ordered import DAY, fill_forward, id_chunk, moving, running, time_chunk
 from wattsift.operators.reconcile import reconcile
 from wattsift.plans.registry import query
 from wattsift.plans.tables import F16, PRECISIONS, Q4
@@ -172,7 +172,7 @@ SELECT e.run_id, e.device, b.counter_kwh AS kwh_before, f.counter_kwh AS kwh_aft
 FROM executions e ASOF LEFT JOIN power b ON b.device = e.device AND b.ts <= e.t0
 ASOF LEFT JOIN power f ON f.device = e.device AND f.ts <= e.t1"""))
 def counter_as_of(t):
-    return power.asof_join(t.executions(), t.power(), day_chunk("ts"))
+    return power.asof_join(t.executions(), t.power(), time_chunk("ts", DAY))
 
 
 @query("j15_unblind", twin(RAW, body="""
@@ -205,7 +205,7 @@ def random_k_per_stratum(t):
 @query("w3_counter_delta", twin(POWER, body=f"""
 SELECT device, sample_id, counter_kwh - prev_kwh AS delta_kwh, {seconds('prev_ts', 'ts')} AS elapsed_s FROM steps"""))
 def counter_delta(t):
-    return power.counter_delta(t.power(), day_chunk("ts")).select("device", "sample_id", "delta_kwh", "elapsed_s")
+    return power.counter_delta(t.power(), time_chunk("ts", DAY)).select("device", "sample_id", "delta_kwh", "elapsed_s")
 
 
 @query("w4_running_totals", twin(RUNS, body="""
@@ -257,7 +257,7 @@ FROM raw_runs"""))
 def forward_fill(t):
     rows = t.raw_runs().select("device", "run_id", "started_at", "cpu_freq_mhz")
     filled = fill_forward(
-        rows, ["device"], ["started_at", "run_id"], "cpu_freq_mhz", "last_freq_mhz", day_chunk("started_at")
+        rows, ["device"], ["started_at", "run_id"], "cpu_freq_mhz", "last_freq_mhz", time_chunk("started_at", DAY)
     )
     return filled.select("device", "run_id", "last_freq_mhz")
 
@@ -313,10 +313,10 @@ def concatenated_corpora(t):
 @query("u3_corpus_intersection", twin(PROMPTS, body="""
 SELECT prompt FROM prompts WHERE corpus = 'A' INTERSECT SELECT prompt FROM prompts WHERE corpus = 'B'"""))
 def corpus_intersection(t):
-    return t.corpus("A").select("prompt").intersect(t.corpus("B").select("prompt"))
+    return sampling.corpus_intersection(t.corpus("A"), t.corpus("B"), "prompt")
 
 
 @query("u4_corpus_difference", twin(PROMPTS, body="""
 SELECT prompt FROM prompts WHERE corpus = 'A' EXCEPT SELECT prompt FROM prompts WHERE corpus = 'B'"""))
 def corpus_difference(t):
-    return t.corpus("A").select("prompt").subtract(t.corpus("B").select("prompt"))
+    return sampling.corpus_difference(t.corpus("A"), t.corpus("B"), "prompt")

@@ -8,7 +8,7 @@ from wattsift.functions import sensors as S
 from wattsift.functions import text as X
 from wattsift.operators import checks, enrich, panel
 from wattsift.operators.judging import parse_judge
-from wattsift.operators.ordered import day_chunk, id_chunk, number_rows
+from wattsift.operators.ordered import DAY, id_chunk, number_rows, time_chunk
 from wattsift.operators.power import counter_delta
 from wattsift.operators.sampling import fits
 from wattsift.plans.registry import query
@@ -126,7 +126,7 @@ def tokens_per_second(t):
 @query("p12_gross_energy", twin(POWER, body="""
 SELECT device, sample_id, (counter_kwh - prev_kwh) * 3.6e6 AS gross_energy_j FROM steps"""))
 def gross_energy(t):
-    steps = counter_delta(t.power(), day_chunk("ts"))
+    steps = counter_delta(t.power(), time_chunk("ts", DAY))
     return steps.select("device", "sample_id", M.joules(F.col("delta_kwh")).alias("gross_energy_j"))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattsift.operators.enrich import with_metrics, with_throttled
-from wattsift.operators.ordered import day_chunk, latest, running
+from wattsift.operators.ordered import DAY, latest, running, time_chunk
 from wattsift.operators.power import SAMPLE_ORDER
 
 F16, Q4 = "F16", "Q4_K_M"
@@ -98,7 +98,7 @@ class Tables:
     def power(self) -> DataFrame:
         """Samples with a cumulative counter, kept in whole hundredths so it adds up exactly."""
         step = F.round(F.col("watts") * 100).cast("bigint")
-        rows = running(self.samples(), ["device"], SAMPLE_ORDER, {"counted": step}, day_chunk("ts"))
+        rows = running(self.samples(), ["device"], SAMPLE_ORDER, {"counted": step}, time_chunk("ts", DAY))
         return rows.withColumn("counter_kwh", F.col("counted") / F.lit(1e8)).drop("counted")
 
     def executions(self) -> DataFrame:

@@ -45,10 +45,7 @@ def run_snapshots(stream: DataFrame, sink: str, checkpoint: str) -> DataFrame:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-    query = run_batches(stream, checkpoint, write, "complete")
-    spark, progress = stream.sparkSession, query.lastProgress
-    if progress is not None:
-        return spark.read.schema(stream.schema).parquet(f"{sink}/batch={progress['batchId']}")
-    snapshots = spark.read.parquet(sink)
-    newest = snapshots.agg({"batch": "max"}).first()[0]
+    run_batches(stream, checkpoint, write, "complete")
+    spark = stream.sparkSession
+    newest = spark.read.parquet(sink).agg({"batch": "max"}).first()[0]
     return spark.read.schema(stream.schema).parquet(f"{sink}/batch={newest}")
