@@ -96,7 +96,8 @@ def test_rollup_total_equals_the_plain_mean(runs):
 
 
 def test_ratio_table_names_its_base(runs):
-    got = compare.ratio_table(runs.filter("prompt_id = 1"), ["platform"], "precision", "A", "B").first()
+    folded = compare.fold_runs(runs.filter("prompt_id = 1"), ["platform", "precision", "q_ped"])
+    got = compare.ratio_table(folded, ["platform"], "precision", "A", "B").first()
     assert (got.latency_ratio, got.energy_pct_of_base, got.quality_diff) == (2.0, -50.0, -2.0)
     assert got.lpw_ratio == pytest.approx(0.75)
 

@@ -15,8 +15,17 @@ Model = Callable[[str], tuple[str, int, int]]
 Judge = Callable[[str, str], str]
 
 
-def apply_model(prompts: DataFrame, loader: Callable[[], Model], column: str = "prompt") -> DataFrame:
-    """Add response, input_tokens, output_tokens and latency_s for every prompt."""
+def _spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    return df.repartition(partitions) if partitions else df
+
+
+def apply_model(
+    prompts: DataFrame, loader: Callable[[], Model], column: str = "prompt", partitions: int | None = None
+) -> DataFrame:
+    """Add response, input_tokens, output_tokens and latency_s for every prompt.
+
+    ``partitions`` spreads a slow model over that many tasks; the scan's own split is by bytes.
+    """
     schema = T.StructType(
         [
             *prompts.schema.fields,
@@ -40,10 +49,10 @@ def apply_model(prompts: DataFrame, loader: Callable[[], Model], column: str = "
             )
             yield pd.concat([batch, out], axis=1)
 
-    return prompts.mapInPandas(run, schema)
+    return _spread(prompts, partitions).mapInPandas(run, schema)
 
 
-def apply_judge(runs: DataFrame, loader: Callable[[], Judge]) -> DataFrame:
+def apply_judge(runs: DataFrame, loader: Callable[[], Judge], partitions: int | None = None) -> DataFrame:
     """Add the judge's reply and its parsed score, reason, parse_ok and score_ok.
 
     A judge that raises leaves a NULL reply, which the parser turns into the fallback score.
@@ -64,4 +73,5 @@ def apply_judge(runs: DataFrame, loader: Callable[[], Judge]) -> DataFrame:
                 reply=[reply(p, r) for p, r in zip(batch["prompt"], batch["response"], strict=True)]
             )
 
-    return parse_judge(runs.mapInPandas(run, schema)).withColumn("score_ok", valid_score(F.col("score")))
+    judged = _spread(runs, partitions).mapInPandas(run, schema)
+    return parse_judge(judged).withColumn("score_ok", valid_score(F.col("score")))

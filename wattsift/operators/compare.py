@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattsift.functions.metrics import per_unit
 from wattsift.operators.quantiles import exact_quantiles
 
 
@@ -96,18 +97,37 @@ def paired_statistics(pairs: DataFrame, metric: str) -> DataFrame:
     return moments.select("*", one).join(median.select("*", one), "__one").drop("__one")
 
 
-def ratio_table(df: DataFrame, keys: list[str], config: str, base: str, other: str) -> DataFrame:
-    """Ratios of configuration means; percentages are relative to ``base``."""
+def fold_runs(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs as one row per key: count, total latency and energy, and total of 1 / (energy x latency).
 
-    def mean(value: str, metric: str) -> Column:
-        return _of(config, value, metric)
-
-    energy_base = mean(base, "net_energy_j")
+    Quality is one value per rated item, so efficiency follows from these totals after the runs are
+    folded: a popular item shrinks on the map side before it meets its quality.
+    """
+    per_js = per_unit(F.lit(1.0), F.col("net_energy_j") * F.col("latency_s"))
     return df.groupBy(*keys).agg(
-        F.try_divide(mean(other, "latency_s"), mean(base, "latency_s")).alias("latency_ratio"),
-        (F.try_divide(mean(other, "net_energy_j") - energy_base, energy_base) * 100.0).alias("energy_pct_of_base"),
-        (mean(other, "q_ped") - mean(base, "q_ped")).alias("quality_diff"),
-        F.try_divide(mean(other, "lpw"), mean(base, "lpw")).alias("lpw_ratio"),
+        F.count("*").alias("runs"),
+        F.sum("latency_s").alias("latency_total"),
+        F.sum("net_energy_j").alias("energy_total"),
+        F.sum(per_js).alias("per_js_total"),
+    )
+
+
+def ratio_table(folded: DataFrame, keys: list[str], config: str, base: str, other: str) -> DataFrame:
+    """Ratios of configuration means over folded runs with ``q_ped``; percentages are relative to ``base``."""
+
+    def mean(value: str, total: Column) -> Column:
+        chosen = F.col(config) == value
+        return F.try_divide(F.sum(F.when(chosen, total)), F.sum(F.when(chosen, F.col("runs"))))
+
+    latency, energy = F.col("latency_total"), F.col("energy_total")
+    quality, lpw = F.col("q_ped") * F.col("runs"), F.col("q_ped") * F.col("per_js_total")
+    return folded.groupBy(*keys).agg(
+        F.try_divide(mean(other, latency), mean(base, latency)).alias("latency_ratio"),
+        (F.try_divide(mean(other, energy) - mean(base, energy), mean(base, energy)) * 100.0).alias(
+            "energy_pct_of_base"
+        ),
+        (mean(other, quality) - mean(base, quality)).alias("quality_diff"),
+        F.try_divide(mean(other, lpw), mean(base, lpw)).alias("lpw_ratio"),
     )
 
 

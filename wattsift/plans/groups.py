@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from wattsift.functions import metrics as M
 from wattsift.operators import compare, panel, power, sampling
 from wattsift.operators.ordered import DAY, time_chunk
 from wattsift.operators.quantiles import exact_quantiles
@@ -189,11 +188,10 @@ SELECT platform, round(lb / la, 6) AS latency_ratio, round((eb - ea) / ea * 100e
        round(qb - qa, 6) AS quality_diff, round(wb / wa, 6) AS lpw_ratio
 FROM sides"""))
 def ratio_table(t):
-    """Scores to panels to item quality, joined to runs, compared per platform."""
-    runs = t.runs().select("platform", *ITEM, "latency_s", "net_energy_j")
-    scored = runs.join(panel.quality(t.scores(), ITEM), ITEM)
-    lpw = M.efficiency(F.col("q_ped"), F.col("net_energy_j"), F.col("latency_s"))
-    table = compare.ratio_table(scored.withColumn("lpw", lpw), ["platform"], "precision", F16, Q4)
+    """Scores to panels to item quality, joined to folded runs, compared per platform."""
+    folded = compare.fold_runs(t.runs(), ["platform", *ITEM])
+    scored = folded.join(panel.quality(t.scores(), ITEM), ITEM)
+    table = compare.ratio_table(scored, ["platform"], "precision", F16, Q4)
     return rounded(table, ["latency_ratio", "energy_pct_of_base", "quality_diff", "lpw_ratio"])
 
 
@@ -257,14 +255,13 @@ SELECT precision, w_human, count(*) AS n_runs, round(avg(q), 6) AS q_ped_mean,
 FROM runs JOIN swept USING (item_id, precision) GROUP BY ALL"""))
 def weight_sweep(t):
     """Runs are folded to one row per item before the weights multiply anything."""
-    per_run = M.per_unit(F.lit(1.0), F.col("net_energy_j") * F.col("latency_s"))
-    runs = t.runs().groupBy(*ITEM).agg(F.count("*").alias("runs"), F.sum(per_run).alias("per_js"))
+    runs = compare.fold_runs(t.runs(), ITEM)
     swept = panel.weight_sweep(t.scores(), ITEM, WEIGHTS).join(runs, ITEM)
     n = F.sum("runs")
     return swept.groupBy("precision", "w_human").agg(
         n.alias("n_runs"),
         F.round(F.sum(F.col("q_ped") * F.col("runs")) / n, 6).alias("q_ped_mean"),
-        F.round(F.sum(F.col("q_ped") * F.col("per_js")) / n, 6).alias("lpw_mean"),
+        F.round(F.sum(F.col("q_ped") * F.col("per_js_total")) / n, 6).alias("lpw_mean"),
     )
 
 

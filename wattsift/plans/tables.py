@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from wattsift.operators.enrich import with_metrics, with_throttled
 from wattsift.operators.ordered import DAY, latest, running, time_chunk
 from wattsift.operators.power import SAMPLE_ORDER
+from wattsift.session import written
 
 F16, Q4 = "F16", "Q4_K_M"
 PRECISIONS = [F16, Q4]
@@ -96,10 +97,10 @@ class Tables:
         )
 
     def power(self) -> DataFrame:
-        """Samples with a cumulative counter, kept in whole hundredths so it adds up exactly."""
+        """A stored table of samples with a cumulative counter, kept in whole hundredths so it adds up exactly."""
         step = F.round(F.col("watts") * 100).cast("bigint")
         rows = running(self.samples(), ["device"], SAMPLE_ORDER, {"counted": step}, time_chunk("ts", DAY))
-        return rows.withColumn("counter_kwh", F.col("counted") / F.lit(1e8)).drop("counted")
+        return written(rows.withColumn("counter_kwh", F.col("counted") / F.lit(1e8)).drop("counted"), "power")
 
     def executions(self) -> DataFrame:
         started = self.read("events").filter(F.col("event_type") == "purchase")
