@@ -8,9 +8,18 @@ from wattsift.operators.power import counter_delta
 from wattsift.streaming.jobs import run_batches
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def timed(stream: DataFrame, column: str, delay: str) -> DataFrame:
-    """Watermark on an event-time column; zone-less times are read as session-zone times."""
-    return stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
+    """Watermark on a zone-less event-time column, which is read as UTC whatever the session's zone is."""
+    instant = F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), F.col(column)))
+    return stream.withColumn(column, instant).withWatermark(column, delay)
+
+
+def _zoneless(instant: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), _epoch())
 
 
 def enrich(stream: DataFrame) -> DataFrame:
@@ -35,8 +44,8 @@ def sessions(stream: DataFrame, ts: str, gap: str, keys: list[str], aggregates:
 def _flat(grouped: DataFrame, keys: list[str]) -> DataFrame:
     values = [c for c in grouped.columns if c not in ("w", *keys)]
     return grouped.select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+        _zoneless(F.col("w.start")).alias("window_start"),
+        _zoneless(F.col("w.end")).alias("window_end"),
         *keys,
         *values,
     )
@@ -86,14 +95,14 @@ def late_split(stream: DataFrame, ts: str, delay_s: int, sink: str, checkpoint:
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         newest = None
         if batch_id > 0:
-            newest = spark.read.parquet(f"{sink}-newest/after={batch_id - 1}").first()[0]
-        limit = F.lit(newest) - F.make_dt_interval(secs=F.lit(delay_s)) if newest is not None else None
-        late = F.lit(False) if limit is None else F.coalesce(F.col(ts) < limit, F.lit(False))
+            newest = batch.sparkSession.read.parquet(f"{sink}-newest/after={batch_id - 1}").first()[0]
+        # Carried as text: a Python datetime would go through the process's own time zone.
+        reached = F.lit(newest).cast(batch.schema[ts].dataType)
+        late = F.coalesce(F.col(ts) < reached - F.make_dt_interval(secs=F.lit(delay_s)), F.lit(False))
         batch.withColumn("late", late).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-        top = batch.agg(F.greatest(F.max(ts), F.lit(newest).cast(batch.schema[ts].dataType)).alias("newest"))
+        top = batch.agg(F.greatest(F.max(ts), reached).cast("string").alias("newest"))
         top.write.mode("overwrite").parquet(f"{sink}-newest/after={batch_id}")
 
     run_batches(stream, checkpoint, step)
