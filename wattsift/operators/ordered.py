@@ -133,9 +133,12 @@ def moving(
     return means.filter(F.col("__home") == F.col("__block")).drop("__pos", "__home", "__block")
 
 
-def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The row of each key that is last in ``order`` (an aggregate, so copies fold on the map side)."""
-    rest = [c for c in df.columns if c not in keys]
+def latest(df: DataFrame, keys: list[str], order: list[Column], keep: list[str] | None = None) -> DataFrame:
+    """The row of each key that is last in ``order``, or its ``keep`` columns.
+
+    An aggregate rather than a ranking, so copies of a key fold on the map side.
+    """
+    rest = keep or [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__row"))
     return picked.select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
 

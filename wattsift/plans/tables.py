@@ -80,8 +80,9 @@ class Tables:
         )
 
     def scores(self) -> DataFrame:
-        keys = ["item_id", "precision", "rater_id", "rater_kind", "dim"]
-        return latest(self.votes(), keys, [F.col("scored_at"), F.col("entry")]).select(*keys, "score")
+        keys = ["item_id", "precision", "rater_id", "dim"]
+        order = [F.col("scored_at"), F.col("entry")]
+        return latest(self.votes(), keys, order, keep=["rater_kind", "score"])
 
     def turns(self) -> DataFrame:
         talk = self.read("conversations")
