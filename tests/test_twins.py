@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.compare import connect, difference
+from wattsift.plans import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not pathlib.Path(SF_DIR).exists(), reason="needs the given tables")
@@ -18,7 +19,7 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, duck, name):
     got = entry.queries()[name](spark, SF_DIR).toArrow()
     twin = entry.oracle_sql().get(name)
