@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from wattsift.llm import q_decontaminate  # noqa: F401  (registers its query)
+from wattsift.llm import q_decontaminate, q_ngram_join  # noqa: F401  (registers their queries)
 from wattsift.llm.registry import QUERIES, TWINS
 
 
