@@ -1,6 +1,15 @@
 """All queries of this subpackage."""
 
-from wattsift.llm import q_decontaminate, q_ngram_join  # noqa: F401  (registers their queries)
+from wattsift.llm import (  # noqa: F401  (they register)
+    q_decontaminate,
+    q_mixing,
+    q_ngram_join,
+    q_quality,
+    q_reshard,
+    q_rules,
+    q_secrets,
+    q_toxicity,
+)
 from wattsift.llm.registry import QUERIES, TWINS
 
 

@@ -30,11 +30,14 @@ U64 = np.uint64
 ORDERS = 3
 PACKED = "target bigint, sets binary, sizes binary, counts binary, tokens binary, df binary"
 FREQUENT_DF = 1 << 31
+#: Shingles are told apart by the upper 48 bits of their hash, which travel as 6 bytes.
+TOP_BITS = U64(0xFFFFFFFFFFFF0000)
 
 
 def _sorted_sets(found, size: int) -> list[np.ndarray]:
     """For each text of a slice its distinct shingle hashes in order."""
     values, owner = found.windows(size)
+    values &= TOP_BITS
     cuts = np.searchsorted(owner, np.arange(len(found.counts) + 1))
     out = []
     for a, b in zip(cuts[:-1], cuts[1:]):
@@ -43,6 +46,16 @@ def _sorted_sets(found, size: int) -> list[np.ndarray]:
     return out
 
 
+def _six(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _from_six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(U64).ravel()
+
+
 def _set_id(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
@@ -139,15 +152,15 @@ def _deal(docs: DataFrame, text: str, size: int, frequent, ranges: int, buckets:
                     own = order[i:j]
                     held = tokens_often[np.isin(owner_often, own)] if n_often[own].any() else tokens_often[:0]
                     rows.append((-1 - b, ids[own].tobytes(), lengths[own].astype(np.uint32).tobytes(),
-                                 n_often[own].astype(np.uint32).tobytes(), held.tobytes(), b""))
+                                 n_often[own].astype(np.uint32).tobytes(), _six(held), b""))
                 tokens, owner = tokens[~often], owner[~often]
-                target = (tokens % U64(ranges)).astype(np.int64)
+                target = ((tokens >> U64(16)) % U64(ranges)).astype(np.int64)
                 order = np.argsort(target, kind="stable")
                 tokens, owner = tokens[order], owner[order]
                 for r, i, j in _by_key(target[order]):
                     first = np.flatnonzero(np.concatenate(([True], owner[i + 1 : j] != owner[i : j - 1])))
                     counts = np.diff(np.append(first, j - i)).astype(np.uint32)
-                    rows.append((r, ids[owner[i + first]].tobytes(), b"", counts.tobytes(), tokens[i:j].tobytes(), b""))
+                    rows.append((r, ids[owner[i + first]].tobytes(), b"", counts.tobytes(), _six(tokens[i:j]), b""))
                 yield _packed(rows)
 
     return docs.select(text).mapInArrow(run, PACKED)
@@ -178,7 +191,7 @@ def _shared_only(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
             yield _packed([(target, *r) for r in rows])
             continue
         sets = np.repeat(_gathered(rows, 0, np.int64), _gathered(rows, 2, np.uint32))
-        tokens = _gathered(rows, 3, U64)
+        tokens = _from_six(b"".join(r[3] for r in rows))
         order = np.argsort(tokens)
         sets, tokens = sets[order], tokens[order]
         same = tokens[1:] == tokens[:-1]
@@ -199,7 +212,7 @@ def _shared_only(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
         for b, i, j in _by_key(bucket):
             first = np.flatnonzero(np.concatenate(([True], sets[i + 1 : j] != sets[i : j - 1])))
             counts = np.diff(np.append(first, j - i)).astype(np.uint32)
-            out.append((-1 - b, sets[i + first].tobytes(), b"", counts.tobytes(), tokens[i:j].tobytes(), df[i:j].tobytes()))
+            out.append((-1 - b, sets[i + first].tobytes(), b"", counts.tobytes(), _six(tokens[i:j]), df[i:j].tobytes()))
         if out:
             yield _packed(out)
 
@@ -221,9 +234,9 @@ def _survivors(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterato
     for _, rows in _runs(batches, 1):
         heads, lists = [r for r in rows if r[1]], [r for r in rows if not r[1]]
         ids, sizes = _gathered(heads, 0, np.int64), _gathered(heads, 1, np.uint32).astype(np.int64)
-        n_often, often = _gathered(heads, 2, np.uint32), _gathered(heads, 3, U64)
+        n_often, often = _gathered(heads, 2, np.uint32), _from_six(b"".join(r[3] for r in heads))
         sets = np.concatenate((np.repeat(_gathered(lists, 0, np.int64), _gathered(lists, 2, np.uint32)), np.repeat(ids, n_often)))
-        tokens = np.concatenate((_gathered(lists, 3, U64), often))
+        tokens = np.concatenate((_from_six(b"".join(r[3] for r in lists)), often))
         df = np.concatenate((_gathered(lists, 4, np.uint32), np.full(len(often), FREQUENT_DF, np.uint32)))
         ids, first = np.unique(ids, return_index=True)
         sizes = sizes[first]
@@ -239,7 +252,7 @@ def _survivors(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterato
         for k in np.flatnonzero((room > 0) & (high > low)):
             own, own_df = tokens[low[k] : high[k]], df[low[k] : high[k]]
             prefixes = [own[o[: room[k]]] for o in _orders(own, own_df)]
-            row = (int(ids[k]), int(sizes[k]), own.tobytes(), *(p.tobytes() for p in prefixes), prefixes[0].view(np.int64).tolist())
+            row = (int(ids[k]), int(sizes[k]), _six(own), *(_six(p) for p in prefixes), prefixes[0].view(np.int64).tolist())
             for c, value in zip(columns, row):
                 c.append(value)
         if columns[0]:
@@ -294,8 +307,8 @@ def _verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator
         if len(rows) < 2:
             continue
         block, ids, sizes = (np.array([r[k] for r in rows]) for k in range(3))
-        tokens = [np.frombuffer(r[3], U64) for r in rows]
-        prefixes = [[np.frombuffer(r[4 + k], U64) for r in rows] for k in range(ORDERS)]
+        tokens = [_from_six(r[3]) for r in rows]
+        prefixes = [[_from_six(r[4 + k]) for r in rows] for k in range(ORDERS)]
         across = np.less.outer(block, block) if low != high else np.triu(np.ones((len(rows), len(rows)), bool), 1)
         parent = list(range(len(rows)))
 
@@ -319,10 +332,10 @@ def set_links(
     """Edges (u, v) between set ids whose components are those of all links."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(8 * tasks, n_tokens // range_tokens + 1)
+    ranges = max(tasks, n_tokens // range_tokens + 1)
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, text, size, one_in, at_least, most))
     dealt = _deal(docs, text, size, frequent, ranges, ranges)
-    tasks = max(tasks, ranges // 16)
+    tasks = ranges
     shared = (
         dealt.repartition(tasks, "target").sortWithinPartitions("target").mapInArrow(lambda b: _shared_only(b, ranges), PACKED)
     )
@@ -333,7 +346,7 @@ def set_links(
     held = sets.select("set_id", F.explode("first").alias("token"))
     leader = held.groupBy("token").agg(F.min("set_id").alias("v"), F.max("set_id").alias("last")).where("v <> last").drop("last")
     chained = components(held.join(leader, "token").select(F.col("set_id").alias("u"), "v"))
-    member = written(chained.join(sets.selectExpr("set_id AS node", "length(tokens) DIV 8 AS n_tokens"), "node"), "members")
+    member = written(chained.join(sets.selectExpr("set_id AS node", "length(tokens) DIV 6 AS n_tokens"), "node"), "members")
     parts = F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n_tokens") / block_tokens)).cast("int")
     blocks = member.groupBy("root").agg(parts.alias("parts"))
     placed = (
@@ -355,7 +368,7 @@ def set_links(
 
 def near_duplicates(
     docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, num: int = 75, den: int = 100,
-    range_tokens: int = 1_000_000, block_sets: int = 256, block_tokens: int = 1_000_000, one_in: int = 32,
+    range_tokens: int = 2_000_000, block_sets: int = 256, block_tokens: int = 1_000_000, one_in: int = 32,
     at_least: int = 16, most: int = 1 << 20,
 ) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``: the least id reachable by links, its own included.
@@ -366,7 +379,7 @@ def near_duplicates(
 
     ``range_tokens``, ``block_sets`` and ``block_tokens`` bound what a task holds; ``one_in``, ``at_least`` and ``most``
     make the list of frequent shingles (at most ``most`` by its construction, 8 bytes each, sent to executors). None
-    of them changes the links. Shingles and sets are told apart by 64-bit hashes.
+    of them changes the links. Shingles are told apart by 48 bits of hash, sets by 64.
 
     Rows that repeat an id each get a row. A NULL id never is a component's least; alone it gives NULL. Other columns
     of ``docs`` are not looked at.
