@@ -2,8 +2,10 @@
 
 from wattsift.llm import (  # noqa: F401  (they register)
     q_decontaminate,
+    q_licenses,
     q_mixing,
     q_ngram_join,
+    q_pii,
     q_quality,
     q_reshard,
     q_rules,

@@ -1,7 +1,11 @@
 """Small helpers on DataFrames shared by the operators."""
 
+import pickle
 import re
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -30,3 +34,14 @@ def sql_ascii_lower(column: str) -> str:
 BLANK = r"[\x20\x09-\x0D]+"
 NON_BLANK = r"[^\x20\x09-\x0D]+"
 BLANK_RE = re.compile(BLANK)
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[dict]], Any]) -> Any:
+    """``fit`` of the rows of a bounded sample, worked out in one task and brought back; it returns plain values and
+    arrays. Tasks run array code on one thread, and a lost executor only repeats the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()[0])

@@ -54,29 +54,35 @@ def triple_table(string: np.ndarray) -> np.ndarray:
     return out
 
 
-def values(strings: np.ndarray, table: np.ndarray, step: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-    """For strings of one length, the inner product with a table, and their own length as vectors."""
-    n = len(strings)
-    dot, norm = np.zeros(n), np.zeros(n)
-    if strings.shape[1] < 3:
-        return dot, norm
-    for a in range(0, n, step):
-        codes, weight = _codes(strings[a : a + step])
-        dot[a : a + step] = (table[codes] * weight).sum(1)
-        order = np.argsort(codes, axis=1)
-        codes, weight = np.take_along_axis(codes, order, 1), np.take_along_axis(weight, order, 1)
-        upto = np.cumsum(weight, axis=1)
-        last = np.ones(codes.shape, bool)
-        last[:, :-1] = codes[:, 1:] != codes[:, :-1]
-        # sums of equal triples, as steps of the running sum at the last of each
-        held = np.where(last, upto, 0.0)
-        before = np.maximum.accumulate(np.concatenate((np.zeros((len(held), 1)), held[:, :-1]), axis=1), axis=1)
-        norm[a : a + step] = np.sqrt((np.where(last, upto - before, 0.0) ** 2).sum(1))
-    return dot, norm
+def dots(strings: np.ndarray, *tables: np.ndarray, step: int = 2000) -> np.ndarray:
+    """For strings of one length, the inner products of their feature vectors with each table."""
+    out = np.zeros((len(strings), len(tables)))
+    if strings.shape[1] >= 3:
+        for a in range(0, len(strings), step):
+            codes, weight = _codes(strings[a : a + step])
+            for j, table in enumerate(tables):
+                out[a : a + step, j] = np.einsum("ij,ij->i", table[codes], weight)
+    return out
+
+
+def norms(strings: np.ndarray, step: int = 2000) -> np.ndarray:
+    """For strings of one length, the length of their feature vectors; 1 for strings without a triple."""
+    out = np.zeros(len(strings))
+    if strings.shape[1] >= 3:
+        for a in range(0, len(strings), step):
+            codes, weight = _codes(strings[a : a + step])
+            order = np.argsort(codes, axis=1)
+            codes, weight = np.take_along_axis(codes, order, 1), np.take_along_axis(weight, order, 1)
+            upto = np.cumsum(weight, axis=1)
+            last = np.ones(codes.shape, bool)
+            last[:, :-1] = codes[:, 1:] != codes[:, :-1]
+            # sums of equal triples, as steps of the running sum at the last of each
+            held = np.where(last, upto, 0.0)
+            before = np.maximum.accumulate(np.concatenate((np.zeros((len(held), 1)), held[:, :-1]), axis=1), axis=1)
+            out[a : a + step] = np.sqrt((np.where(last, upto - before, 0.0) ** 2).sum(1))
+    return np.where(out > 0, out, 1.0)
 
 
 def kernel(a: np.ndarray, b: np.ndarray) -> float:
     """The normalised kernel of two strings; 0 where one has no triple."""
-    dot, na = values(a[None, :], triple_table(b))
-    nb = values(b[None, :], triple_table(b))[1]
-    return float(dot[0] / (na[0] * nb[0])) if na[0] and nb[0] else 0.0
+    return float(dots(a[None, :], triple_table(b))[0, 0] / (norms(a[None, :])[0] * norms(b[None, :])[0]))

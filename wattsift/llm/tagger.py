@@ -44,10 +44,14 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 class Tagger:
-    def __init__(self, seed: int, embed: int = 12, hidden: int = 16):
+    def __init__(self, seed: int, weights: dict[str, np.ndarray] | None = None, embed: int = 12, hidden: int = 16):
+        """Fresh weights by the seed, or given ones."""
+        self.hidden = hidden
+        if weights:
+            self.p = weights
+            return
         rng = np.random.default_rng(seed)
         draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        self.hidden = hidden
         self.p = {"embed": draw(CLASSES, embed), "out": draw(2 * hidden, TAGS), "out_b": np.zeros(TAGS, np.float32)}
         self.p["move"] = np.zeros((TAGS, TAGS), np.float32)
         for side in ("f", "b"):

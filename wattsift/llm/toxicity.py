@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattsift.llm.frames import plus, without
-from wattsift.llm.strings import MOST, SYMBOL, triple_table, values
+from wattsift.llm.frames import fitted, plus, without
+from wattsift.llm.strings import MOST, SYMBOL, dots, norms, triple_table
 from wattsift.llm.words import NOT_BLANK, RADIX, U64, Found, Words, _powers, mixed, slices
 
 CACHE = 1 << 20
@@ -78,8 +78,7 @@ class Machine:
     def margins(self, pieces: Pieces, which: np.ndarray) -> np.ndarray:
         out = np.full(len(which), self.bias)
         for own, strings in pieces.strings(which):
-            dot, norm = values(strings, self.table)
-            out[own] += np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)
+            out[own] += dots(strings, self.table)[:, 0] / norms(strings)
         return out
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
@@ -111,26 +110,63 @@ class Scorer:
         return out
 
 
-def _grams(string: bytes) -> set[bytes]:
-    return {string[i : i + k] for k in (3, 4, 5) for i in range(len(string) - k + 1) if 0 not in string[i : i + k]}
-
-
-def _newton_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> np.ndarray:
-    """Linear machine with squared hinge loss; the last weight is the bias."""
+def _suspicion(pieces: Pieces, which: np.ndarray, doc: np.ndarray, piece: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """For each distinct piece, how much more often some letter run of it (of 3 to 5) is in toxic texts than in clean ones."""
+    owner, codes = [], []
+    size = pieces.end[which] - pieces.start[which]
+    for k in (3, 4, 5):
+        room = np.maximum(size - k + 1, 0)
+        own = np.repeat(np.arange(len(which)), room)
+        at = np.repeat(pieces.start[which] - np.concatenate(([0], np.cumsum(room)[:-1])), room) + np.arange(room.sum())
+        code = np.zeros(len(at), U64)
+        whole = np.ones(len(at), bool)
+        for i in range(k):
+            symbol = pieces.symbols[at + i]
+            code = code * U64(91) + symbol
+            whole &= symbol > 0
+        owner.append(own[whole])
+        codes.append(code[whole] * U64(8) + U64(k))
+    owner, codes = np.concatenate(owner), np.concatenate(codes)
+    runs, run = np.unique(codes, return_inverse=True)
+    order = np.argsort(owner, kind="stable")
+    owner, run = owner[order], run[order]
+    low, high = np.searchsorted(owner, piece), np.searchsorted(owner, piece, "right")
+    times = high - low
+    at = np.repeat(low - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
+    held = np.unique(np.repeat(doc, times) * np.int64(len(runs)) + run[at])
+    in_toxic = toxic[held // len(runs)] == 1
+    t = np.bincount(held[in_toxic] % len(runs), minlength=len(runs))
+    c = np.bincount(held[~in_toxic] % len(runs), minlength=len(runs))
+    odds = np.log((t + 0.1) / (toxic.sum() + 1)) - np.log((c + 1.0) / ((toxic == 0).sum() + 1)) + 0.3 * np.log(np.maximum(t, 1))
+    odds[t < 3] = -9.0
+    out = np.full(len(which), -9.0)
+    np.maximum.at(out, owner, odds[run])
+    return out
+
+
+def _newton_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+    """Linear machine with squared hinge loss; the last weight is the bias. Toxic pieces are few and known ones should stand
+    far out, clean ones are endless: the margins asked for are 4 and 1."""
+    goal = np.where(y > 0, 4.0, 1.0)
     z = np.column_stack((x, np.ones(len(x))))
     w = np.zeros(z.shape[1])
-    penalty = np.full(z.shape[1], ridge)
+    loss = lambda v: ridge * (v @ v) + (weight * np.maximum(goal - y * (z @ v), 0) ** 2).sum()
+    now = loss(w)
     for _ in range(rounds):
-        active = y * (z @ w) < 1
+        active = y * (z @ w) < goal
         za, wa = z[active], weight[active]
-        new = np.linalg.solve((za * wa[:, None]).T @ za + np.diag(penalty), za.T @ (wa * y[active]))
-        if np.abs(new - w).max() < 1e-9:
+        way = np.linalg.solve((za * wa[:, None]).T @ za + ridge * np.eye(len(w)), za.T @ (wa * y[active] * goal[active])) - w
+        step = 1.0
+        while step > 1e-6 and loss(w + step * way) >= now:
+            step /= 2
+        if step <= 1e-6 or now - loss(w + step * way) < 1e-9 * now:
             break
-        w = new
+        w = w + step * way
+        now = loss(w)
     return w
 
 
-def train(texts: list[str | None], toxic: np.ndarray, share: float, landmarks: int = 64, rounds: int = 4) -> Machine:
+def train(texts: list[str | None], toxic: np.ndarray, share: float, landmarks: int = 160, rounds: int = 4) -> Machine:
     """Fit on labelled texts; ``share`` is the share of toxic ones outside the sample. Deterministic."""
     found = Words(NOT_BLANK).of(pa.array(texts, pa.string()))
     pieces = Pieces(found)
@@ -138,65 +174,50 @@ def train(texts: list[str | None], toxic: np.ndarray, share: float, landmarks: i
     hashes, first, inverse = np.unique(pieces.hashes(), return_index=True, return_inverse=True)
     if not len(hashes) or toxic.min() == toxic.max():
         return none
-    pairs = np.unique(np.column_stack((pieces.text, inverse)), axis=0)
-    doc, piece = pairs[:, 0], pairs[:, 1]
-    names = [pieces.symbols[pieces.start[k] : pieces.end[k]].tobytes() for k in first]
-
-    # where to begin: pieces that hold letter runs seen in toxic texts and hardly in others
-    n_toxic, n_clean = toxic.sum(), (toxic == 0).sum()
-    by_doc: list[set[bytes]] = [set() for _ in texts]
-    runs = [_grams(s) for s in names]
-    for d, p in pairs:
-        by_doc[d] |= runs[p]
-    seen: dict[bytes, list[int]] = {}
-    for d, held in enumerate(by_doc):
-        for g in held:
-            seen.setdefault(g, [0, 0])[int(toxic[d])] += 1
-    odds = {
-        g: np.log((t + 0.1) / (n_toxic + 1)) - np.log((c + 1.0) / (n_clean + 1)) + 0.3 * np.log(t)
-        for g, (c, t) in seen.items() if t >= 3
-    }
-    suspicion = np.array([max((odds.get(g, -9.0) for g in r), default=-9.0) for r in runs])
-    margins = suspicion - 3.0
+    pairs = np.unique(pieces.text.astype(np.int64) * len(hashes) + inverse)
+    doc, piece = pairs // len(hashes), pairs % len(hashes)
+    margins = _suspicion(pieces, first, doc, piece, toxic) - 3.0
+    length = np.ones(len(first))
+    for own, strings in pieces.strings(first):
+        length[own] = norms(strings)
     machine = none
-    for turn in range(rounds):
-        # the worst piece of every toxic text, if it stands out at all, against the worst pieces of clean ones and a few more
-        order = np.lexsort((piece, -margins[piece], doc))
-        heads = order[np.concatenate(([True], doc[order][1:] != doc[order][:-1]))]
-        worst = piece[heads[toxic[doc[heads]] == 1]]
-        good = worst[margins[worst] > (0 if turn == 0 else -0.5)]
-        extra = piece[(toxic[doc] == 1) & (margins[piece] > (1.0 if turn == 0 else 0.5))]
-        positive, times = np.unique(np.concatenate((good, extra)), return_counts=True)
-        if not len(positive):
-            return none
-        clean = np.unique(piece[toxic[doc] == 0])
+    in_toxic = np.bincount(piece[toxic[doc] == 1], minlength=len(first))
+    in_clean = np.bincount(piece[toxic[doc] == 0], minlength=len(first))
+    pure = (in_toxic > 0) & (in_clean * 20 <= in_toxic)
+    clean = np.flatnonzero(in_clean)
+    # witnesses: the most suspicious piece of each toxic text, if clean texts lack it, and those that many toxic texts share
+    order = np.lexsort((piece, -margins[piece], doc))
+    heads = piece[order[np.concatenate(([True], doc[order][1:] != doc[order][:-1]))]]
+    worst = np.zeros(len(first), bool)
+    worst[heads] = True
+    positive = np.flatnonzero(pure & ((worst & (margins > 0)) | ((margins > 1) & (in_toxic >= 3))))
+    if not len(positive):
+        return none
+    negative = clean[np.argsort(hashes[clean], kind="stable")[:3000]]
+    for _ in range(rounds):  # each against more of the clean pieces that score highest so far
+        times = in_toxic[positive]
         hard = clean[np.argsort(-margins[clean], kind="stable")[:3000]]
-        spread = clean[np.argsort(hashes[clean], kind="stable")[:3000]]
-        negative = np.setdiff1d(np.union1d(hard, spread), positive)
-        ambiguous = np.isin(positive, clean)
+        negative = np.setdiff1d(np.union1d(negative, hard), positive)
         marks = np.concatenate((
             positive[np.lexsort((positive, -times))][: landmarks * 3 // 4],
             hard[~np.isin(hard, positive)][: landmarks - landmarks * 3 // 4],
         ))
         which = np.concatenate((positive, negative))
         label = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
-        weight = np.concatenate((np.where(ambiguous, 0.2, 1.0) * np.sqrt(times), np.full(len(negative), 1.0)))
+        weight = np.concatenate((np.sqrt(times), np.ones(len(negative))))
         weight[label > 0] *= len(negative) / weight[label > 0].sum()
-        tables = [triple_table(np.frombuffer(names[m], np.uint8)) for m in marks]
-        length = np.array([np.sqrt((t**2).sum()) for t in tables])
-        tables = [t / n for t, n in zip(tables, np.maximum(length, 1e-12))]
-        features = np.zeros((len(which), len(marks)))
-        for own, strings in pieces.strings(first[which]):
-            for j, table in enumerate(tables):
-                dot, norm = values(strings, table)
-                features[own, j] = np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)
-        among = np.array([[float(a @ b) for b in tables] for a in tables])
+        tables = [triple_table(pieces.symbols[pieces.start[m] : pieces.end[m]]) / length[k] for k, m in zip(marks, first[marks])]
+        features, among = (np.zeros((len(x), len(marks))) for x in (which, marks))
+        for out, of in ((features, which), (among, marks)):
+            for own, strings in pieces.strings(first[of]):
+                out[own] = dots(strings, *tables) / length[of[own]][:, None]
         values_, vectors = np.linalg.eigh(among + 1e-3 * np.eye(len(marks)))
         root = vectors / np.sqrt(np.maximum(values_, 1e-6)) @ vectors.T
         w = _newton_svm(features @ root, label, weight)
         table = sum(c * t for c, t in zip(root @ w[:-1], tables))
         machine = Machine(table, float(w[-1]), 1.0, 0.0)
-        margins = machine.margins(pieces, first)
+        for own, strings in pieces.strings(first):
+            margins[own] = machine.bias + dots(strings, table)[:, 0] / length[own]
     top = np.full(len(texts), machine.bias)
     np.maximum.at(top, doc, margins[piece])
     slope, shift = _calibrated(top, toxic, share)
@@ -235,14 +256,19 @@ def train_on(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str,
     lowest = lambda y, n: known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n)
     chosen = docs.sparkSession.createDataFrame(lowest(1, most).union(lowest(0, 2 * most)).toArrow())
     held = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
-    rows = sorted(held.toArrow().to_pylist(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), str(r["id"]), r["text"] or ""))
-    toxic = np.array([r["y"] for r in rows], np.int64)
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
-    return train([r["text"] for r in rows], toxic if len(rows) else np.zeros(1, np.int64), share)
+
+    def fit(rows: list[dict]) -> tuple:
+        rows.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), str(r["id"]), r["text"] or ""))
+        toxic = np.array([r["y"] for r in rows] or [0], np.int64)
+        machine = train([r["text"] for r in rows], toxic, share)
+        return machine.table, machine.bias, machine.slope, machine.shift
+
+    return Machine(*fitted(held, fit))
 
 
 def score(
-    docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = 1500
+    docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = 300
 ) -> DataFrame:
     """Add held_out, score (0 to 1) and predicted (1 from 0.5) to every document.
 
