@@ -60,12 +60,12 @@ def hashed_words(text: Column) -> Column:
 
 
 def bucket_ratios(
-    docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, buckets: int, max_trusted: int, prior: float
+    docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, buckets: int, max_trusted: int, even: float
 ) -> Column:
     """An array with the log ratio of every bucket, ``buckets`` numbers however many documents there are.
 
     Raw counts are over all documents. Trusted ones are those labelled 1, at most ``max_trusted`` of them: the lowest
-    by hash of the id.
+    by hash of the id. Both shares get ``even`` parts of an even spread on top, so that rare buckets say little.
     """
     known = labels.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("trusted_id")).agg(F.avg(label).alias("mean"))
     trusted = known.where(F.col("mean") >= 0.5).orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(max_trusted).select("trusted_id")
@@ -78,8 +78,8 @@ def bucket_ratios(
     counts = written(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")), "grams")
     raw, good = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
-    flat = prior * buckets
-    ratio = F.log((F.col("good") + prior) / (good + flat)) - F.log((F.col("raw") + prior) / (raw + flat))
+    share = lambda c, total: F.log(F.col(c) / F.lit(float(max(total, 1))) + F.lit(even / buckets))
+    ratio = share("good", good) - share("raw", raw)
     held = every.select("bucket", F.round(ratio if good else F.lit(0.0), 9).alias("ratio")).orderBy("bucket").toArrow()
     # one constant array; the optimizer works the cast out once
     return F.split(F.lit(",".join(map(repr, held.column("ratio").to_pylist()))), ",").cast("array<double>")
@@ -87,7 +87,7 @@ def bucket_ratios(
 
 def judge(
     docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", buckets: int = 1 << 16,
-    max_trusted: int = 20_000, prior: float = 10.0, threshold: float = -0.3,
+    max_trusted: int = 20_000, even: float = 0.3, threshold: float = -0.12,
 ) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_ratio and kept to every document.
 
@@ -99,7 +99,7 @@ def judge(
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ratio", "kept"]
     base = without(docs, *added, "rule_hashes", "rule_windows")
-    ratios = bucket_ratios(docs, labels, id, text, label, buckets, max_trusted, prior)
+    ratios = bucket_ratios(docs, labels, id, text, label, buckets, max_trusted, even)
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(NON_BLANK))
     zero = F.lit(0.0)
