@@ -102,6 +102,16 @@ def test_ratio_table_names_its_base(runs):
     assert got.lpw_ratio == pytest.approx(0.75)
 
 
+def test_missing_energy_stays_out_of_ratios(rows):
+    runs = rows(
+        "platform int, precision string, q_ped double, latency_s double, net_energy_j double",
+        (0, "F16", 8.0, 1.0, 4.0), (0, "F16", 8.0, 1.0, None), (0, "Q4", 8.0, 1.0, 2.0), (0, "Q4", 8.0, None, 1.0),
+    )
+    folded = compare.fold_runs(runs, ["platform", "precision", "q_ped"])
+    got = compare.ratio_table(folded, ["platform"], "precision", "F16", "Q4").first()
+    assert (got.latency_ratio, got.energy_pct_of_base, got.quality_diff, got.lpw_ratio) == (1.0, -62.5, 0.0, 2.0)
+
+
 def test_winner_and_reversal(runs):
     got = compare.winner(runs, "platform", "precision", "lpw", 0)
     assert collected(got, "platform", "winner", "reversed") == [(0, "A", False), (1, "B", True)]

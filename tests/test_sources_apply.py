@@ -25,6 +25,51 @@ def test_byte_order_mark_is_ignored(spark, tmp_path, text):
     assert collected(files.read_prompts(spark, f"{tmp_path}/p.csv")) == [(1, "Math", "a, b")]
 
 
+def test_ids_beyond_32_bits_and_strange_headers(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("ID,CATEGORY,PROMPT\n3000000000,Math,a\n")
+    assert collected(files.read_prompts(spark, f"{tmp_path}/p.csv")) == [(3_000_000_000, "Math", "a")]
+    (tmp_path / "q.csv").write_text("CATEGORY,ID,PROMPT\nMath,1,a\n")
+    with pytest.raises(Exception, match="header|schema"):
+        files.read_prompts(spark, f"{tmp_path}/q.csv").collect()
+
+
+VARIANTS = {
+    "gpu": ("1,FP16,Math,p,r,5,6,1.5,4.0,9,8,5.3,true", "run_id", 1),
+    "judged": ("1,FP16,Math,p,r,1.5,8,5.3,7.5,ok,0.1", "q_ped", 7.5),
+    "unscored": ("1,FP16,Math,p,r,1.5,8,5.3,,", "q_ped", None),
+    "laptop": ("1,F16,Math,p,r,5,6,1.5,4.0,Laptop", "platform", "Laptop"),
+    "desktop": ("1,Box,cpu,F16,Math,p,r,6,1.5,4.0,9,8,5.3,true,,", "output_tokens", 6),
+    "board": ("1,Board,cpu,F16,Math,p,r,6,1.5,4.0,9,8,5.3,2000,50,true,,", "throttled", True),
+    "published": ("1,Board,cpu,F16,Math,6,1.5,9,8,5.3,7.5,0.1", "lpw", 0.1),
+    "models": ("Tiny Q4_K_M,Math,7,8,9,6,7.5,1.5,8,0.1,1000", "model", "Tiny Q4_K_M"),
+}
+
+
+@pytest.mark.parametrize("variant", sorted(VARIANTS))
+def test_every_result_variant(spark, tmp_path, variant):
+    from wattsift.schemas import RESULT_FILES
+
+    line, column, value = VARIANTS[variant]
+    header = ",".join(c.split()[0] for c in RESULT_FILES[variant].split(", "))
+    (tmp_path / "r.csv").write_text(f"{header}\n{line}\n")
+    got = files.read_runs(spark, f"{tmp_path}/r.csv", variant).collect()
+    assert len(got) == 1 and got[0][column] == value and got[0].latency_s == 1.5
+
+
+def test_variants_unite(spark, tmp_path):
+    from wattsift.schemas import RESULT_FILES
+
+    tables = []
+    for variant in ("judged", "desktop", "published", "models"):
+        header = ",".join(c.split()[0] for c in RESULT_FILES[variant].split(", "))
+        (tmp_path / f"{variant}.csv").write_text(f"{header}\n{VARIANTS[variant][0]}\n")
+        tables.append(files.read_csv(spark, f"{tmp_path}/{variant}.csv", RESULT_FILES[variant]))
+    got = files.harmonise(*tables)
+    assert collected(got, "model", "precision", "q_ped") == [
+        ("Tiny", "Q4_K_M", 7.5), (None, "F16", 7.5), (None, "F16", None), (None, "FP16", 7.5),
+    ]
+
+
 def test_bom_is_written(rows, tmp_path):
     files.write_csv(rows(PROMPT, (1, "Math", "é")).coalesce(1), f"{tmp_path}/p", bom=True)
     part = next((tmp_path / "p").glob("*.csv"))
@@ -54,7 +99,7 @@ def test_summary_document_round_trip(spark, rows, tmp_path):
         "BoxB": {"platform": "Box B", "results": {"F16": {"n": 2, "tokens_per_sec": 4.0}}},
     }
     (tmp_path / "s.json").write_text(json.dumps(document, indent=2))
-    table = summary.read_summary(spark, f"{tmp_path}/s.json")
+    table = summary.read_summary(spark, f"{tmp_path}/s.json", whole=True)
     assert collected(table, "platform_key", "precision", "n", "note") == [
         ("BoardA", "F16", None, "needs 8GB"), ("BoardA", "Q4", 3, None), ("BoxB", "F16", 2, None),
     ]
@@ -109,9 +154,10 @@ def test_judge_replies(rows):
 
 
 def test_rubric_reply(rows):
-    df = rows("r string", ('{"CA": 8, "CC": 7, "SQ": 6, "LA": 5}',), ('{"CA": 8}',), ("none",))
+    df = rows("r string", ('{"CA": 8, "CC": 7, "SQ": 6, "LA": 5}',), ('{"CA": 8}',), ("none",),
+              ('{"CA":5,"CC":5,"SQ":5,"LA":5} and {"CA":1}',))
     got = df.select(rubric(F.col("r")).alias("x")).select("x.*").collect()
-    assert [tuple(r) for r in got] == [(8, 7, 6, 5), (8, None, None, None), (None,) * 4]
+    assert [tuple(r) for r in got] == [(8, 7, 6, 5), (8, None, None, None), (None,) * 4, (None,) * 4]
 
 
 def test_model_is_loaded_once_per_partition(spark, rows, tmp_path):
@@ -129,6 +175,23 @@ def test_model_is_loaded_once_per_partition(spark, rows, tmp_path):
     assert all(r.latency_s >= 0 and r.output_tokens == 2 for r in got)
 
 
+def test_missing_prompts_and_large_ids_pass_through(rows):
+    big = 9_007_199_254_740_993
+    df = rows("id long, prompt string, response string", (big, "p", "r"), (None, None, None))
+    got = apply_model(df.drop("response"), lambda: lambda prompt: (prompt.upper(), 1, 2))
+    assert collected(got, "id", "response", "output_tokens") == [(big, "P", 2), (None, None, None)]
+    judged = apply_judge(df, lambda: lambda prompt, response: '{"score": 8}' if prompt else None)
+    assert collected(judged, "id", "score", "parse_ok") == [(big, 8, True), (None, 7, False)]
+
+
+def test_a_missing_stored_value_fails_the_audit(rows):
+    from wattsift.operators.checks import audit
+
+    schema = "id int, latency_s double, net_energy_j double, q_ped double, power_net_w double, lpw double"
+    df = rows(schema, (1, 2.0, 4.0, 8.0, 2.0, 1.0), (2, 2.0, 4.0, 8.0, None, 1.0), (3, 2.0, None, 8.0, 2.0, None))
+    assert collected(audit(df, {"power_net_w": 0.01, "lpw": 0.01}), "id") == [(2,), (3,)]
+
+
 def test_a_failing_judge_falls_back_per_row(rows):
     def loader():
         return lambda prompt, response: f'{{"score": {10 // len(response)}}}'

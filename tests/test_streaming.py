@@ -87,6 +87,8 @@ def test_snapshots_return_the_newest_also_without_new_data(spark, readings, tmp_
         stream = jobs.ingest(spark, folder, readings.schema)
         return jobs.run_snapshots(stream.groupBy("device").agg(F.count("*").alias("n")), sink, checkpoint)
 
+    arrive(readings.limit(0), folder)
+    assert collected(run()) == []
     arrive(readings.filter("sample_id < 100"), folder)
     run()
     arrive(readings.filter("sample_id >= 100"), folder)
@@ -104,3 +106,25 @@ def test_sessions_split_at_the_gap(spark, rows, tmp_path):
         f"{tmp_path}/out", f"{tmp_path}/check",
     )
     assert collected(out, "device", "window_start", "n") == [(1, at(0), 2), (1, at(60), 1), (2, at(0), 1)]
+
+
+@pytest.mark.parametrize("name", ["t2_stream_enrichment", "t4_tumbling_power", "t5_sliding_rates", "t6_collection_sessions",
+                                  "t9_running_means", "t10_throttle_alarm", "t11_stream_dimension_join"])
+def test_a_table_in_many_files_gives_the_rows_of_one(spark, tmp_path_factory, name):
+    from wattsift.plans import catalog
+
+    one = "/root/testdata/sf0.001"
+    many = tmp_path_factory.mktemp("tables")
+    spark.read.parquet(f"{one}/events.parquet").repartition(3).write.parquet(f"{many}/events.parquet")
+    spark.read.parquet(f"{one}/region.parquet").write.parquet(f"{many}/region.parquet")
+    run = catalog.queries()[name]
+    assert collected(run(spark, str(many))) == collected(run(spark, one))
+
+
+def test_rows_without_a_time_are_kept(spark, rows):
+    from wattsift.plans.streams import halves
+
+    df = rows("id int, ts timestamp_ntz", (1, at(0)), (2, None), (3, at(100)))
+    assert [collected(h, "id") for h in halves(df, "ts")] == [[(1,)], [(2,), (3,)]]
+    untimed = df.filter("ts IS NULL")
+    assert [h.count() for h in halves(untimed, "ts")] == [0, 1]

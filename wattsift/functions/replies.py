@@ -30,10 +30,8 @@ def whole_number(value: Column, is_text: Column) -> Column:
 
 
 def rubric(reply: Column) -> Column:
-    """struct of the four integer dimensions, each NULL when absent."""
-    parsed = F.from_json(
-        F.when(strip_ws(reply).rlike(_OBJECT), reply), ", ".join(f"{d} BIGINT" for d in DIMENSIONS)
-    )
+    """struct of the four integer dimensions, each NULL when absent; all NULL unless the whole reply is one object."""
+    parsed = F.from_json(F.when(strict_json(reply).isNotNull(), reply), ", ".join(f"{d} BIGINT" for d in DIMENSIONS))
     return F.struct(*[parsed[d].alias(d) for d in DIMENSIONS])
 
 

@@ -3,7 +3,7 @@
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +24,7 @@ def apply_model(
 ) -> DataFrame:
     """Add response, input_tokens, output_tokens and latency_s for every prompt.
 
-    ``partitions`` spreads a slow model over that many tasks; the scan's own split is by bytes.
+    Other columns pass through as they are. A NULL prompt is not asked and gets NULLs. ``partitions`` spreads a slow model over that many tasks; the scan's own split is by bytes.
     """
     schema = T.StructType(
         [
@@ -36,20 +36,21 @@ def apply_model(
         ]
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loader()
         for batch in batches:
-            rows = []
-            for prompt in batch[column]:
+            answers: list[list] = [[], [], [], []]
+            for prompt in batch.column(column).to_pylist():
                 start = time.perf_counter()
-                response, n_in, n_out = model(prompt)
-                rows.append((response, n_in, n_out, time.perf_counter() - start))
-            out = pd.DataFrame(
-                rows, columns=["response", "input_tokens", "output_tokens", "latency_s"], index=batch.index
-            )
-            yield pd.concat([batch, out], axis=1)
+                row = (*model(prompt), time.perf_counter() - start) if prompt is not None else (None,) * 4
+                for values, value in zip(answers, row, strict=True):
+                    values.append(value)
+            added = [pa.array(v, k) for v, k in zip(answers, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.names)
 
-    return _spread(prompts, partitions).mapInPandas(run, schema)
+    return _spread(prompts, partitions).mapInArrow(run, schema)
 
 
 def apply_judge(runs: DataFrame, loader: Callable[[], Judge], partitions: int | None = None) -> DataFrame:
@@ -59,7 +60,7 @@ def apply_judge(runs: DataFrame, loader: Callable[[], Judge], partitions: int |
     """
     schema = T.StructType(runs.schema.fields + [T.StructField("reply", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask = loader()
 
         def reply(prompt, response):
@@ -69,9 +70,9 @@ def apply_judge(runs: DataFrame, loader: Callable[[], Judge], partitions: int |
                 return None
 
         for batch in batches:
-            yield batch.assign(
-                reply=[reply(p, r) for p, r in zip(batch["prompt"], batch["response"], strict=True)]
-            )
+            pairs = zip(batch.column("prompt").to_pylist(), batch.column("response").to_pylist(), strict=True)
+            replies = pa.array([reply(*pair) for pair in pairs], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, replies], names=schema.names)
 
-    judged = _spread(runs, partitions).mapInPandas(run, schema)
+    judged = _spread(runs, partitions).mapInArrow(run, schema)
     return parse_judge(judged).withColumn("score_ok", valid_score(F.col("score")))

@@ -45,14 +45,21 @@ def split_valid(df: DataFrame, rule: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def audit(df: DataFrame, tolerances: dict[str, float]) -> DataFrame:
-    """Stored power and efficiency against values recomputed from the stored inputs; failing rows only."""
+    """Stored power and efficiency against values recomputed from the stored inputs; failing rows only.
+
+    A value that is stored but can't be recomputed, or the other way round, fails too.
+    """
     recomputed = {
         "power_net_w": M.per_unit(F.col("net_energy_j"), F.col("latency_s")),
         "lpw": M.efficiency(F.col("q_ped"), F.col("net_energy_j"), F.col("latency_s")),
     }
     errors = {f"{c}_error": F.abs(F.col(c) - recomputed[c]) for c in tolerances}
     failed = reduce(
-        lambda a, b: a | b, [F.coalesce(F.col(f"{c}_error") > F.lit(t), F.lit(False)) for c, t in tolerances.items()]
+        lambda a, b: a | b,
+        [
+            F.coalesce(F.col(f"{c}_error") > F.lit(t), F.col(c).isNull() != recomputed[c].isNull())
+            for c, t in tolerances.items()
+        ],
     )
     return df.withColumns(errors).filter(failed)
 

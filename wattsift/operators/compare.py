@@ -98,7 +98,8 @@ def paired_statistics(pairs: DataFrame, metric: str) -> DataFrame:
 
 
 def fold_runs(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs as one row per key: count, total latency and energy, and total of 1 / (energy x latency).
+    """Runs as one row per key: count, and totals of latency, energy and 1 / (energy x latency), each with the
+    number of runs that have it.
 
     Quality is one value per rated item, so efficiency follows from these totals after the runs are
     folded: a popular item shrinks on the map side before it meets its quality.
@@ -107,20 +108,28 @@ def fold_runs(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.count("*").alias("runs"),
         F.sum("latency_s").alias("latency_total"),
+        F.count("latency_s").alias("latency_runs"),
         F.sum("net_energy_j").alias("energy_total"),
+        F.count("net_energy_j").alias("energy_runs"),
         F.sum(per_js).alias("per_js_total"),
+        F.count(per_js).alias("per_js_runs"),
     )
 
 
 def ratio_table(folded: DataFrame, keys: list[str], config: str, base: str, other: str) -> DataFrame:
     """Ratios of configuration means over folded runs with ``q_ped``; percentages are relative to ``base``."""
 
-    def mean(value: str, total: Column) -> Column:
+    def mean(value: str, parts: tuple[Column, Column]) -> Column:
         chosen = F.col(config) == value
-        return F.try_divide(F.sum(F.when(chosen, total)), F.sum(F.when(chosen, F.col("runs"))))
+        total, runs = parts
+        return F.try_divide(F.sum(F.when(chosen, total)), F.sum(F.when(chosen, runs)))
 
-    latency, energy = F.col("latency_total"), F.col("energy_total")
-    quality, lpw = F.col("q_ped") * F.col("runs"), F.col("q_ped") * F.col("per_js_total")
+    def rated(runs: str) -> Column:
+        return F.when(F.col("q_ped").isNotNull(), F.col(runs))
+
+    latency, energy = ((F.col(f"{c}_total"), F.col(f"{c}_runs")) for c in ("latency", "energy"))
+    quality = F.col("q_ped") * F.col("runs"), rated("runs")
+    lpw = F.col("q_ped") * F.col("per_js_total"), rated("per_js_runs")
     return folded.groupBy(*keys).agg(
         F.try_divide(mean(other, latency), mean(base, latency)).alias("latency_ratio"),
         (F.try_divide(mean(other, energy) - mean(base, energy), mean(base, energy)) * 100.0).alias(

@@ -38,7 +38,7 @@ def _board_file(t):
         F.col("category").alias("Category"),
         F.concat(F.lit("Explain, please: "), "category").alias("Prompt"),
         _response().alias("Response"),
-        F.col("output_tokens").cast("int").alias("Output_Tokens"),
+        F.col("output_tokens").alias("Output_Tokens"),
         F.col("latency_s").alias("Latency_s"),
         F.col("tokens_per_s").alias("Tokens_per_sec"),
         F.col("gross_energy_j").alias("Gross_Energy_J"),
@@ -60,7 +60,7 @@ def read_prompt_csv(t):
 
 
 @query("s2_read_results_csv", twin(RUNS, body=f"""
-SELECT run_id, {NAME_SQL} AS platform, precision, {RESPONSE_SQL} AS response, CAST(output_tokens AS INT) AS output_tokens, latency_s,
+SELECT run_id, {NAME_SQL} AS platform, precision, {RESPONSE_SQL} AS response, output_tokens, latency_s,
        net_energy_j, cpu_freq_mhz, throttled, q_ped, CAST(NULL AS DOUBLE) AS lpw
 FROM runs"""))
 def read_results_csv(t):
@@ -102,6 +102,12 @@ def read_summary_json(t):
     return summary.read_summary(t.spark, path)
 
 
+@query("f6_feasible_only", f"SELECT platform_key, platform, precision, n FROM ({SUMMARY_TWIN}) WHERE note IS NULL")
+def feasible_only(t):
+    """Configurations without a note in place of their measurements."""
+    return _summary_rows(t).filter(F.col("note").isNull()).select("platform_key", "platform", "precision", "n")
+
+
 @query("s4_read_checkpoints", twin(RUNS, body="SELECT run_id, precision, latency_s, q_ped FROM runs"))
 def read_checkpoints(t):
     """An early unscored checkpoint and a later one repeating its rows with scores; the later row counts."""
@@ -196,7 +202,7 @@ def checkpoint_batches(t):
 
 @query("s10_write_summary_json")
 def write_summary_json(t):
-    return summary.summary_document(_summary_rows(t))
+    return summary.summary_lines(_summary_rows(t))
 
 
 @query("s11_blind_sheet", twin(RAW, body="""

@@ -261,7 +261,7 @@ def weight_sweep(t):
     return swept.groupBy("precision", "w_human").agg(
         n.alias("n_runs"),
         F.round(F.sum(F.col("q_ped") * F.col("runs")) / n, 6).alias("q_ped_mean"),
-        F.round(F.sum(F.col("q_ped") * F.col("per_js_total")) / n, 6).alias("lpw_mean"),
+        F.round(F.try_divide(F.sum(F.col("q_ped") * F.col("per_js_total")), F.sum("per_js_runs")), 6).alias("lpw_mean"),
     )
 
 

@@ -10,14 +10,12 @@ from wattsift.operators import checks, enrich, panel
 from wattsift.operators.judging import parse_judge
 from wattsift.operators.ordered import DAY, id_chunk, number_rows, time_chunk
 from wattsift.operators.power import counter_delta
-from wattsift.operators.sampling import fits
 from wattsift.plans.registry import query
 from wattsift.plans.tables import F16
 from wattsift.plans.twins import (
     MODELS, POWER, PROMPTS, RAW, REPLIES, RUNS, SCORES, TURNS, decimal_round, twin, words,
 )
 from wattsift.schemas import CATEGORY_BANDS, ROUNDING
-from wattsift.session import written
 
 BAND_SQL = " ".join(f"WHEN prompt_id % 500 < {upper} THEN '{label}'" for upper, label in CATEGORY_BANDS)
 
@@ -307,14 +305,6 @@ def response_present(t):
     return t.turns().filter(F.col("response") != "").select("conv_id", "turn", "response")
 
 
-@query("f6_feasible_only", """
-SELECT CAST(r_regionkey AS BIGINT) AS platform, p_partkey AS model_id
-FROM region JOIN part ON p_size / 2e0 <= 4e0 * (r_regionkey + 1)""".strip())
-def feasible_only(t):
-    pairs = fits(t.models(), t.platforms(), "ram_needed_gb", "ram_gb")
-    return pairs.select("platform", "model_id")
-
-
 @query("q1_row_expectations", twin(RAW, body="""
 , totals AS (
   SELECT count(*) AS n_rows, count(DISTINCT category) AS n_categories,
@@ -365,7 +355,7 @@ def recompute_audit(t):
         {"power_net_w": F.round("power_net_w", 2) + spoiled(13), "lpw": F.round("lpw", 8) + spoiled(17)}
     )
     columns = ["run_id", "latency_s", "net_energy_j", "q_ped", "power_net_w", "lpw"]
-    failed = checks.audit(written(stored.select(*columns), "audited"), {"power_net_w": 0.006, "lpw": 1e-6})
+    failed = checks.audit(stored.select(*columns), {"power_net_w": 0.006, "lpw": 1e-6})
     return failed.select(
         "run_id",
         F.round("power_net_w_error", 6).alias("power_net_w_error"),

@@ -1,6 +1,6 @@
 """Streaming plans, each run over everything available and read back, and the apply plans.
 
-The twins are the batch queries; windows still open at the end of the data are left out of both.
+The twins are the batch queries; windows still open at the end of the data are closed by a last row.
 """
 
 from pyspark.sql import DataFrame
@@ -16,7 +16,17 @@ from wattsift.streaming import operators as S
 
 
 def events_stream(t: Tables) -> DataFrame:
-    return jobs.ingest(t.spark, t.sf_dir, t.read("events").schema, name_filter="events.parquet")
+    """The table's folder of part files as a stream, or the one file that it is."""
+    events = t.read("events")
+    if [f.rsplit("/", 1)[-1] for f in events.inputFiles()] == ["events.parquet"]:
+        return jobs.ingest(t.spark, t.sf_dir, events.schema, name_filter="events.parquet")
+    return jobs.ingest(t.spark, f"{t.sf_dir}/events.parquet", events.schema)
+
+
+def closed(t: Tables, rows: DataFrame, ts: str, label: str, build) -> DataFrame:
+    """A windowed stream with all its windows, also those open at the end of the data."""
+    folders = (work_dir(t.spark, f"{label}-{x}") for x in ("end", "out", "checkpoint"))
+    return jobs.run_closed(build, rows, ts, "2262-01-01", *folders)
 
 
 def runs_stream(t: Tables) -> DataFrame:
@@ -38,9 +48,12 @@ def in_sessions(t: Tables, parts: list[DataFrame], label: str, run) -> DataFrame
 
 
 def halves(rows: DataFrame, ts: str) -> list[DataFrame]:
-    """The first part of a collection and the rest of it."""
-    middle = F.lit("2024-01-16").cast("timestamp_ntz")
-    return [rows.filter(F.col(ts) < middle), rows.filter(F.col(ts) >= middle)]
+    """Two sessions of a collection: what lies before the middle of its time, and the rest, also rows without a time."""
+    low, high = rows.agg(F.min(ts).cast("string"), F.max(ts).cast("string")).first()
+    span = F.timestamp_diff("SECOND", F.lit(low).cast("timestamp_ntz"), F.lit(high).cast("timestamp_ntz"))
+    middle = F.timestamp_add("SECOND", (span / 2).cast("bigint"), F.lit(low).cast("timestamp_ntz"))
+    first = F.coalesce(F.col(ts) < middle, F.lit(False))
+    return [rows.filter(first), rows.filter(~first)]
 
 
 @query("t1_resumed_ingest", twin(RAW, body="SELECT run_id, precision, category, latency_s FROM raw_runs"))
@@ -71,14 +84,13 @@ def stateful_delta(t):
 WITH days AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, user_id AS device, value, ts FROM events)
 SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, device, count(*) AS n, round(avg(value), 6) AS mean_w,
        max(value) AS max_w
-FROM days GROUP BY window_start, device
-HAVING window_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""".strip())
+FROM days GROUP BY window_start, device""".strip())
 def tumbling_power(t):
-    stream = S.timed(events_stream(t).select("ts", F.col("user_id").alias("device"), "value"), "ts", "1 hour")
+    rows = events_stream(t).select("ts", F.col("user_id").alias("device"), "value")
     values = [
         F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_w"), F.max("value").alias("max_w"),
     ]
-    return available(t, S.windowed(stream, "ts", "1 day", ["device"], values), "t4")
+    return closed(t, rows, "ts", "t4", lambda r: S.windowed(S.timed(r, "ts", "1 hour"), "ts", "1 day", ["device"], values))
 
 
 @query("t5_sliding_rates", twin(RUNS, body="""
@@ -86,15 +98,18 @@ def tumbling_power(t):
   SELECT unnest([date_trunc('day', started_at), date_trunc('day', started_at) - INTERVAL 1 DAY]) AS w, * FROM runs)
 SELECT CAST(w AS TIMESTAMP) AS window_start, CAST(w + INTERVAL 2 DAY AS TIMESTAMP) AS window_end, precision,
        round(avg(latency_s), 6) AS mean_latency_s, round(avg(tokens_per_s), 6) AS mean_tokens_per_s
-FROM spans GROUP BY w, precision
-HAVING w + INTERVAL 2 DAY <= (SELECT max(started_at) - INTERVAL 1 HOUR FROM runs)"""))
+FROM spans GROUP BY w, precision"""))
 def sliding_rates(t):
-    stream = S.timed(runs_stream(t), "started_at", "1 hour")
     values = [
         F.round(F.avg("latency_s"), 6).alias("mean_latency_s"),
         F.round(F.avg("tokens_per_s"), 6).alias("mean_tokens_per_s"),
     ]
-    return available(t, S.windowed(stream, "started_at", "2 days", ["precision"], values, slide="1 day"), "t5")
+
+    def windows(rows):
+        stream = S.timed(rows, "started_at", "1 hour")
+        return S.windowed(stream, "started_at", "2 days", ["precision"], values, slide="1 day")
+
+    return closed(t, runs_stream(t).select("started_at", "precision", "latency_s", "tokens_per_s"), "started_at", "t5", windows)
 
 
 @query("t6_collection_sessions", twin(RAW, body="""
@@ -104,21 +119,24 @@ def sliding_rates(t):
 numbered AS (
   SELECT *, sum(opens) OVER (PARTITION BY device ORDER BY started_at RANGE UNBOUNDED PRECEDING) AS session FROM gaps)
 SELECT min(started_at) AS window_start, max(started_at) + INTERVAL 6 HOUR AS window_end, device, count(*) AS n
-FROM numbered GROUP BY device, session
-HAVING max(started_at) + INTERVAL 6 HOUR <= (SELECT max(started_at) - INTERVAL 1 HOUR FROM raw_runs)"""))
+FROM numbered GROUP BY device, session"""))
 def collection_sessions(t):
-    stream = S.timed(runs_of(events_stream(t)).select("started_at", "device"), "started_at", "1 hour")
-    return available(t, S.sessions(stream, "started_at", "6 hours", ["device"], [F.count("*").alias("n")]), "t6")
+    rows = runs_of(events_stream(t)).select("started_at", "device")
+
+    def sessions(rows):
+        return S.sessions(S.timed(rows, "started_at", "1 hour"), "started_at", "6 hours", ["device"], [F.count("*").alias("n")])
+
+    return closed(t, rows, "started_at", "t6", sessions)
 
 
 @query("t7_late_rows", twin(RAW, body="""
-, arrivals AS (SELECT run_id, started_at, generated_tokens >= 150 AS first_session FROM raw_runs)
+, arrivals AS (SELECT run_id, started_at, coalesce(generated_tokens >= 150, false) AS first_session FROM raw_runs)
 SELECT run_id, NOT first_session AND started_at < (SELECT max(started_at) FROM arrivals WHERE first_session) - INTERVAL 2 DAY AS late
 FROM arrivals"""))
 def late_rows(t):
     """Rows with short answers arrive in a second session, most of them behind the watermark."""
     rows = t.raw_runs().select("run_id", "started_at", "generated_tokens")
-    long_answer = F.col("generated_tokens") >= 150
+    long_answer = F.coalesce(F.col("generated_tokens") >= 150, F.lit(False))
     sink, checkpoint = work_dir(t.spark, "t7"), work_dir(t.spark, "t7-checkpoint")
 
     def run(stream):
@@ -156,12 +174,15 @@ def running_means(t):
 , days AS (SELECT *, CAST(date_trunc('day', started_at) AS TIMESTAMP) AS window_start FROM runs)
 SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, platform, count(*) FILTER (throttled) AS n_throttled
 FROM days GROUP BY window_start, platform
-HAVING count(*) FILTER (throttled) > 10
-   AND window_start + INTERVAL 1 DAY <= (SELECT max(started_at) - INTERVAL 1 HOUR FROM runs)"""))
+HAVING count(*) FILTER (throttled) > 10"""))
 def throttle_alarm(t):
-    stream = S.timed(runs_stream(t), "started_at", "1 hour")
-    counts = S.windowed(stream, "started_at", "1 day", ["platform"], [F.count_if("throttled").alias("n_throttled")])
-    return available(t, S.alarm(counts, 10), "t10")
+    rows = runs_stream(t).select("started_at", "platform", "throttled")
+    counted = [F.count_if("throttled").alias("n_throttled")]
+
+    def alarms(rows):
+        return S.alarm(S.windowed(S.timed(rows, "started_at", "1 hour"), "started_at", "1 day", ["platform"], counted), 10)
+
+    return closed(t, rows, "started_at", "t10", alarms)
 
 
 @query("t11_stream_dimension_join", twin(RUNS, PLATFORMS, body="""

@@ -76,7 +76,7 @@ steps AS (
 EXECUTIONS = """
 executions AS (
   SELECT event_id AS run_id, user_id AS device, ts AS t0, ts + INTERVAL 12 HOUR AS t1
-  FROM events WHERE event_type = 'purchase')"""
+  FROM events)"""
 
 REPLIES = """
 replies AS (

@@ -50,40 +50,40 @@ ROUNDING = {
 }
 
 
-PROMPT_FILE = "ID INT, CATEGORY STRING, PROMPT STRING"
+PROMPT_FILE = "ID BIGINT, CATEGORY STRING, PROMPT STRING"
 
 # Result-file variants as DDL. Columns that hold blanks before scoring are read as text.
 RESULT_FILES = {
     "gpu": (
-        "ID BIGINT, Precision STRING, Category STRING, Prompt STRING, Response STRING, Input_Tokens INT,"
-        " Output_Tokens INT, Latency_s DOUBLE, Tokens_per_sec DOUBLE, Gross_Energy_J DOUBLE,"
+        "ID BIGINT, Precision STRING, Category STRING, Prompt STRING, Response STRING, Input_Tokens BIGINT,"
+        " Output_Tokens BIGINT, Latency_s DOUBLE, Tokens_per_sec DOUBLE, Gross_Energy_J DOUBLE,"
         " Net_Energy_J DOUBLE, Power_W DOUBLE, use_cache BOOLEAN"
     ),
     "judged": (
         "ID BIGINT, Precision STRING, Category STRING, Prompt STRING, Response STRING, Latency_s DOUBLE,"
-        " Net_Energy_J DOUBLE, Power_W DOUBLE, Qped INT, Score_Reason STRING, LpW DOUBLE"
+        " Net_Energy_J DOUBLE, Power_W DOUBLE, Qped DOUBLE, Score_Reason STRING, LpW DOUBLE"
     ),
     "unscored": (
         "ID BIGINT, Precision STRING, Category STRING, Prompt STRING, Response STRING, Latency_s DOUBLE,"
         " Net_Energy_J DOUBLE, Power_W DOUBLE, Qped STRING, LpW STRING"
     ),
     "laptop": (
-        "ID BIGINT, Precision STRING, Category STRING, Prompt STRING, Response STRING, Input_Tokens INT,"
-        " Output_Tokens INT, Latency_s DOUBLE, Tokens_per_sec DOUBLE, Platform STRING"
+        "ID BIGINT, Precision STRING, Category STRING, Prompt STRING, Response STRING, Input_Tokens BIGINT,"
+        " Output_Tokens BIGINT, Latency_s DOUBLE, Tokens_per_sec DOUBLE, Platform STRING"
     ),
     "desktop": (
         "ID BIGINT, HW_Platform STRING, Backend STRING, Precision STRING, Category STRING, Prompt STRING,"
-        " Response STRING, Output_Tokens INT, Latency_s DOUBLE, Tokens_per_sec DOUBLE, Gross_Energy_J DOUBLE,"
+        " Response STRING, Output_Tokens BIGINT, Latency_s DOUBLE, Tokens_per_sec DOUBLE, Gross_Energy_J DOUBLE,"
         " Net_Energy_J DOUBLE, Power_W DOUBLE, use_cache BOOLEAN, Q_ped STRING, LpW STRING"
     ),
     "board": (
         "ID BIGINT, HW_Platform STRING, Backend STRING, Precision STRING, Category STRING, Prompt STRING,"
-        " Response STRING, Output_Tokens INT, Latency_s DOUBLE, Tokens_per_sec DOUBLE, Gross_Energy_J DOUBLE,"
+        " Response STRING, Output_Tokens BIGINT, Latency_s DOUBLE, Tokens_per_sec DOUBLE, Gross_Energy_J DOUBLE,"
         " Net_Energy_J DOUBLE, Power_W DOUBLE, CPU_Freq_MHz DOUBLE, CPU_Temp_C DOUBLE, Throttled BOOLEAN,"
         " Q_ped STRING, LpW STRING"
     ),
     "published": (
-        "ID BIGINT, HW_Platform STRING, Backend STRING, Precision STRING, Category STRING, Output_Tokens INT,"
+        "ID BIGINT, HW_Platform STRING, Backend STRING, Precision STRING, Category STRING, Output_Tokens BIGINT,"
         " Latency_s DOUBLE, Gross_Energy_J DOUBLE, Net_Energy_J DOUBLE, Power_W DOUBLE, Q_ped DOUBLE, LpW DOUBLE"
     ),
     "models": (

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattsift.functions.text import category_label, number_or_null, precision_label
+from wattsift.functions.text import category_label, model_name, model_precision, number_or_null, precision_label
 from wattsift.schemas import CANONICAL_NAMES, PROMPT_FILE, RESULT_FILES
 
 # Quoted fields may hold commas, doubled quotes and line breaks; surrounding blanks are data.
@@ -15,17 +15,18 @@ CSV = {
     "quote": '"',
     "escape": '"',
     "multiLine": True,
+    "enforceSchema": False,
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
 }
-CSV_WRITE = {k: v for k, v in CSV.items() if k != "multiLine"} | {"quoteAll": True}
+CSV_WRITE = {k: v for k, v in CSV.items() if k not in ("multiLine", "enforceSchema")} | {"quoteAll": True}
 
 # Text with line breaks cannot be split inside a file, so files are kept small enough to read apart.
 ROWS_PER_FILE = 1_000_000
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with or without a UTF-8 byte order mark."""
+    """CSV with or without a UTF-8 byte order mark. A header other than the schema's columns, in order, fails the read."""
     return spark.read.schema(schema).options(**CSV).csv(path)
 
 
@@ -44,19 +45,26 @@ def read_runs(spark: SparkSession, path: str, variant: str) -> DataFrame:
     Blank score columns (text in unscored files) come back as NULL doubles.
     """
     rows = _canonical(read_csv(spark, path, RESULT_FILES[variant]))
-    text = {f.name for f in rows.schema if f.dataType == T.StringType()}
-    scores = [c for c in ("q_ped", "lpw") if c in rows.columns]
-    return rows.withColumns(
-        {c: number_or_null(F.col(c)) if c in text else F.col(c).cast("double") for c in scores}
-    )
+    return rows.withColumns({c: _score(rows, c) for c in ("q_ped", "lpw") if c in rows.columns})
+
+
+def _score(df: DataFrame, name: str) -> Column:
+    text = df.schema[name].dataType == T.StringType()
+    return number_or_null(F.col(name)) if text else F.col(name).cast("double")
 
 
 def harmonise(*tables: DataFrame) -> DataFrame:
-    """Union of result variants: canonical names, one spelling per label, missing columns NULL."""
+    """Union of result variants: canonical names, one spelling per label, blank scores and missing columns NULL.
+
+    A variant without a precision column has it behind the model's name.
+    """
 
     def clean(df: DataFrame) -> DataFrame:
         df = _canonical(df)
-        labels: dict[str, Column] = {}
+        labels: dict[str, Column] = {c: _score(df, c) for c in ("q_ped", "lpw") if c in df.columns}
+        if "model" in df.columns and "precision" not in df.columns:
+            labels["precision"] = precision_label(model_precision(F.col("model")))
+            labels["model"] = model_name(F.col("model"))
         if "category" in df.columns:
             labels["category"] = category_label(F.col("category"))
         if "precision" in df.columns:
