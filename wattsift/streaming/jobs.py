@@ -50,7 +50,7 @@ def run_snapshots(stream: DataFrame, sink: str, checkpoint: str) -> DataFrame:
     run_batches(stream, checkpoint, write, "complete")
     spark = stream.sparkSession
     try:
-        snapshots = spark.read.schema(stream.schema.add("batch", T.LongType())).parquet(sink)
+        snapshots = spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).parquet(sink)
         newest = snapshots.agg({"batch": "max"}).first()[0]
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
