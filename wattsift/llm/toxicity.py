@@ -111,7 +111,11 @@ class Scorer:
 
 
 def _suspicion(pieces: Pieces, which: np.ndarray, doc: np.ndarray, piece: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """For each distinct piece, how much more often some letter run of it (of 3 to 5) is in toxic texts than in clean ones."""
+    """For each distinct piece, how surely some letter run of it (of 3 to 5) tells toxic texts from clean ones.
+
+    It is the log-likelihood gain of the run's own share of toxic texts over the common share, above what the luckiest
+    of so many runs would reach by chance; runs with a tenth or more of clean texts don't count.
+    """
     owner, codes = [], []
     size = pieces.end[which] - pieces.start[which]
     for k in (3, 4, 5):
@@ -137,10 +141,11 @@ def _suspicion(pieces: Pieces, which: np.ndarray, doc: np.ndarray, piece: np.nda
     in_toxic = toxic[held // len(runs)] == 1
     t = np.bincount(held[in_toxic] % len(runs), minlength=len(runs))
     c = np.bincount(held[~in_toxic] % len(runs), minlength=len(runs))
-    odds = np.log((t + 0.1) / (toxic.sum() + 1)) - np.log((c + 1.0) / ((toxic == 0).sum() + 1)) + 0.3 * np.log(np.maximum(t, 1))
-    odds[t < 3] = -9.0
-    out = np.full(len(which), -9.0)
-    np.maximum.at(out, owner, odds[run])
+    m, q = t + c, toxic.mean()
+    gain = t * np.log(np.maximum(t, 1) / (m * q)) + c * np.log(np.maximum(c, 1) / (m * (1 - q))) - np.log(len(runs))
+    gain[10 * c >= m] = -99.0
+    out = np.full(len(which), -99.0)
+    np.maximum.at(out, owner, gain[run])
     return out
 
 
@@ -176,7 +181,7 @@ def train(texts: list[str | None], toxic: np.ndarray, share: float, landmarks: i
         return none
     pairs = np.unique(pieces.text.astype(np.int64) * len(hashes) + inverse)
     doc, piece = pairs // len(hashes), pairs % len(hashes)
-    margins = _suspicion(pieces, first, doc, piece, toxic) - 3.0
+    margins = _suspicion(pieces, first, doc, piece, toxic)
     length = np.ones(len(first))
     for own, strings in pieces.strings(first):
         length[own] = norms(strings)
@@ -190,7 +195,7 @@ def train(texts: list[str | None], toxic: np.ndarray, share: float, landmarks: i
     heads = piece[order[np.concatenate(([True], doc[order][1:] != doc[order][:-1]))]]
     worst = np.zeros(len(first), bool)
     worst[heads] = True
-    positive = np.flatnonzero(pure & ((worst & (margins > 0)) | ((margins > 1) & (in_toxic >= 3))))
+    positive = np.flatnonzero(pure & ((worst & (margins > 0)) | ((margins > 3) & (in_toxic >= 3))))
     if not len(positive):
         return none
     negative = clean[np.argsort(hashes[clean], kind="stable")[:3000]]
