@@ -131,7 +131,7 @@ def _deal(docs: DataFrame, text: str, size: int, frequent, ranges: int, buckets:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, common = Words(NOT_BLANK), set(), frequent.value
         for batch in batches:
-            for part in slices(batch, text, 4 << 20):
+            for part in slices(batch, text, 2 << 20):
                 sets, ids = [], []
                 for s in _sorted_sets(words.of(part.column(text)), size):
                     if len(s) and (name := _set_id(s)) not in seen:
