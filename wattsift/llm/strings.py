@@ -54,17 +54,48 @@ def triple_table(string: np.ndarray) -> np.ndarray:
     return out
 
 
-def dots(strings: np.ndarray, *tables: np.ndarray, step: int = 2000) -> np.ndarray:
-    """For strings of one length, the inner products of their feature vectors with each table."""
-    out = np.zeros((len(strings), len(tables)))
+def dots(strings: np.ndarray, table: np.ndarray, step: int = 2000) -> np.ndarray:
+    """For strings of one length, the inner product of their feature vectors with a table."""
+    out = np.zeros(len(strings))
     if strings.shape[1] >= 3:
         for a in range(0, len(strings), step):
             codes, weight = _codes(strings[a : a + step])
-            for j, table in enumerate(tables):
-                out[a : a + step, j] = np.einsum("ij,ij->i", table[codes], weight)
+            out[a : a + step] = np.einsum("ij,ij->i", table[codes], weight)
     return out
 
 
+class Landmarks:
+    """Feature vectors of unit length of a few strings, kept only at the triples that some of them have."""
+
+    def __init__(self, strings: list[np.ndarray]):
+        parts = [_codes(s[None, :]) for s in strings]
+        self.used = np.unique(np.concatenate([c[0][w[0] > 0] for c, w in parts]))
+        self.slot = np.zeros(TABLE, np.int32)
+        self.slot[self.used] = np.arange(1, len(self.used) + 1)
+        self.rows = np.zeros((len(strings), len(self.used) + 1))
+        for row, (codes, weight) in zip(self.rows, parts):
+            np.add.at(row, self.slot[codes[0]], weight[0])
+            row[0] = 0
+            row /= np.sqrt((row**2).sum())
+
+    def products(self, strings: np.ndarray, step: int = 2000) -> np.ndarray:
+        """For strings of one length, the inner product with each landmark."""
+        out = np.zeros((len(strings), len(self.rows)))
+        if strings.shape[1] >= 3:
+            for a in range(0, len(strings), step):
+                codes, weight = _codes(strings[a : a + step])
+                at = self.slot[codes]
+                for j, row in enumerate(self.rows):
+                    out[a : a + step, j] = np.einsum("ij,ij->i", row[at], weight)
+        return out
+
+    def combined(self, coefficients: np.ndarray) -> np.ndarray:
+        """The table of a weighted sum of landmarks."""
+        out = np.zeros(TABLE)
+        out[self.used] = coefficients @ self.rows[:, 1:]
+        return out
+
+
 def norms(strings: np.ndarray, step: int = 2000) -> np.ndarray:
     """For strings of one length, the length of their feature vectors; 1 for strings without a triple."""
     out = np.zeros(len(strings))
@@ -85,4 +116,4 @@ def norms(strings: np.ndarray, step: int = 2000) -> np.ndarray:
 
 def kernel(a: np.ndarray, b: np.ndarray) -> float:
     """The normalised kernel of two strings; 0 where one has no triple."""
-    return float(dots(a[None, :], triple_table(b))[0, 0] / (norms(a[None, :])[0] * norms(b[None, :])[0]))
+    return float(dots(a[None, :], triple_table(b))[0] / (norms(a[None, :])[0] * norms(b[None, :])[0]))

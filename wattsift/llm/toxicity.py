@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattsift.llm.frames import fitted, plus, without
-from wattsift.llm.strings import MOST, SYMBOL, dots, norms, triple_table
+from wattsift.llm.strings import MOST, SYMBOL, TABLE, Landmarks, dots, norms
 from wattsift.llm.words import NOT_BLANK, RADIX, U64, Found, Words, _powers, mixed, slices
 
 CACHE = 1 << 20
@@ -78,7 +78,7 @@ class Machine:
     def margins(self, pieces: Pieces, which: np.ndarray) -> np.ndarray:
         out = np.full(len(which), self.bias)
         for own, strings in pieces.strings(which):
-            out[own] += dots(strings, self.table)[:, 0] / norms(strings)
+            out[own] += dots(strings, self.table) / norms(strings)
         return out
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
@@ -175,7 +175,7 @@ def train(texts: list[str | None], toxic: np.ndarray, share: float, landmarks: i
     """Fit on labelled texts; ``share`` is the share of toxic ones outside the sample. Deterministic."""
     found = Words(NOT_BLANK).of(pa.array(texts, pa.string()))
     pieces = Pieces(found)
-    none = Machine(np.zeros(len(triple_table(np.zeros(0, np.uint8)))), 0.0, 0.0, float(np.log((share + 1e-4) / (1 - share + 1e-4))))
+    none = Machine(np.zeros(TABLE), 0.0, 0.0, float(np.log((share + 1e-4) / (1 - share + 1e-4))))
     hashes, first, inverse = np.unique(pieces.hashes(), return_index=True, return_inverse=True)
     if not len(hashes) or toxic.min() == toxic.max():
         return none
@@ -211,18 +211,18 @@ def train(texts: list[str | None], toxic: np.ndarray, share: float, landmarks: i
         label = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
         weight = np.concatenate((np.sqrt(times), np.ones(len(negative))))
         weight[label > 0] *= len(negative) / weight[label > 0].sum()
-        tables = [triple_table(pieces.symbols[pieces.start[m] : pieces.end[m]]) / length[k] for k, m in zip(marks, first[marks])]
+        landmark = Landmarks([pieces.symbols[pieces.start[m] : pieces.end[m]] for m in first[marks]])
         features, among = (np.zeros((len(x), len(marks))) for x in (which, marks))
         for out, of in ((features, which), (among, marks)):
             for own, strings in pieces.strings(first[of]):
-                out[own] = dots(strings, *tables) / length[of[own]][:, None]
+                out[own] = landmark.products(strings) / length[of[own]][:, None]
         values_, vectors = np.linalg.eigh(among + 1e-3 * np.eye(len(marks)))
         root = vectors / np.sqrt(np.maximum(values_, 1e-6)) @ vectors.T
         w = _newton_svm(features @ root, label, weight)
-        table = sum(c * t for c, t in zip(root @ w[:-1], tables))
+        table = landmark.combined(root @ w[:-1])
         machine = Machine(table, float(w[-1]), 1.0, 0.0)
         for own, strings in pieces.strings(first):
-            margins[own] = machine.bias + dots(strings, table)[:, 0] / length[own]
+            margins[own] = machine.bias + dots(strings, table) / length[own]
     top = np.full(len(texts), machine.bias)
     np.maximum.at(top, doc, margins[piece])
     slope, shift = _calibrated(top, toxic, share)
