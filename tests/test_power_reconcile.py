@@ -133,3 +133,9 @@ def test_reconcile_equals_brute_force(rows, limit, busy):
     schema = "prompt_id long, prompt string"
     got = reconcile(rows(schema, *a), rows(schema, *b), limit, busy=busy)
     assert collected(got, "id_a", "id_b", "distance") == sorted(want, key=repr)
+
+
+def test_texts_that_fold_to_nothing_match_nothing(rows):
+    a = rows("prompt_id long, prompt string", (1, "Привет"), (2, "same text"), (3, "?!"))
+    b = rows("prompt_id long, prompt string", (7, "你好"), (8, "Same, text"), (9, ""))
+    assert collected(reconcile(a, b), "id_a", "id_b", "distance") == [(2, 8, 0)]

@@ -107,12 +107,12 @@ def reconcile(a: DataFrame, b: DataFrame, max_distance: int = 2, busy: int = 100
 
     Inputs have ``prompt_id`` and ``prompt``. Copies of a folded text are one text, named by its lowest
     id. Texts equal in both corpora match at distance 0; the others match at 1..max_distance, all of
-    their partners kept.
+    their partners kept. A text with nothing left after folding (other scripts, signs only) matches nothing.
     """
 
     def folded(df: DataFrame) -> DataFrame:
         norm = comparable(F.col("prompt")).alias("norm")
-        return df.select("prompt_id", norm).groupBy("norm").agg(F.min("prompt_id").alias("id"))
+        return df.select("prompt_id", norm).filter("norm <> ''").groupBy("norm").agg(F.min("prompt_id").alias("id"))
 
     both = (
         folded(a).select("norm", F.col("id").alias("id_a"), F.lit(None).cast("bigint").alias("id_b"))

@@ -142,7 +142,7 @@ def human_against_ai(t):
 , folded AS (
   SELECT corpus, norm, min(prompt_id) AS id FROM (
     SELECT corpus, prompt_id, trim(regexp_replace(translate(lower(prompt), '{X.ACCENTED}', '{X.PLAIN}'), '[^a-z0-9]+', ' ', 'g')) AS norm
-    FROM prompts) GROUP BY ALL),
+    FROM prompts) WHERE norm <> '' GROUP BY ALL),
 a AS (SELECT * FROM folded WHERE corpus = 'A'),
 b AS (SELECT * FROM folded WHERE corpus = 'B')
 SELECT a.id AS id_a, b.id AS id_b, CAST(0 AS BIGINT) AS distance FROM a JOIN b USING (norm)
