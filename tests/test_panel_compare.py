@@ -143,3 +143,10 @@ def test_samples_and_distinct(rows):
     assert len(once) == 8
     texts = rows("c string, t string", ("x", "a"), ("x", "a"), ("x", "b"), ("y", "a"))
     assert collected(sampling.distinct_counts(texts, ["c"], "t")) == [("x", 3, 2, 1), ("y", 1, 1, 0)]
+
+
+def test_votes_fold_by_hash(spark):
+    from wattsift.plans.tables import Tables
+
+    plan = Tables(spark, "/root/testdata/sf0.001").scores()._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

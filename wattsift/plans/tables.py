@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattsift.operators.enrich import with_metrics, with_throttled
-from wattsift.operators.ordered import DAY, latest, running, time_chunk
+from wattsift.operators.ordered import DAY, running, time_chunk
 from wattsift.operators.power import SAMPLE_ORDER
 
 F16, Q4 = "F16", "Q4_K_M"
@@ -43,6 +43,19 @@ def runs_of(events: DataFrame) -> DataFrame:
     )
 
 
+def _rater_kind(rater: Column) -> Column:
+    return F.when(rater < 10, "human").otherwise("ai")
+
+
+def _vote_order() -> Column:
+    """Date, order, price, line and quantity as one number, in places wide enough for each (orders below 2 ** 40)."""
+    when = F.unix_date(F.col("l_shipdate").cast("date")).cast("bigint") * (1 << 40) + F.col("l_orderkey")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    parts = F.round(F.col("l_quantity") * 100).cast("bigint")
+    within = cents * 10_000_000 + F.col("l_linenumber") * 100_000 + parts
+    return (when.cast("decimal(18,0)") * F.expr("cast('10000000000000000000' AS decimal(20,0))") + within).cast("decimal(38,0)")
+
+
 def metered(raw_runs: DataFrame) -> DataFrame:
     return raw_runs.transform(with_metrics).transform(with_throttled)
 
@@ -71,17 +84,16 @@ class Tables:
             F.expr("l_partkey div 4").alias("item_id"),
             F.when(F.col("l_orderkey") % 2 == 0, F16).otherwise(Q4).alias("precision"),
             rater.alias("rater_id"),
-            F.when(rater < 10, "human").otherwise("ai").alias("rater_kind"),
+            _rater_kind(rater).alias("rater_kind"),
             F.element_at(dims, F.col("l_linenumber") % 4 + 1).alias("dim"),
             (1 + F.col("l_quantity").cast("bigint") % 10).alias("score"),
-            F.col("l_shipdate").alias("scored_at"),
-            F.struct("l_orderkey", "l_extendedprice", "l_linenumber", "l_quantity").alias("entry"),
+            _vote_order().alias("vote_order"),
         )
 
     def scores(self) -> DataFrame:
-        keys = ["item_id", "precision", "rater_id", "dim"]
-        order = [F.col("scored_at"), F.col("entry")]
-        return latest(self.votes(), keys, order, keep=["rater_kind", "score"])
+        """The last vote of each rater: a hash aggregate, as value and order have fixed widths."""
+        last = self.votes().groupBy("item_id", "precision", "rater_id", "dim").agg(F.max_by("score", "vote_order").alias("score"))
+        return last.select("item_id", "precision", "rater_id", "dim", _rater_kind(F.col("rater_id")).alias("rater_kind"), "score")
 
     def turns(self) -> DataFrame:
         talk = self.read("conversations")
