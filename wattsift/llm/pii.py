@@ -244,14 +244,15 @@ def find_pii(docs: DataFrame, id: str = "doc_id", text: str = "text", max_carrie
 
     Kinds email, ip, card and phone are exact matches; likely_email and so on are the tagger's. Positions count code
     points, ends are exclusive. The tagger learns from spans written into windows of at most ``max_carriers`` texts,
-    those whose ids hash lowest. All of every text is searched: exact matches and the tagger both need a digit or an @, and
+    those that hash lowest with their ids. All of every text is searched: exact matches and the tagger both need a digit or an @, and
     every window that holds one is read.
 
     A NULL or empty text has no spans. Repeated rows get the same spans each. A column of this name is replaced.
     """
     base = without(docs, "pii")
-    first = docs.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.substring(text, 1, 2000).alias("text"))
-    carriers = first.orderBy(F.xxhash64("id"), "id", "text").limit(max_carriers).select("text")
+    keyed = docs.where(F.col(text).isNotNull()).select(F.xxhash64(id, text).alias("key"), F.substring(text, 1, 2000).alias("text"))
+    lowest = keyed.select("key").orderBy("key").limit(max_carriers).distinct()
+    carriers = keyed.join(F.broadcast(lowest), "key").groupBy("key").agg(F.max("text").alias("text")).select("text")
     tagger = Tagger(seed, fitted(carriers, lambda rows: train(sorted(r["text"] for r in rows), seed=seed).p))
     sent = docs.sparkSession.sparkContext.broadcast(tagger)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
