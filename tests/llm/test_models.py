@@ -214,3 +214,20 @@ def test_licenses_edges(edge, none, spark):
     assert got.count() == edge.count() and got.columns.count("licenses") == 1
     assert find_licenses(none).count() == 0
     assert table(spark, SF_DIR, "documents").transform(find_licenses).where(F.size("licenses") > 0).count() > 0
+
+
+@pytest.mark.parametrize("header", ["GPL-3.0", "GPL-2.0", "LGPL-2.1", "AGPL-3.0"])
+def test_notices_behind_a_header_are_found(header):
+    rng = random.Random(8)
+    body = max((b for name, b in NOTICES if name == header), key=len)
+    for _ in range(30):
+        prose = [" ".join("".join(rng.choices("etaoinshr", k=rng.randrange(2, 9))) for _ in range(60)) for _ in range(2)]
+        text = f"{prose[0]}\n{body}\nLicensed under the MIT License.\n{prose[1]}"
+        assert [f["license"] for f in Scanner().scan(text)] == [header, "MIT"]
+
+
+def test_lists_of_notices_are_found_whole():
+    short = [n for n in NOTICES if len(n[1].split()) < 20]
+    random.Random(4).shuffle(short)
+    found = Scanner().scan("Third-party notices\n" + "\n".join(body for _, body in short))
+    assert [f["license"] for f in found] == [name for name, _ in short]

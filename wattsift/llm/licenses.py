@@ -1,7 +1,8 @@
 """License scans by conditional compression.
 
 A block of text that may hold a license is compressed alone and with each notice as a raw zstandard dictionary. Notices
-are ranked by how much smaller they make it, and the best are confirmed by the exact differences in wording.
+are ranked by how much smaller they make it, and confirmed in this order by the exact differences in wording. All that
+share a few words in a row with the block are, however many there are.
 """
 
 import re
@@ -21,12 +22,18 @@ CUE = re.compile("|".join(CUES), re.IGNORECASE | re.ASCII)
 WORD = re.compile(r"\w+")
 FOUND = "array<struct<start:bigint,end:bigint,license:string,reduction:double,missing:int,added:int>>"
 BLOCK = 1500
+#: Words in a row that a text and a notice must share, or all of a shorter notice.
+RUN = 4
 
 
 def words_at(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text, start, end)]
 
 
+def runs(words: list[str], n: int) -> Iterator[tuple[str, ...]]:
+    return zip(*(words[k:] for k in range(n))) if n else iter(())
+
+
 def blocks(text: str) -> list[tuple[int, int]]:
     """Ranges of text around cue words, up to half a block to either side, cut at line ends beyond the next; merged."""
     out: list[list[int]] = []
@@ -41,9 +48,9 @@ def blocks(text: str) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    """Notices as dictionaries and words. ``top`` notices of each piece of a block are looked at closely."""
+    """Notices as dictionaries and words, and which notices hold each run of as many words as a confirmation needs."""
 
-    def __init__(self, notices=NOTICES, top: int = 6, level: int = 3):
+    def __init__(self, notices=NOTICES, level: int = 3):
         self.notices = [(name, [w for w, _, _ in words_at(body, 0, len(body))]) for name, body in notices]
         self.plain = zstandard.ZstdCompressor(level=level)
         self.given = [
@@ -52,21 +59,30 @@ class Scanner:
             )
             for _, body in notices
         ]
-        self.top = top
-
-    def ranked(self, piece: str) -> list[tuple[float, int]]:
-        """(share of the compressed size saved, notice), best first."""
+        self.holders: dict[tuple[str, ...], set[int]] = {}
+        for k, (_, want) in enumerate(self.notices):
+            for run in runs(want, min(RUN, len(want))):
+                self.holders.setdefault(run, set()).add(k)
+        self.sizes = sorted({len(run) for run in self.holders})
+
+    def sharing(self, words: list[str]) -> set[int]:
+        """Notices that share a run with the words: no other can be confirmed."""
+        return {k for n in self.sizes for run in runs(words, n) for k in self.holders.get(run, ())}
+
+    def ranked(self, piece: str, notices: set[int]) -> list[tuple[float, int]]:
+        """(share of the compressed size saved, notice) of the given notices, best first."""
+        if not notices:
+            return []
         data = piece.encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(data))
-        saved = [(1 - len(c.compress(data)) / alone, -k) for k, c in enumerate(self.given)]
-        return [(s, -k) for s, k in sorted(saved, reverse=True)[: self.top] if s > 0]
+        return sorted(((1 - len(self.given[k].compress(data)) / alone, k) for k in notices), key=lambda x: (-x[0], x[1]))
 
     def differences(self, notice: int, words: list[str]) -> tuple[int, int, int, int] | None:
         """(first word, last word, notice words missing, words between that are not the notice's) of the best place."""
         want = self.notices[notice][1]
         match = SequenceMatcher(None, words, want, autojunk=False)
         seed = match.find_longest_match()
-        if seed.size < min(4, len(want)):
+        if seed.size < min(RUN, len(want)):
             return None
         low, high = max(0, seed.a - seed.b - 3), min(len(words), seed.a - seed.b + len(want) + 4)
         same = [b for b in SequenceMatcher(None, words[low:high], want, autojunk=False).get_matching_blocks() if b.size]
@@ -84,7 +100,7 @@ class Scanner:
                     continue
                 words = words_at(text, start, min(b, start + BLOCK))
                 spoken = [w for w, _, _ in words]
-                for saved, notice in self.ranked(piece):
+                for saved, notice in self.ranked(piece, self.sharing(spoken)):
                     at = 0
                     while (d := self.differences(notice, spoken[at:])) is not None:
                         first, last, missing, added = d
