@@ -231,3 +231,29 @@ def test_lists_of_notices_are_found_whole():
     random.Random(4).shuffle(short)
     found = Scanner().scan("Third-party notices\n" + "\n".join(body for _, body in short))
     assert [f["license"] for f in found] == [name for name, _ in short]
+
+
+LICENSE_LINE = re.compile(r"^.*\blicense.*$", re.IGNORECASE | re.MULTILINE)
+
+
+@pytest.mark.parametrize("sf_dir", [SF_01, SF_1])
+def test_every_license_line_of_the_documents_is_found(spark, sf_dir):
+    held = table(spark, sf_dir, "documents").where("lower(text) LIKE '%license%'").transform(find_licenses).collect()
+    lines = 0
+    for row in held:
+        for line in LICENSE_LINE.finditer(row.text):
+            lines += 1
+            assert any(s.start < line.end() and s.end > line.start() for s in row.licenses), line[0]
+    assert lines >= 30
+
+
+@pytest.mark.parametrize("short", ["BY", "BY-SA", "BY-NC", "BY-NC-SA", "BY-ND", "BY-NC-ND"])
+def test_creative_commons_kinds_are_told_apart(short):
+    say = {"NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives", "BY": "Attribution"}
+    long = "-".join(say[part] for part in short.split("-"))
+    for text in (
+        f"Licensed under CC {short} 4.0.", f"licensed under CC-{short}-4.0", f"It is licensed under the CC {short} 4.0 license.",
+        f"This work is licensed under the Creative Commons {long} 4.0 International License.",
+        f"Licensed under a Creative Commons {long} 4.0 International License.",
+    ):
+        assert [f["license"] for f in Scanner().scan("A few words before. " + text + " And a few behind it.")] == [f"CC-{short}-4.0"], text

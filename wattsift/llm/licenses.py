@@ -17,7 +17,7 @@ from wattsift.llm.frames import plus, without
 from wattsift.llm.templates import NOTICES
 
 #: Every notice holds one of these in some case.
-CUES = ("licen", "permission", "redistribut", "public domain", "copyright")
+CUES = ("licen", "permission", "redistribut", "public domain", "copyright", "released under")
 CUE = re.compile("|".join(CUES), re.IGNORECASE | re.ASCII)
 WORD = re.compile(r"\w+")
 FOUND = "array<struct<start:bigint,end:bigint,license:string,reduction:double,missing:int,added:int>>"

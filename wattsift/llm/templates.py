@@ -1,5 +1,23 @@
 """Notices of public licenses, as their stewards word them. A name may have several."""
 
+#: Creative Commons licenses by their short and long names, and versions as both name them.
+COMMONS = (
+    ("BY", "Attribution"),
+    ("BY-SA", "Attribution-ShareAlike"),
+    ("BY-NC", "Attribution-NonCommercial"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+)
+VERSIONS = (("4.0", "4.0 International"), ("3.0", "3.0 Unported"))
+WORDINGS = (
+    "This work is licensed under a Creative Commons {long} License.",
+    "Licensed under a Creative Commons {long} License.",
+    "Licensed under CC {short}.",
+    "Licensed under the CC {short} License.",
+    "Released under CC {short}.",
+)
+
 NOTICES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
@@ -53,11 +71,16 @@ NOTICES: tuple[tuple[str, str], ...] = (
         " granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     (
         "CC0-1.0",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this"
         " work.",
     ),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
+    *(
+        (f"CC-{short}-{version}", wording.format(long=f"{long} {named}", short=f"{short} {version}"))
+        for wording in WORDINGS
+        for short, long in COMMONS
+        for version, named in VERSIONS
+    ),
 )
