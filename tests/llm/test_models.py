@@ -257,3 +257,17 @@ def test_creative_commons_kinds_are_told_apart(short):
         f"Licensed under a Creative Commons {long} 4.0 International License.",
     ):
         assert [f["license"] for f in Scanner().scan("A few words before. " + text + " And a few behind it.")] == [f"CC-{short}-4.0"], text
+
+
+def test_a_changed_copy_before_an_exact_one_is_found():
+    body = next(b for name, b in NOTICES if name == "MIT" and len(b) > 100)
+    changed = body.replace("charge", "cost")
+    for text, want in (
+        (changed + " and again: " + body, [(1, 1), (0, 0)]),
+        (body + " and again: " + changed, [(0, 0), (1, 1)]),
+        (changed + " " + changed + " " + body, [(1, 1), (1, 1), (0, 0)]),
+        (changed + " of charge, to any person obtaining a copy of this " + body, [(1, 1), (0, 0)]),
+        # what fails to confirm takes no copy before or behind it along
+        (changed + " x " + " ".join(body.split()[:20]) + " y " + changed, [(1, 1), (1, 1)]),
+    ):
+        assert [(f["missing"], f["added"]) for f in Scanner().scan(text)] == want

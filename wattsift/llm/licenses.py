@@ -6,7 +6,7 @@ share a few words in a row with the block are, however many there are.
 """
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -59,39 +59,43 @@ class Scanner:
             )
             for _, body in notices
         ]
-        self.holders: dict[tuple[str, ...], set[int]] = {}
+        self.holders: dict[tuple[str, ...], list[tuple[int, int]]] = {}
         for k, (_, want) in enumerate(self.notices):
-            for run in runs(want, min(RUN, len(want))):
-                self.holders.setdefault(run, set()).add(k)
+            for at, run in enumerate(runs(want, min(RUN, len(want)))):
+                self.holders.setdefault(run, []).append((k, at))
         self.sizes = sorted({len(run) for run in self.holders})
 
-    def sharing(self, words: list[str]) -> set[int]:
-        """Notices that share a run with the words: no other can be confirmed."""
-        return {k for n in self.sizes for run in runs(words, n) for k in self.holders.get(run, ())}
+    def sharing(self, words: list[str]) -> dict[int, set[int]]:
+        """Notices that share a run with the words, with the places where they would start: no other can be confirmed."""
+        out: dict[int, set[int]] = {}
+        for n in self.sizes:
+            for here, run in enumerate(runs(words, n)):
+                for k, at in self.holders.get(run, ()):
+                    out.setdefault(k, set()).add(here - at)
+        return out
 
-    def ranked(self, piece: str, notices: set[int]) -> list[tuple[float, int]]:
+    def ranked(self, piece: str, notices: Iterable[int]) -> list[tuple[float, int]]:
         """(share of the compressed size saved, notice) of the given notices, best first."""
-        if not notices:
-            return []
         data = piece.encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(data))
         return sorted(((1 - len(self.given[k].compress(data)) / alone, k) for k in notices), key=lambda x: (-x[0], x[1]))
 
-    def differences(self, notice: int, words: list[str]) -> tuple[int, int, int, int] | None:
-        """(first word, last word, notice words missing, words between that are not the notice's) of the best place."""
+    def differences(self, notice: int, words: list[str], start: int) -> tuple[int, int, int, int] | None:
+        """(first word, last word, notice words missing, words between that are not the notice's) of a copy that starts at
+        ``start`` or, as words were added or left out, a little before or behind."""
         want = self.notices[notice][1]
-        match = SequenceMatcher(None, words, want, autojunk=False)
-        seed = match.find_longest_match()
-        if seed.size < min(RUN, len(want)):
-            return None
-        low, high = max(0, seed.a - seed.b - 3), min(len(words), seed.a - seed.b + len(want) + 4)
+        slack = max(4, len(want) // 10 + 1)
+        low, high = max(0, start - slack), min(len(words), start + len(want) + slack)
         same = [b for b in SequenceMatcher(None, words[low:high], want, autojunk=False).get_matching_blocks() if b.size]
+        if not same:
+            return None
         held = sum(b.size for b in same)
         first, last = low + same[0].a, low + same[-1].a + same[-1].size - 1
         return first, last, len(want) - held, last - first + 1 - held
 
     def scan(self, text: str) -> list[dict]:
-        """Confirmed notices: at most a tenth of the wording missing and a tenth added. Longer ones win overlaps."""
+        """Confirmed notices at every place: at most a tenth of the wording missing and a tenth added. Of overlapping ones
+        those with fewer differences win, then longer ones."""
         found: list[tuple] = []
         for a, b in blocks(text):
             for start in range(a, b, BLOCK // 2):
@@ -100,14 +104,14 @@ class Scanner:
                     continue
                 words = words_at(text, start, min(b, start + BLOCK))
                 spoken = [w for w, _, _ in words]
-                for saved, notice in self.ranked(piece, self.sharing(spoken)):
-                    at = 0
-                    while (d := self.differences(notice, spoken[at:])) is not None:
-                        first, last, missing, added = d
-                        size = len(self.notices[notice][1])
-                        if 10 * missing <= size and 10 * added <= size:
-                            found.append((words[at + first][1], words[at + last][2], notice, saved, missing, added))
-                        at += last + 1
+                places = self.sharing(spoken)
+                for saved, notice in self.ranked(piece, places) if places else ():
+                    size = len(self.notices[notice][1])
+                    for start_word in sorted(places[notice]):
+                        d = self.differences(notice, spoken, start_word)
+                        if d is not None and 10 * d[2] <= size and 10 * d[3] <= size:
+                            first, last, missing, added = d
+                            found.append((words[first][1], words[last][2], notice, saved, missing, added))
         best: dict[tuple, tuple] = {}
         for f in found:
             key = f[:3]
