@@ -62,6 +62,16 @@ def test_toxicity_on_held_out_labels(spark):
     assert (bad >= 0.5).mean() > 0.8 and (good >= 0.5).mean() < 0.03
 
 
+def test_toxicity_is_learned_in_every_language(spark):
+    """Words that clean texts hold too, but a fortieth as often, tell the toxic texts of three languages by their number."""
+    docs, labels = table(spark, SF_1, "documents"), table(spark, SF_1, "labels")
+    rows = toxicity.score(docs, labels).where("held_out").join(labels, "doc_id").select("lang", "predicted", "toxic").toPandas()
+    for lang in ("en", "de", "fr", "es"):
+        own = rows[rows.lang == lang]
+        assert own[own.toxic == 1].predicted.mean() > 0.75, lang
+        assert own[own.toxic == 0].predicted.mean() < 0.1, lang
+
+
 def test_gapped_insults_score_like_plain_ones(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choices(["an", "the", "or", "is", "on", "re"], k=rng.randrange(1, 4)))

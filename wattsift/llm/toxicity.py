@@ -1,8 +1,9 @@
 """Toxicity by a support vector machine on a subsequence string kernel, with Nyström landmarks.
 
 Sentences are bags of pieces: words, runs of spelled-out letters joined, and overlapping parts of long words. A piece's
-features are its kernels with the landmark strings; the machine is linear in them. A text counts as toxic as its worst
-piece, so training looks for the piece in each toxic text that tells it from clean ones.
+features are its kernels with the landmark strings; the machine is linear in them. Training weighs how often toxic texts
+use a piece against how often clean ones do. A text is judged by all its pieces: by the largest margin, the sum of the
+positive ones and their share of the text, so that a mild piece counts where it repeats.
 """
 
 import zlib
@@ -20,6 +21,9 @@ from wattsift.llm.words import NOT_BLANK, RADIX, U64, Found, Words, _powers, mix
 
 CACHE = 1 << 20
 FOLDS = 5
+#: Margins above which pieces count: mild ones by their number, sure ones alone.
+LIMITS = (1.0, 2.0, 3.0)
+POOLED = 1 + 2 * len(LIMITS)
 
 
 class Pieces:
@@ -68,10 +72,12 @@ class Pieces:
 
 @dataclass(frozen=True)
 class Machine:
-    """``table`` holds the machine's weight of every triple; slope and shift turn margins into probabilities."""
+    """``table`` holds the machine's weight of every triple; ``pool`` the weights of what a text's margins are pooled to;
+    slope and shift turn the evidence of a text into a probability."""
 
     table: np.ndarray
     bias: float
+    pool: np.ndarray
     slope: float
     shift: float
 
@@ -81,8 +87,21 @@ class Machine:
             out[own] += dots(strings, self.table) / norms(strings)
         return out
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
+    def probability(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.shift, -30, 30)))
+
+
+def pooled(margins: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """For each of n texts: the largest margin of its pieces; and for each of a few limits the sum of what margins have
+    above it, whole and for a hundred pieces, on a logarithmic scale. Texts without pieces have zeros."""
+    size = np.bincount(text, minlength=n)
+    top = np.full(n, -1.0)
+    np.maximum.at(top, text, np.clip(margins, -1, 6))
+    out = [top]
+    for limit in LIMITS:
+        held = np.bincount(text, np.clip(margins - limit, 0, 3), minlength=n)
+        out += [np.log1p(held), np.log1p(100 * held / np.maximum(size, 30))]
+    return np.column_stack(out)
 
 
 class Scorer:
@@ -93,7 +112,10 @@ class Scorer:
         self.known, self.margin = np.empty(0, U64), np.empty(0)
 
     def worst(self, found: Found) -> np.ndarray:
-        """The largest margin among each text's pieces; the bias where there is none."""
+        """The evidence of each text, from the margins of all its pieces."""
+        return self.pooled(found) @ self.machine.pool
+
+    def pooled(self, found: Found) -> np.ndarray:
         pieces = Pieces(found)
         hashes, first, inverse = np.unique(pieces.hashes(), return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
@@ -105,16 +127,14 @@ class Scorer:
         merged = np.concatenate((self.known, hashes[new]))
         order = np.argsort(merged, kind="stable")
         self.known, self.margin = merged[order], np.concatenate((self.margin, margins[new]))[order]
-        out = np.full(len(found.counts), self.machine.bias)
-        np.maximum.at(out, pieces.text, margins[inverse])
-        return out
+        return pooled(margins[inverse], pieces.text, len(found.counts))
 
 
 def _suspicion(pieces: Pieces, which: np.ndarray, doc: np.ndarray, piece: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """For each distinct piece, how surely some letter run of it (of 3 to 5) tells toxic texts from clean ones.
 
     It is the log-likelihood gain of the run's own share of toxic texts over the common share, above what the luckiest
-    of so many runs would reach by chance; runs with a tenth or more of clean texts don't count.
+    of so many runs would reach by chance; runs that toxic texts don't hold more often than others don't count.
     """
     owner, codes = [], []
     size = pieces.end[which] - pieces.start[which]
@@ -137,13 +157,14 @@ def _suspicion(pieces: Pieces, which: np.ndarray, doc: np.ndarray, piece: np.nda
     low, high = np.searchsorted(owner, piece), np.searchsorted(owner, piece, "right")
     times = high - low
     at = np.repeat(low - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
-    held = np.unique(np.repeat(doc, times) * np.int64(len(runs)) + run[at])
+    held, often = np.unique(np.repeat(doc, times) * np.int64(len(runs)) + run[at], return_counts=True)
     in_toxic = toxic[held // len(runs)] == 1
-    t = np.bincount(held[in_toxic] % len(runs), minlength=len(runs))
-    c = np.bincount(held[~in_toxic] % len(runs), minlength=len(runs))
-    m, q = t + c, toxic.mean()
-    gain = t * np.log(np.maximum(t, 1) / (m * q)) + c * np.log(np.maximum(c, 1) / (m * (1 - q))) - np.log(len(runs))
-    gain[10 * c >= m] = -99.0
+    often = np.log2(1 + often)
+    t = np.bincount(held[in_toxic] % len(runs), often[in_toxic], minlength=len(runs))
+    c = np.bincount(held[~in_toxic] % len(runs), often[~in_toxic], minlength=len(runs))
+    m, q = t + c, t.sum() / (t.sum() + c.sum())
+    gain = t * np.log(np.maximum(t, 1e-9) / (m * q)) + c * np.log(np.maximum(c, 1e-9) / (m * (1 - q))) - 2 * np.log(len(runs))
+    gain[t <= m * q] = -99.0
     out = np.full(len(which), -99.0)
     np.maximum.at(out, owner, gain[run])
     return out
@@ -171,46 +192,69 @@ def _newton_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
     return w
 
 
-def train(texts: list[str | None], toxic: np.ndarray, share: float, landmarks: int = 160, rounds: int = 4) -> Machine:
-    """Fit on labelled texts; ``share`` is the share of toxic ones outside the sample. Deterministic."""
+def train(texts: list[str | None], toxic: np.ndarray, share: float, parts: int = 3) -> Machine:
+    """Fit on labelled texts; ``share`` is the share of toxic ones outside the sample. Deterministic.
+
+    The weights of pooled margins are fitted to texts that the machine giving the margins has not seen: each part of the
+    texts is scored by a machine of the others. The machine returned is one of all texts.
+    """
+    none = Machine(np.zeros(TABLE), 0.0, np.zeros(POOLED), 0.0, float(np.log((share + 1e-4) / (1 - share + 1e-4))))
+    machine = _machine(texts, toxic)
+    if machine is None:
+        return none
+    part = np.zeros(len(texts), np.int64)
+    for y in (0, 1):
+        part[toxic == y] = np.arange((toxic == y).sum()) % parts
+    seen, scored = np.zeros((len(texts), POOLED)), np.zeros(len(texts), bool)
+    for k in range(parts):
+        other = _machine([t for t, p in zip(texts, part) if p != k], toxic[part != k])
+        if other is not None:
+            own = Words(NOT_BLANK).of(pa.array([t for t, p in zip(texts, part) if p == k], pa.string()))
+            seen[part == k], scored[part == k] = Scorer(Machine(*other, np.zeros(POOLED), 0.0, 0.0)).pooled(own), True
+    if not scored.any():
+        return none
+    pool, shift = _calibrated(seen[scored], toxic[scored], share)
+    return Machine(*machine, pool, 1.0, shift)
+
+
+def _machine(texts: list[str | None], toxic: np.ndarray, landmarks: int = 160, rounds: int = 4) -> tuple[np.ndarray, float] | None:
+    """The weight of every triple and the bias of a machine for pieces; nothing if none tells toxic texts."""
     found = Words(NOT_BLANK).of(pa.array(texts, pa.string()))
     pieces = Pieces(found)
-    none = Machine(np.zeros(TABLE), 0.0, 0.0, float(np.log((share + 1e-4) / (1 - share + 1e-4))))
     hashes, first, inverse = np.unique(pieces.hashes(), return_index=True, return_inverse=True)
     if not len(hashes) or toxic.min() == toxic.max():
-        return none
+        return None
     pairs = np.unique(pieces.text.astype(np.int64) * len(hashes) + inverse)
     doc, piece = pairs // len(hashes), pairs % len(hashes)
     margins = _suspicion(pieces, first, doc, piece, toxic)
     length = np.ones(len(first))
     for own, strings in pieces.strings(first):
         length[own] = norms(strings)
-    machine = none
-    in_toxic = np.bincount(piece[toxic[doc] == 1], minlength=len(first))
-    in_clean = np.bincount(piece[toxic[doc] == 0], minlength=len(first))
-    pure = (in_toxic > 0) & (in_clean * 20 <= in_toxic)
-    clean = np.flatnonzero(in_clean)
-    # witnesses: the most suspicious piece of each toxic text, if clean texts lack it, and those that many toxic texts share
-    order = np.lexsort((piece, -margins[piece], doc))
-    heads = piece[order[np.concatenate(([True], doc[order][1:] != doc[order][:-1]))]]
-    worst = np.zeros(len(first), bool)
-    worst[heads] = True
-    positive = np.flatnonzero(pure & ((worst & (margins > 0)) | ((margins > 3) & (in_toxic >= 3))))
+    uses = [np.bincount(inverse[toxic[pieces.text] == y], minlength=len(first)) for y in (0, 1)]
+    # how often toxic texts use a piece for each time that as many clean words do
+    scale = uses[0].sum() / max(uses[1].sum(), 1)
+    clean = np.flatnonzero(uses[0])
+    # witnesses: pieces that toxic texts use more often than clean ones and of which some run tells them apart
+    positive = np.flatnonzero((uses[1] * scale > uses[0]) & (margins > 0))
     if not len(positive):
-        return none
+        return None
+    telling = margins[positive].copy()
+    both = positive[uses[0][positive] > 0]
     negative = clean[np.argsort(hashes[clean], kind="stable")[:3000]]
     for _ in range(rounds):  # each against more of the clean pieces that score highest so far
-        times = in_toxic[positive]
+        times = uses[1][positive]
         hard = clean[np.argsort(-margins[clean], kind="stable")[:3000]]
         negative = np.setdiff1d(np.union1d(negative, hard), positive)
         marks = np.concatenate((
-            positive[np.lexsort((positive, -times))][: landmarks * 3 // 4],
+            _spread(positive, times, telling)[: landmarks * 3 // 4],
             hard[~np.isin(hard, positive)][: landmarks - landmarks * 3 // 4],
         ))
-        which = np.concatenate((positive, negative))
-        label = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
-        weight = np.concatenate((np.sqrt(times), np.ones(len(negative))))
-        weight[label > 0] *= len(negative) / weight[label > 0].sum()
+        which = np.concatenate((positive, negative, both))
+        label = np.concatenate((np.ones(len(positive)), -np.ones(len(negative) + len(both))))
+        weight = times * np.sqrt(uses[0][negative]).sum() / times.sum()
+        # a witness that clean texts use too stands on both sides, by how often
+        own = np.isin(positive, both)
+        weight = np.concatenate((weight, np.sqrt(uses[0][negative]), weight[own] * uses[0][both] / (uses[1][both] * scale)))
         landmark = Landmarks([pieces.symbols[pieces.start[m] : pieces.end[m]] for m in first[marks]])
         features, among = (np.zeros((len(x), len(marks))) for x in (which, marks))
         for out, of in ((features, which), (among, marks)):
@@ -220,29 +264,43 @@ def train(texts: list[str | None], toxic: np.ndarray, share: float, landmarks: i
         root = vectors / np.sqrt(np.maximum(values_, 1e-6)) @ vectors.T
         w = _newton_svm(features @ root, label, weight)
         table = landmark.combined(root @ w[:-1])
-        machine = Machine(table, float(w[-1]), 1.0, 0.0)
         for own, strings in pieces.strings(first):
-            margins[own] = machine.bias + dots(strings, table) / length[own]
-    top = np.full(len(texts), machine.bias)
-    np.maximum.at(top, doc, margins[piece])
-    slope, shift = _calibrated(top, toxic, share)
-    return Machine(machine.table, machine.bias, slope, shift)
+            margins[own] = w[-1] + dots(strings, table) / length[own]
+    return table, float(w[-1])
 
 
-def _calibrated(margin: np.ndarray, toxic: np.ndarray, share: float) -> tuple[float, float]:
-    """Logistic slope and shift of toxic against margin, with texts weighted to the share outside the sample."""
+def _spread(positive: np.ndarray, times: np.ndarray, telling: np.ndarray) -> np.ndarray:
+    """Witnesses in the order of landmarks: the most used for each telling run in turn, so that every language and every
+    word has its own, however many texts of another there are. Pieces with the same run have the same gain of it."""
+    order = positive[np.lexsort((positive, -times, -telling))]
+    gain = telling[np.lexsort((positive, -times, -telling))]
+    heads = np.flatnonzero(np.concatenate(([True], gain[1:] != gain[:-1])))
+    turn = np.arange(len(order)) - np.repeat(heads, np.diff(np.append(heads, len(order))))
+    return order[np.argsort(turn, kind="stable")]
+
+
+def _calibrated(seen: np.ndarray, toxic: np.ndarray, share: float, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Logistic weights and shift of toxic against the pooled margins, with texts weighted to the share outside the
+    sample. More of any of them never makes a text less toxic: weights below zero are left out, the least first."""
     y = toxic.astype(float)
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        g, h = weight * (y - p), weight * p * (1 - p) + 1e-9
-        hessian = np.array([[(h * margin * margin).sum() + 1e-2, (h * margin).sum()], [(h * margin).sum(), h.sum() + 1e-6]])
-        step = np.linalg.solve(hessian, [(g * margin).sum() - 1e-2 * a, g.sum()])
-        a, b = a + np.clip(step[0], -5, 5), b + np.clip(step[1], -5, 5)
-        if np.abs(step).max() < 1e-9:
-            break
-    return max(float(a), 1e-3), float(b)
+    used = np.ones(seen.shape[1], bool)
+    ridge = np.append(np.full(seen.shape[1], 1e-1), 1e-6)
+    while True:
+        on = np.append(used, True)
+        x, v = np.column_stack((seen, np.ones(len(y))))[:, on], np.zeros(on.sum())
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
+            h = weight * p * (1 - p) + 1e-9
+            step = np.linalg.solve((x * h[:, None]).T @ x + np.diag(ridge[on]), x.T @ (weight * (y - p)) - ridge[on] * v)
+            v = v + np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-9:
+                break
+        out = np.zeros(len(on))
+        out[on] = v
+        if not used.any() or out[:-1].min() >= 0:
+            return out[:-1], float(out[-1])
+        used[out[:-1].argmin()] = False
 
 
 def held_out(id):
@@ -267,7 +325,7 @@ def train_on(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str,
         rows.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), str(r["id"]), r["text"] or ""))
         toxic = np.array([r["y"] for r in rows] or [0], np.int64)
         machine = train([r["text"] for r in rows], toxic, share)
-        return machine.table, machine.bias, machine.slope, machine.shift
+        return machine.table, machine.bias, machine.pool, machine.slope, machine.shift
 
     return Machine(*fitted(held, fit))
 
