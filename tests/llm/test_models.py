@@ -164,6 +164,15 @@ def test_tagger_learns_and_paths_are_well_formed():
         assert tag == 0 or tag % 2 == 1 or before in (tag - 1, tag)
 
 
+def test_addresses_in_words_are_read():
+    plain = "some plain words to carry what is written into them, "
+    assert pii.stretches(plain * 5) == []
+    for address in ("jane (at) example dot org", "jane (at) example.com", "jane at example dot net"):
+        text = plain * 3 + "write to " + address + " " + plain * 3
+        (a, b), = pii.stretches(text)
+        assert a <= text.index(address) and b >= text.index(address) + len(address)
+
+
 def test_pii_edges(edge, none):
     small = pii.find_pii(edge, max_carriers=5)
     rows = small.collect()

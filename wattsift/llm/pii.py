@@ -1,6 +1,6 @@
 """Personal data: exact patterns, and spans that a character tagger adds.
 
-The tagger reads windows around every digit and @ of a text. Where windows overlap, their tag probabilities are
+The tagger reads windows around every digit, every @ and every address that spells it as a word. Where windows overlap, their tag probabilities are
 averaged, those near a window's middle counting more, and one path through each stretch of text settles its spans.
 """
 
@@ -26,6 +26,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 TRIGGER = re.compile(r"[0-9@]+")
+#: What every span holds: a digit, an @, or the word at before a name and a dot, which may be a word too.
+HELD = re.compile(r"[0-9@]+|\bat\b(?=(\s*(?:[)\]]\s*)?[a-zA-Z0-9-]+\s*(?:\.|\bdot\b)\s*[a-zA-Z]))")
 
 
 def luhn(digits: str) -> bool:
@@ -169,10 +171,10 @@ def train(carriers: list[str], windows: int = 3500, epochs: int = 7, seed: int =
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text within half a window of a digit or @, merged; outside them no span can be."""
+    """Parts of the text within half a window of a digit, an @ or an address in words, merged; no plausible span lies outside."""
     out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - STRIDE), min(len(text), m.end() + STRIDE)
+    for m in HELD.finditer(text):
+        a, b = max(0, m.start() - STRIDE), min(len(text), max(m.end(), m.end(1)) + STRIDE)
         if out and a <= out[-1][1]:
             out[-1][1] = b
         else:
@@ -244,13 +246,15 @@ def find_pii(docs: DataFrame, id: str = "doc_id", text: str = "text", max_carrie
 
     Kinds email, ip, card and phone are exact matches; likely_email and so on are the tagger's. Positions count code
     points, ends are exclusive. The tagger learns from spans written into windows of at most ``max_carriers`` texts,
-    those that hash lowest with their ids. All of every text is searched: exact matches and the tagger both need a digit or an @, and
-    every window that holds one is read.
+    those that hash lowest with their ids; of a long text, 2000 characters from a place anywhere in it. All of every text is
+    searched: exact matches and the tagger need a digit, an @ or an address in words, and every window that holds one is read.
 
     A NULL or empty text has no spans. Repeated rows get the same spans each. A column of this name is replaced.
     """
     base = without(docs, "pii")
-    keyed = docs.where(F.col(text).isNotNull()).select(F.xxhash64(id, text).alias("key"), F.substring(text, 1, 2000).alias("text"))
+    key = F.xxhash64(id, text)
+    place = F.pmod(F.xxhash64(key), F.greatest(F.length(text) - 1999, F.lit(1))).cast("int") + 1
+    keyed = docs.where(F.col(text).isNotNull()).select(key.alias("key"), F.col(text).substr(place, F.lit(2000)).alias("text"))
     lowest = keyed.select("key").orderBy("key").limit(max_carriers).distinct()
     carriers = keyed.join(F.broadcast(lowest), "key").groupBy("key").agg(F.max("text").alias("text")).select("text")
     tagger = Tagger(seed, fitted(carriers, lambda rows: train(sorted(r["text"] for r in rows), seed=seed).p))
