@@ -2,6 +2,7 @@
 
 from wattsift.llm import (  # noqa: F401  (they register)
     q_decontaminate,
+    q_hard_negatives,
     q_licenses,
     q_mixing,
     q_ngram_join,
@@ -10,7 +11,9 @@ from wattsift.llm import (  # noqa: F401  (they register)
     q_reshard,
     q_rules,
     q_secrets,
+    q_token_counts,
     q_toxicity,
+    q_whitening,
 )
 from wattsift.llm.registry import QUERIES, TWINS
 
