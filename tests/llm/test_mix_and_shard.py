@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wattsift.llm.flow import cheapest_transfers
 from wattsift.llm.mixing import leaf_budgets, mix, taken
-from wattsift.llm.reshard import Layout, place_blocks, reshard, rewrite_affected
+from wattsift.llm.reshard import Layout, manifest, place_blocks, read_shards, reshard, rewrite_affected
 
 
 def ones():
@@ -141,11 +141,36 @@ def test_reshard_edges(edge, none):
 
 def test_only_affected_shards_are_written(spark, tmp_path):
     docs = spark.range(800).selectExpr("id AS doc_id", "md5(cast(id AS string)) AS text", "id AS shard")
-    layout = Layout(old=3, new=4, blocks=100)
-    written = rewrite_affected(spark, docs, str(tmp_path / "out"), layout)
-    got = spark.read.parquet(str(tmp_path / "out"))
+    layout, path = Layout(old=3, new=4, blocks=100), str(tmp_path / "out")
+    schema = docs.drop("shard").schema
     placed = {r.doc_id: r for r in reshard(docs, layout).collect()}
-    assert 3 in written
-    assert {(r.doc_id, r.shard) for r in got.collect()} == {(k, r.shard) for k, r in placed.items() if r.shard in written}
-    assert all(r.shard == r.old_shard for r in placed.values() if r.shard not in written)
-    assert set(itertools.chain.from_iterable((r.shard, r.old_shard) for r in placed.values() if r.shard != r.old_shard)) == set(written)
+    want = {(k, r.shard) for k, r in placed.items()}
+    read = lambda: {(r.doc_id, r.shard) for r in read_shards(spark, path, schema).collect()}
+    affected = rewrite_affected(spark, docs, path, layout)
+    assert 3 in affected and read() == want  # the first version has all shards
+    assert set(itertools.chain.from_iterable((r.shard, r.old_shard) for r in placed.values() if r.shard != r.old_shard)) == set(affected)
+    had = manifest(spark, path)
+    (tmp_path / "out" / "data" / "other").mkdir()
+    (tmp_path / "out" / "data" / "other" / "keep").write_text("x")
+    assert rewrite_affected(spark, docs, path, layout) == affected and read() == want
+    version, now = manifest(spark, path)
+    assert version == had[0] + 1 and {n for n in now if now[n] == had[1][n]} == set(now) - set(affected)
+    assert (tmp_path / "out" / "data" / "other" / "keep").exists()  # nothing else is touched
+
+
+def test_rewriting_edges(spark, edge, none, tmp_path):
+    path, schema = str(tmp_path / "out"), edge.drop("shard").schema
+    rewrite_affected(spark, edge, path)
+    assert read_shards(spark, path, schema).count() == edge.count()
+    held = sorted(manifest(spark, path)[1])
+    assert rewrite_affected(spark, none, path) == held  # they are empty now
+    assert read_shards(spark, path, schema).count() == 0 and manifest(spark, path) == (2, {})
+
+
+def test_a_write_without_its_manifest_changes_nothing(spark, tmp_path, monkeypatch):
+    docs = spark.range(50).selectExpr("id AS doc_id", "md5(cast(id AS string)) AS text")
+    path, layout = str(tmp_path / "out"), Layout(old=2, new=3, blocks=20)
+    rewrite_affected(spark, docs, path, layout)
+    before = manifest(spark, path)
+    docs.selectExpr("doc_id", "text", "1 AS shard").write.partitionBy("shard").parquet(f"{path}/data/half-done")
+    assert manifest(spark, path) == before and read_shards(spark, path, docs.schema).count() == 50

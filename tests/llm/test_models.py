@@ -290,3 +290,14 @@ def test_a_changed_copy_before_an_exact_one_is_found():
         (changed + " x " + " ".join(body.split()[:20]) + " y " + changed, [(1, 1), (1, 1)]),
     ):
         assert [(f["missing"], f["added"]) for f in Scanner().scan(text)] == want
+
+
+def test_stretches_hold_every_spelling_and_take_linear_time():
+    import time
+
+    for address in ("jane AT example DOT org", "jane (At) example.org", "jane [at] example [dot] org", "jane (at) example (dot) org"):
+        assert len(pii.stretches(f"please write to {address} soon")) == 1, address
+    start = time.perf_counter()
+    for hostile in ("at-" * 350_000, "at " * 350_000, "at" + "a" * 1_000_000, "at" + " " * 1_000_000):
+        pii.stretches(hostile)
+    assert time.perf_counter() - start < 20

@@ -1,5 +1,7 @@
 """The pipeline's stages, each against a plain version on its own input."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +74,28 @@ def test_stages_take_edges(spark, edge, none):
         assert stage(spark, none.select(*plain.columns), SF_DIR).count() == 0
     kept = P.keep_one_of_each(spark, plain, SF_DIR)
     assert kept.where("doc_id IN (1, 2)").count() == 1 and kept.where("doc_id IS NULL").count() == 2
+
+
+def words(seed: int, n: int = 60) -> list[str]:
+    rnd = random.Random(seed)
+    return ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+
+
+def near(text: list[str], at: int) -> str:
+    return " ".join([*text[:at], "other", *text[at + 1 :]])
+
+
+def test_texts_that_share_an_id_are_told_apart(spark):
+    """A unique text under the id of a near copy stays, and so do unique texts without an id."""
+    one, two, three = words(1), words(2), words(3)
+    rows = [
+        (1, " ".join(one)), (2, near(one, 58)), (2, " ".join(two)), (3, "a b c"), (3, "a b c"), (None, near(one, 1)),
+        (None, " ".join(three)), (None, near(three, 59)), (4, None), (4, ""), (5, " ".join(two)), (5, " ".join(two)),
+    ]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars int")
+    kept = sorted(((r.doc_id, r.text) for r in P.keep_one_of_each(spark, docs, SF_DIR).collect()), key=repr)
+    left = [r for r in kept if r[0] is None]
+    assert len(left) == 1 and left[0][1] in {" ".join(three), near(three, 59)}  # one of the two without an id
+    assert sorted((r for r in kept if r[0] is not None), key=repr) == sorted(
+        [(1, " ".join(one)), (2, " ".join(two)), (3, "a b c"), (4, None), (4, "")], key=repr
+    )

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattsift.llm.frames import plus, without
+from wattsift.llm.frames import plain, plus, revived, without
 from wattsift.llm.words import ALNUM, UPPER_TO_LOWER, Found, Words, mixed, slices
 
 FOUND = "n_words bigint, hit_ranges array<struct<first:bigint,last:bigint>>, items array<string>"
@@ -169,13 +169,13 @@ def find_contamination(
     schema = plus(base, FOUND)
     for k in range(blocks):
         block = named.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).toArrow()
-        patterns = docs.sparkSession.sparkContext.broadcast(compile_patterns(block, window))
+        patterns = docs.sparkSession.sparkContext.broadcast([plain(p) for p in compile_patterns(block, window)])
 
         def scan(batches: Iterator[pa.RecordBatch], patterns=patterns) -> Iterator[pa.RecordBatch]:
-            words = Words(ALNUM)
+            words, tables = Words(ALNUM), [revived(Patterns, p) for p in patterns.value]
             for batch in batches:
                 for part in slices(batch, text):
-                    yield _scan(part, words, patterns.value, text, keep)
+                    yield _scan(part, words, tables, text, keep)
 
         out = out.mapInArrow(scan, schema)
     n_hit = F.aggregate("hit_ranges", F.lit(0).cast("bigint"), lambda n, r: n + r["last"] - r["first"] + 1)

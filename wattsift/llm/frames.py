@@ -21,6 +21,18 @@ def plus(df: DataFrame, ddl: str) -> T.StructType:
     return T.StructType(df.schema.fields + T.StructType.fromDDL(ddl).fields)
 
 
+def plain(model: Any) -> dict:
+    """A model as plain values and arrays. Broadcasts hold these: an executor need not have the package to read them."""
+    return dict(vars(model))
+
+
+def revived(kind: type, values: dict) -> Any:
+    """The model again, in a task."""
+    model = object.__new__(kind)
+    model.__dict__.update(values)
+    return model
+
+
 def ascii_letters(low: bool) -> str:
     letters = "".join(map(chr, range(97, 123)))
     return letters if low else letters.upper()

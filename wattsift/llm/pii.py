@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattsift.llm.frames import fitted, plus, without
+from wattsift.llm.frames import fitted, plain, plus, revived, without
 from wattsift.llm.tagger import KINDS, LENGTH, PAD, TAGS, Tagger, encode
 
 Span = tuple[int, str, int]  # start, kind, end
@@ -27,7 +27,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 TRIGGER = re.compile(r"[0-9@]+")
 #: What every span holds: a digit, an @, or the word at before a name and a dot, which may be a word too.
-HELD = re.compile(r"[0-9@]+|\bat\b(?=(\s*(?:[)\]]\s*)?[a-zA-Z0-9-]+\s*(?:\.|\bdot\b)\s*[a-zA-Z]))")
+HELD = re.compile(r"[0-9@]+|\bat\b(?=(\s{0,9}(?:[)\]]\s{0,9})?[a-zA-Z0-9-]{1,63}(?![a-zA-Z0-9-])\s{0,9}(?:[(\[]\s{0,9})?(?:\.|\bdot\b)\s{0,9}(?:[)\]]\s{0,9})?[a-zA-Z]))", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -258,16 +258,17 @@ def find_pii(docs: DataFrame, id: str = "doc_id", text: str = "text", max_carrie
     lowest = keyed.select("key").orderBy("key").limit(max_carriers).distinct()
     carriers = keyed.join(F.broadcast(lowest), "key").groupBy("key").agg(F.max("text").alias("text")).select("text")
     tagger = Tagger(seed, fitted(carriers, lambda rows: train(sorted(r["text"] for r in rows), seed=seed).p))
-    sent = docs.sparkSession.sparkContext.broadcast(tagger)
+    sent = docs.sparkSession.sparkContext.broadcast(plain(tagger))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = revived(Tagger, sent.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 texts = [t or "" for t in part.column(text).to_pylist()]
                 bases = [base_spans(t) for t in texts]
-                more = added_spans(sent.value, texts, bases, sure)
+                more = added_spans(tagger, texts, bases, sure)
                 rows = [[{"start": s, "kind": x, "end": e} for s, x, e in sorted(b + m)] if b or m else [] for b, m in zip(bases, more)]
                 for r in rows:
                     r.sort(key=lambda s: (s["start"], s["kind"] not in KINDS, KINDS.index(s["kind"].removeprefix("likely_"))))

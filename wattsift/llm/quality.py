@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattsift.llm.frames import plus, without
+from wattsift.llm.frames import plain, plus, revived, without
 from wattsift.llm.words import NOT_BLANK, Found, Words, slices
 from wattsift.session import written
 
@@ -119,14 +119,14 @@ def with_evidence(docs: DataFrame, model: Evidence, text: str = "text") -> DataF
     A text without words has 0.
     """
     base = without(docs, "evidence")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(plain(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(NOT_BLANK)
+        words, evidence = Words(NOT_BLANK), revived(Evidence, sent.value)
         for batch in batches:
             for part in slices(batch, text):
                 found = words.of(part.column(text))
-                p = np.where(found.counts > 0, sent.value.probability(measures(found)), 0)
+                p = np.where(found.counts > 0, evidence.probability(measures(found)), 0)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(np.rint(p * MICRO).astype(np.int64))], names=[*part.schema.names, "evidence"]
                 )

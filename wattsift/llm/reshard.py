@@ -5,11 +5,15 @@ parameters, come to the driver; there the flow between shards is solved and real
 their block.
 """
 
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattsift.llm.flow import cheapest_transfers
 from wattsift.llm.frames import without
@@ -126,10 +130,17 @@ def reshard(docs: DataFrame, layout: Layout = Layout(), id: str = "doc_id", text
 def rewrite_affected(
     spark: SparkSession, docs: DataFrame, path: str, layout: Layout = Layout(), id: str = "doc_id", text: str = "text"
 ) -> list[int]:
-    """Write the new shards that gain or lose rows below ``path``, one folder ``shard=N`` each; returns their numbers.
+    """Write the new shards that gain or lose rows below ``path``; returns their numbers.
 
-    Shards whose rows all stay are not written again.
+    Each call writes to a folder of its own below ``path/data``, and then, in ``path/manifest/version=V``, one row
+    (shard, folder) for every shard that has rows: a shard whose rows all stay keeps the folder it had. Nothing is
+    deleted or overwritten, and a call that dies before its manifest changes nothing. Without a manifest there is
+    no folder to keep, and all shards are written. ``read_shards`` reads what the newest manifest names.
+
+    NULL texts and ids, ties and repeated rows go as ``reshard`` deals them; columns called shard, old_shard, group or
+    block are replaced. An empty table empties all shards.
     """
+    version, had = manifest(spark, path)
     rows = written(sized(docs.select(id, text), id, text), "sizes")
     heavy, blocks = placement(rows, layout)
     base = without(docs, "shard", "old_shard", "group", "block")
@@ -140,7 +151,36 @@ def rewrite_affected(
     marked = marked.withColumn("block", F.coalesce(piece.cast("bigint"), _light_block(F.col("group"), layout)))
     marked = marked.withColumn("old_shard", old_shard(F.col("group"), layout)).join(F.broadcast(blocks.drop("subs")), "block")
     moved = marked.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
-    affected = sorted(r[0] for r in moved.collect())
-    out = marked.where(F.col("shard").isin(affected)).select(*base.columns, "shard")
-    out.write.mode("overwrite").partitionBy("shard").parquet(path)
+    held = sorted(r[0] for r in blocks.select("shard").distinct().collect())
+    affected = sorted({r[0] for r in moved.collect()} | set(had).difference(held))
+    fresh = [n for n in held if n in affected or n not in had]
+    folder = f"{path}/data/{uuid.uuid4().hex}"
+    marked.where(F.col("shard").isin(fresh)).select(*base.columns, "shard").write.partitionBy("shard").parquet(folder)
+    named = [(n, f"{folder}/shard={n}" if n in fresh else had[n]) for n in held]
+    named.append((None, None))  # also a version without shards has a row
+    spark.createDataFrame(named, MANIFEST).coalesce(1).write.parquet(f"{path}/manifest/version={version + 1}")
     return affected
+
+
+MANIFEST = "shard int, folder string"
+
+
+def manifest(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
+    """The newest version, 0 for none, and the folder of each of its shards."""
+    try:
+        rows = spark.read.schema(f"{MANIFEST}, version int").parquet(f"{path}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0, {}
+    newest = rows.agg(F.max("version")).first()[0]
+    named = rows.where((F.col("version") == newest) & F.col("shard").isNotNull())
+    return newest, {r.shard: r.folder for r in named.collect()}
+
+
+def read_shards(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of all shards as the newest manifest names them, with their shard."""
+    folders = sorted(manifest(spark, path)[1].items())
+    parts = [spark.read.schema(schema).parquet(folder).withColumn("shard", F.lit(n)) for n, folder in folders]
+    empty = spark.createDataFrame([], schema).withColumn("shard", F.lit(None).cast("int"))
+    return reduce(DataFrame.unionByName, parts, empty)

@@ -60,17 +60,16 @@ def hashed_words(text: Column) -> Column:
 
 
 def bucket_ratios(
-    docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, buckets: int, max_trusted: int, even: float
+    docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, buckets: int, even: float
 ) -> Column:
     """An array with the log ratio of every bucket, ``buckets`` numbers however many documents there are.
 
-    Raw counts are over all documents. Trusted ones are those labelled 1, at most ``max_trusted`` of them: the lowest
-    by hash of the id. Both shares get ``even`` parts of an even spread on top, so that rare buckets say little.
+    Raw counts are over all documents. Trusted ones are all those labelled 1. Both shares get ``even`` parts of an even spread on top, so that rare buckets say little.
     """
     known = labels.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("trusted_id")).agg(F.avg(label).alias("mean"))
-    trusted = known.where(F.col("mean") >= 0.5).orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(max_trusted).select("trusted_id")
+    trusted = known.where(F.col("mean") >= 0.5).select("trusted_id")
     marked = docs.select(F.col(id).alias("own_id"), F.col(text).alias("own_text")).join(
-        F.broadcast(trusted), F.col("own_id") == F.col("trusted_id"), "left"
+        trusted, F.col("own_id") == F.col("trusted_id"), "left"
     )
     grams = marked.select(
         F.col("trusted_id").isNotNull().cast("bigint").alias("good"), F.explode(let(hashed_words(F.col("own_text")), lambda h: ngram_buckets(h, buckets))).alias("bucket")
@@ -87,7 +86,7 @@ def bucket_ratios(
 
 def judge(
     docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", buckets: int = 1 << 16,
-    max_trusted: int = 20_000, even: float = 0.3, threshold: float = -0.12,
+    even: float = 0.3, threshold: float = -0.12,
 ) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_ratio and kept to every document.
 
@@ -99,7 +98,7 @@ def judge(
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ratio", "kept"]
     base = without(docs, *added, "rule_hashes", "rule_windows")
-    ratios = bucket_ratios(docs, labels, id, text, label, buckets, max_trusted, even)
+    ratios = bucket_ratios(docs, labels, id, text, label, buckets, even)
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(NON_BLANK))
     zero = F.lit(0.0)

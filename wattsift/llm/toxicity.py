@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattsift.llm.frames import fitted, plus, without
+from wattsift.llm.frames import fitted, plain, plus, revived, without
 from wattsift.llm.strings import MOST, SYMBOL, TABLE, Landmarks, dots, norms
 from wattsift.llm.words import NOT_BLANK, RADIX, U64, Found, Words, _powers, mixed, slices
 
@@ -341,13 +341,14 @@ def score(
     Repeated rows are scored each. Columns of these names are replaced.
     """
     base = without(docs, "held_out", "score", "predicted")
-    sent = docs.sparkSession.sparkContext.broadcast(train_on(docs, labels, id, text, label, max_labelled))
+    sent = docs.sparkSession.sparkContext.broadcast(plain(train_on(docs, labels, id, text, label, max_labelled)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, scorer = Words(NOT_BLANK), Scorer(sent.value)
+        machine = revived(Machine, sent.value)
+        words, scorer = Words(NOT_BLANK), Scorer(machine)
         for batch in batches:
             for part in slices(batch, text):
-                p = sent.value.probability(scorer.worst(words.of(part.column(text))))
+                p = machine.probability(scorer.worst(words.of(part.column(text))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], names=[*part.schema.names, "score"])
 
     out = base.mapInArrow(run, plus(base, "score double"))
