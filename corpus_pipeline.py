@@ -7,6 +7,7 @@ the last return the columns of documents.
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wattsift.llm.decontaminate import find_contamination
 from wattsift.llm.mixing import mix, taken
@@ -27,12 +28,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, that of the least id; repeated rows once.
+    """One document of each near-duplicate component, that of the least id; rows that repeat id and text once.
 
-    Rows without an id cannot be told apart by the join and stay.
+    A row is known by its id and text together: texts that share an id, or have none, are kept or dropped each for
+    itself. Among rows of the least id the least by hash of the text stays; rows without an id come last. Texts without
+    words link with nothing and stay.
     """
-    others = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    row = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy"), F.isnull("text").alias("no_text"))
+    known = docs.withColumn("kept_row", row)
+    others = near_duplicates(known, id="kept_row").where("kept_row <> component_id").select("kept_row").distinct()
+    # the join leaves rows where the second step wants them: texts are shuffled once
+    return known.join(others, "kept_row", "left_anti").dropDuplicates(["kept_row"]).select(*docs.columns)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
