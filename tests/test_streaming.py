@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import collected
 from wattsift.operators.power import counter_delta
-from wattsift.streaming import jobs
+from wattsift.streaming import event_time, jobs
 from wattsift.streaming import operators as S
 
 START = dt.datetime(2024, 1, 1)
@@ -37,13 +37,116 @@ def test_each_file_is_ingested_once(spark, readings, tmp_path):
     assert collected(again) == collected(readings)
 
 
-def test_delta_stream_equals_batch(spark, readings, tmp_path):
-    folder, sink, checkpoint, state = (f"{tmp_path}/{x}" for x in ("in", "out", "check", "state"))
-    for low in (0, 40, 200):
-        arrive(readings.filter(F.col("sample_id").between(low, {0: 39, 40: 199, 200: 299}[low])), folder)
-        out = S.delta_stream(jobs.ingest(spark, folder, readings.schema), sink, checkpoint, state)
-    columns = ["device", "sample_id", "delta_kwh", "elapsed_s"]
-    assert collected(out, *columns) == collected(counter_delta(readings), *columns)
+STEPS = ["device", "sample_id", "delta_kwh", "elapsed_s"]
+
+
+def steps_after(spark, parts, tmp_path, delay_s):
+    """The outcome after each part has arrived."""
+    folder, out, checkpoint = (f"{tmp_path}/{x}" for x in ("in", "out", "check"))
+    for part in parts:
+        arrive(part, folder)
+        yield event_time.delta_stream(jobs.ingest(spark, folder, part.schema), delay_s, out, checkpoint)
+
+
+def tally(outcome):
+    return tuple(outcome.counts().first())
+
+
+@pytest.mark.parametrize("delay_s", (0, 600, 10**7))
+def test_delta_stream_equals_batch(spark, readings, tmp_path, delay_s):
+    parts = [readings.filter(F.col("sample_id").between(*ids)) for ids in ((0, 39), (40, 199), (200, 299))]
+    seen = 0
+    for part, out in zip(parts, steps_after(spark, parts, tmp_path, delay_s)):
+        seen += part.count()
+        so_far = readings.filter(F.col("sample_id") < seen)
+        assert collected(out.all(), *STEPS) == collected(counter_delta(so_far), *STEPS)
+        assert out.open.count() == so_far.filter(F.col("ts") >= at((seen - 1) * 7) - dt.timedelta(seconds=delay_s)).count()
+    assert tally(out) == (300, 300, 0, 0)
+
+
+def test_shuffled_arrivals_give_the_steps_of_the_batch(spark, readings, tmp_path):
+    """Rows come up to 90 readings after their time; the delay covers that, so none is late."""
+    arrival = F.col("sample_id") + F.pmod(F.xxhash64("sample_id"), F.lit(90))
+    parts = [readings.filter(F.floor(arrival / 60) == k) for k in range(7)]
+    for out in steps_after(spark, parts, tmp_path, 90 * 7 * 60):
+        pass
+    assert collected(out.all(), *STEPS) == collected(counter_delta(readings), *STEPS)
+    assert 0 < out.open.count() <= 91  # only the last readings wait
+    assert tally(out) == (300, 300, 0, 0)
+    final = collected(out.final, *STEPS)
+    assert set(final) <= set(collected(counter_delta(readings), *STEPS))
+
+
+def test_readings_that_come_late_or_without_a_time_are_set_aside(spark, rows, tmp_path):
+    row = lambda k: (1, k, at(k), float(k))
+    parts = [rows(POWER, row(1), row(3)), rows(POWER, row(2), row(4), (1, 9, None, 9.0)), rows(POWER, row(5))]
+    outs = list(steps_after(spark, parts, tmp_path / "patient", 600))
+    assert collected(outs[0].all(), "sample_id", "delta_kwh") == [(1, None), (3, 2.0)]
+    assert collected(outs[2].all(), "sample_id", "delta_kwh") == [(1, None), (2, 1.0), (3, 1.0), (4, 1.0), (5, 1.0)]
+    assert tally(outs[2]) == (6, 5, 0, 1)
+    hasty = list(steps_after(spark, parts, tmp_path / "hasty", 0))[2]
+    assert collected(hasty.all(), "sample_id", "delta_kwh") == [(1, None), (3, 2.0), (4, 1.0), (5, 1.0)]
+    assert tally(hasty) == (6, 4, 1, 1)
+    assert collected(hasty.aside("late"), "sample_id", "batch") == [(2, 1)]
+    assert collected(hasty.aside("untimed"), "sample_id") == [(9,)]
+
+
+def test_a_batch_that_is_done_again_changes_nothing(spark, readings, tmp_path):
+    """A batch that failed before its commit runs again, over what it had written."""
+    import shutil
+
+    parts = [readings.filter("sample_id < 100"), readings.filter("sample_id >= 100")]
+    for out in steps_after(spark, parts, tmp_path, 3600):
+        pass
+    before = collected(out.all(), *STEPS), tally(out)
+    shutil.rmtree(f"{tmp_path}/check/commits")
+    (tmp_path / "check" / "commits").mkdir()
+    again = event_time.delta_stream(jobs.ingest(spark, f"{tmp_path}/in", readings.schema), 3600, f"{tmp_path}/out", f"{tmp_path}/check")
+    assert (collected(again.all(), *STEPS), tally(again)) == before
+
+
+def test_a_stream_without_rows_has_no_steps(spark, readings, tmp_path):
+    arrive(readings.limit(0), f"{tmp_path}/in")
+    stream = jobs.ingest(spark, f"{tmp_path}/in", readings.schema)
+    out = event_time.delta_stream(stream, 60, f"{tmp_path}/out", f"{tmp_path}/check")
+    assert out.all().count() == 0 and tally(out) == (0, 0, 0, 0)
+
+
+WINDOWS = {
+    "hours": (lambda r: S.windowed(S.timed(r, "ts", "900 seconds"), "ts", "1 hour", ["device"], [F.count("*").alias("n")]), event_time.fixed("ts", 3600)),
+    "sliding": (
+        lambda r: S.windowed(S.timed(r, "ts", "900 seconds"), "ts", "2 hours", ["device"], [F.count("*").alias("n")], slide="30 minutes"),
+        event_time.fixed("ts", 7200),
+    ),
+    "sessions": (
+        lambda r: S.sessions(S.timed(r, "ts", "900 seconds"), "ts", "10 minutes", ["device"], [F.count("*").alias("n")]),
+        event_time.by_session("ts", ["device"]),
+    ),
+}
+
+
+@pytest.mark.parametrize("name", WINDOWS)
+def test_windows_keep_late_and_read_rows_add_up(spark, readings, tmp_path, name):
+    """Rows come in disorder, some beyond the delay, some without a time; what is kept gives the windows of the batch,
+    before the end of the collection and after it."""
+    build, still_open = WINDOWS[name]
+    schema = readings.schema
+    odd = readings.withColumn("ts", F.when(F.col("sample_id") % 50 != 7, F.col("ts")))
+    arrival = F.col("sample_id") + F.pmod(F.xxhash64("sample_id"), F.lit(6))
+    read = 0
+    for k in range(3):
+        part = odd.filter(F.floor(arrival / 102) == k)
+        read += part.count()
+        arrive(part, f"{tmp_path}/in")
+        stream = jobs.ingest(spark, f"{tmp_path}/in", schema)
+        out = event_time.run_windows(stream, "ts", 900, build, still_open, f"{tmp_path}/w")
+        kept = event_time.kept_rows(spark, f"{tmp_path}/w/gate", schema)
+        columns = ["window_start", "window_end", "device", "n"]
+        assert collected(out.all(), *columns) == collected(build(kept), *columns)
+        n_read, n_kept, n_late, n_untimed = tally(out)
+        assert n_read == read == n_kept + n_late + n_untimed and n_kept == kept.count()
+        assert out.aside("late").count() == n_late and out.aside("untimed").count() == n_untimed
+    assert n_late > 0 and n_untimed == 6 and out.final.count() > 0
 
 
 def test_late_rows_are_flagged_and_kept(spark, rows, tmp_path):

@@ -1,20 +1,24 @@
 """Streaming plans, each run over everything available and read back, and the apply plans.
 
-The twins are the batch queries; windows still open at the end of the data are closed by a last row.
+The twins are the batch queries: they have the final windows and those still open at the end of the data.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattsift.operators.apply import apply_judge, apply_model
+from wattsift.operators.ordered import DAY, HOUR
 from wattsift.plans.registry import query
 from wattsift.plans.tables import Tables, runs_of
 from wattsift.plans.twins import PLATFORMS, POWER, RAW, RUNS, TURNS, twin, words
-from wattsift.session import work_dir
-from wattsift.streaming import jobs
+from wattsift.session import work_dir, written
+from wattsift.streaming import event_time, jobs
 from wattsift.streaming import operators as S
 
 
+HALF_DAY = DAY // 2
+
+
 def events_stream(t: Tables) -> DataFrame:
     """The table's folder of part files as a stream, or the one file that it is."""
     events = t.read("events")
@@ -23,10 +27,10 @@ def events_stream(t: Tables) -> DataFrame:
     return jobs.ingest(t.spark, f"{t.sf_dir}/events.parquet", events.schema)
 
 
-def closed(t: Tables, rows: DataFrame, ts: str, label: str, build) -> DataFrame:
-    """A windowed stream with all its windows, also those open at the end of the data."""
-    folders = (work_dir(t.spark, f"{label}-{x}") for x in ("end", "out", "checkpoint"))
-    return jobs.run_closed(build, rows, ts, "2262-01-01", *folders)
+def all_windows(t: Tables, rows: DataFrame, ts: str, label: str, build, still_open) -> DataFrame:
+    """A windowed stream with all its windows, also those open at the end of the data; rows may be an hour late."""
+    timed = lambda r: build(S.timed(r, ts, f"{HOUR} seconds"))
+    return event_time.run_windows(rows, ts, HOUR, timed, still_open, work_dir(t.spark, label)).all()
 
 
 def runs_stream(t: Tables) -> DataFrame:
@@ -47,6 +51,17 @@ def in_sessions(t: Tables, parts: list[DataFrame], label: str, run) -> DataFrame
     return out
 
 
+def scattered(rows: DataFrame, ts: str, id: str, within_s: int, sessions: int = 3) -> list[DataFrame]:
+    """Sessions of a collection whose rows arrive up to ``within_s`` seconds after their time, each row on its own."""
+    low, high = rows.agg(F.min(ts).cast("string"), F.max(ts).cast("string")).first()
+    wait = F.make_dt_interval(secs=F.pmod(F.xxhash64(id), F.lit(within_s)))
+    start, end = (F.lit(x).cast("timestamp_ntz") for x in (low, high))
+    span = F.timestamp_diff("SECOND", start, end) + F.lit(within_s + 1)
+    passed = F.timestamp_diff("SECOND", start, F.col(ts) + wait)
+    session = F.least(F.floor(passed * sessions / span), F.lit(sessions - 1))
+    return [rows.filter(F.coalesce(session, F.lit(sessions - 1)) == k) for k in range(sessions)]
+
+
 def halves(rows: DataFrame, ts: str) -> list[DataFrame]:
     """Two sessions of a collection: what lies before the middle of its time, and the rest, also rows without a time."""
     low, high = rows.agg(F.min(ts).cast("string"), F.max(ts).cast("string")).first()
@@ -74,10 +89,11 @@ def stream_enrichment(t):
 @query("t3_stateful_delta", twin(POWER, body="""
 SELECT device, sample_id, counter_kwh - prev_kwh AS delta_kwh FROM steps"""))
 def stateful_delta(t):
-    sink, checkpoint, state = (work_dir(t.spark, f"t3-{x}") for x in ("out", "checkpoint", "state"))
-    power = t.power().select("device", "sample_id", "ts", "counter_kwh")
-    out = in_sessions(t, halves(power, "ts"), "t3", lambda s: S.delta_stream(s, sink, checkpoint, state))
-    return out.select("device", "sample_id", "delta_kwh")
+    """Readings arrive up to half a day after their time and out of order."""
+    folder, checkpoint = work_dir(t.spark, "t3"), work_dir(t.spark, "t3-checkpoint")
+    parts = scattered(written(t.power().select(*event_time.READINGS), "t3-readings"), "ts", "sample_id", HALF_DAY)
+    out = in_sessions(t, parts, "t3", lambda s: event_time.delta_stream(s, HALF_DAY, folder, checkpoint))
+    return out.all().select("device", "sample_id", "delta_kwh")
 
 
 @query("t4_tumbling_power", """
@@ -90,7 +106,8 @@ def tumbling_power(t):
     values = [
         F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_w"), F.max("value").alias("max_w"),
     ]
-    return closed(t, rows, "ts", "t4", lambda r: S.windowed(S.timed(r, "ts", "1 hour"), "ts", "1 day", ["device"], values))
+    days = event_time.fixed("ts", DAY)
+    return all_windows(t, rows, "ts", "t4", lambda r: S.windowed(r, "ts", "1 day", ["device"], values), days)
 
 
 @query("t5_sliding_rates", twin(RUNS, body="""
@@ -106,10 +123,10 @@ def sliding_rates(t):
     ]
 
     def windows(rows):
-        stream = S.timed(rows, "started_at", "1 hour")
-        return S.windowed(stream, "started_at", "2 days", ["precision"], values, slide="1 day")
+        return S.windowed(rows, "started_at", "2 days", ["precision"], values, slide="1 day")
 
-    return closed(t, runs_stream(t).select("started_at", "precision", "latency_s", "tokens_per_s"), "started_at", "t5", windows)
+    rows = runs_stream(t).select("started_at", "precision", "latency_s", "tokens_per_s")
+    return all_windows(t, rows, "started_at", "t5", windows, event_time.fixed("started_at", 2 * DAY))
 
 
 @query("t6_collection_sessions", twin(RAW, body="""
@@ -124,9 +141,9 @@ def collection_sessions(t):
     rows = runs_of(events_stream(t)).select("started_at", "device")
 
     def sessions(rows):
-        return S.sessions(S.timed(rows, "started_at", "1 hour"), "started_at", "6 hours", ["device"], [F.count("*").alias("n")])
+        return S.sessions(rows, "started_at", "6 hours", ["device"], [F.count("*").alias("n")])
 
-    return closed(t, rows, "started_at", "t6", sessions)
+    return all_windows(t, rows, "started_at", "t6", sessions, event_time.by_session("started_at", ["device"]))
 
 
 @query("t7_late_rows", twin(RAW, body="""
@@ -180,9 +197,9 @@ def throttle_alarm(t):
     counted = [F.count_if("throttled").alias("n_throttled")]
 
     def alarms(rows):
-        return S.alarm(S.windowed(S.timed(rows, "started_at", "1 hour"), "started_at", "1 day", ["platform"], counted), 10)
+        return S.alarm(S.windowed(rows, "started_at", "1 day", ["platform"], counted), 10)
 
-    return closed(t, rows, "started_at", "t10", alarms)
+    return all_windows(t, rows, "started_at", "t10", alarms, event_time.fixed("started_at", DAY))
 
 
 @query("t11_stream_dimension_join", twin(RUNS, PLATFORMS, body="""

@@ -4,7 +4,6 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -59,21 +58,3 @@ def run_snapshots(stream: DataFrame, sink: str, checkpoint: str) -> DataFrame:
     if newest is None:  # no batch has run yet, or none had rows
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{sink}/batch={newest}")
-
-
-def run_closed(
-    build: Callable[[DataFrame], DataFrame], rows: DataFrame, ts: str, end: str, folder: str, sink: str, checkpoint: str
-) -> DataFrame:
-    """Run windows over everything available and close those that are open at its end.
-
-    ``rows`` is united with a folder that stays empty until the run is over. Then one row there with the time ``end``,
-    later than any, and nothing else moves the watermark past all windows; a second run on the same checkpoint
-    emits them. The row's own window stays open. A collection that goes on leaves the second run out.
-    """
-    spark = rows.sparkSession
-    spark.createDataFrame([], rows.schema).write.parquet(folder)
-    stream = build(rows.unionByName(ingest(spark, folder, rows.schema)))
-    run_available(stream, sink, checkpoint)
-    empty = [F.lit(end if f.name == ts else None).cast(f.dataType).alias(f.name) for f in rows.schema]
-    spark.range(1).select(*empty).write.mode("append").parquet(folder)
-    return run_available(stream, sink, checkpoint)

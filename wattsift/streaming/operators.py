@@ -1,10 +1,9 @@
-"""Stream operators: enrichment, windows, sessions, dedupe, alarms, carried state, late rows."""
+"""Stream operators: enrichment, windows, sessions, dedupe, alarms, late rows."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattsift.operators.enrich import with_metrics, with_throttled
-from wattsift.operators.power import counter_delta
 from wattsift.streaming.jobs import run_batches
 
 
@@ -60,33 +59,6 @@ def alarm(windows: DataFrame, limit: int, count: str = "n_throttled") -> DataFra
     return windows.filter(F.col(count) > limit)
 
 
-def delta_stream(stream: DataFrame, sink: str, checkpoint: str, state: str) -> DataFrame:
-    """Counter steps across micro-batches, read back from ``sink``.
-
-    Each batch is joined to the last reading per device left by the batch before it and goes through
-    the chunked batch operator, so a busy device is not one task's state. Output and state are written
-    per batch id and overwritten on a retry.
-    """
-    columns = ["device", "sample_id", "ts", "counter_kwh"]
-    schema = stream.select(*columns).schema
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(*columns).withColumn("fresh", F.lit(True))
-        if batch_id > 0:
-            carried = spark.read.schema(schema).parquet(f"{state}/after={batch_id - 1}")
-            rows = rows.unionByName(carried.withColumn("fresh", F.lit(False)))
-        steps = counter_delta(rows).filter("fresh").drop("fresh")
-        steps.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-        newest = rows.groupBy("device").agg(
-            F.max_by(F.struct("sample_id", "ts", "counter_kwh"), F.struct("ts", "sample_id")).alias("r")
-        )
-        newest.select("device", "r.*").write.mode("overwrite").parquet(f"{state}/after={batch_id}")
-
-    run_batches(stream, checkpoint, step)
-    return stream.sparkSession.read.parquet(sink).drop("batch")
-
-
 def late_split(stream: DataFrame, ts: str, delay_s: int, sink: str, checkpoint: str) -> DataFrame:
     """Rows with a ``late`` flag instead of a silent drop, read back from ``sink``.
 
