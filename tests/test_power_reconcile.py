@@ -57,6 +57,58 @@ def test_counter_delta_and_integration(power, data):
     assert dict(collected(P.integrate(power), "device", "energy_j")) == pytest.approx(energy)
 
 
+def trapezoids(samples, t0, t1):
+    """Energy between two times by cutting every piece of the line at both ends."""
+    total = 0.0
+    for (a, wa), (b, wb) in zip(samples, samples[1:]):
+        low, high = max(a, t0), min(b, t1)
+        if low < high:
+            watts = [wa + (wb - wa) * (t - a) / (b - a) for t in (low, high)]
+            total += sum(watts) / 2 * (high - low).total_seconds()
+    return total
+
+
+@pytest.mark.parametrize("span", [600, 3600, 10**8])
+def test_energy_between_cuts_the_line_at_both_ends(power, runs, data, rows, span):
+    samples = {}
+    for device, _, ts, watts, _ in data[0]:
+        samples.setdefault(device, []).append((ts, watts))
+    want = []
+    for run, device, t0, t1 in data[1]:
+        own = samples.get(device, [])
+        covered = bool(own) and own[0][0] <= t0 and t1 <= own[-1][0]
+        want.append((run, device, trapezoids(own, t0, t1), covered))
+    got = collected(P.energy_between(runs, power, O.time_chunk("ts", span)), "run_id", "device", "energy_j", "covered")
+    assert [(r[0], r[1], r[3]) for r in got] == [(w[0], w[1], w[3]) for w in sorted(want, key=repr)]
+    assert [r[2] for r in got] == pytest.approx([w[2] for w in sorted(want, key=repr)])
+
+
+def test_energy_between_edges(rows):
+    samples = rows(
+        POWER, (1, 1, at(0), 10.0, None), (1, 2, at(10), 20.0, None), (1, 3, at(10), 40.0, None), (1, 4, at(20), 40.0, None),
+        (1, 5, None, 99.0, None), (1, 6, at(15), None, None), (2, 7, at(5), 7.0, None),
+    )
+    runs = rows(
+        EXEC, (1, 1, at(0), at(20)), (2, 1, at(-5), at(5)), (3, 1, at(20), at(30)), (4, 1, at(5), at(5)), (5, 1, None, at(5)),
+        (6, 1, at(9), at(3)), (7, 2, at(0), at(9)), (8, 3, at(0), at(9)), (9, 1, at(10), at(15)),
+    )
+    got = {r.run_id: (r.energy_j, r.covered) for r in P.energy_between(runs, samples).collect()}
+    assert got == {
+        1: (150.0 + 400.0, True), 2: (62.5, False), 3: (0.0, False), 4: (0.0, True), 5: (None, False), 6: (None, False),
+        7: (0.0, False), 8: (0.0, False), 9: (200.0, True),
+    }
+    assert P.energy_between(runs.limit(0), samples).count() == 0
+    assert {r.energy_j for r in P.energy_between(runs.filter("run_id < 3"), samples.limit(0)).collect()} == {0.0}
+
+
+def test_a_long_history_does_not_blur_a_short_execution(rows):
+    """The whole parts are subtracted as integers: a second's energy is exact behind years of samples."""
+    year = 365 * 86_400
+    samples = rows(POWER, *[(1, k, at(k * year), 5e5, None) for k in range(11)], (1, 99, at(10 * year + 60), 5e5, None))
+    runs = rows(EXEC, (1, 1, at(10 * year + 1), at(10 * year + 2)))
+    assert P.energy_between(runs, samples, O.time_chunk("ts", year)).first().energy_j == 5e5
+
+
 @pytest.mark.parametrize("bucket", [300, 7200, 10**7])
 def test_range_join_is_complete(power, runs, data, bucket):
     want = [(r, i) for r, d, t0, t1 in data[1] for device, i, ts, _, _ in data[0] if d == device and t0 <= ts <= t1]

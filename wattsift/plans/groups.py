@@ -7,7 +7,7 @@ from wattsift.operators.ordered import DAY, time_chunk
 from wattsift.operators.quantiles import exact_quantiles
 from wattsift.plans.registry import query
 from wattsift.plans.tables import F16, PRECISIONS, Q4
-from wattsift.plans.twins import PANEL, PLATFORMS, POWER, PROMPTS, RUNS, SCORES, seconds, twin
+from wattsift.plans.twins import EXECUTIONS, PANEL, PLATFORMS, POWER, PROMPTS, RUNS, SCORES, seconds, twin
 
 ITEM = ["item_id", "precision"]
 METRICS = ["latency_s", "net_energy_j", "power_net_w", "tokens_per_s"]
@@ -284,6 +284,31 @@ def integrated_energy(t):
     return rounded(power.integrate(t.samples(), time_chunk("ts", DAY)), ["energy_j"], 3)
 
 
+@query("a23_energy_per_execution", twin(POWER, EXECUTIONS, body="""
+, micro AS (
+  SELECT device, sample_id, epoch_us(ts) AS us, CAST(round(watts * 1e6) AS BIGINT) AS uw FROM power),
+parts AS (
+  SELECT *, lead(us) OVER w AS next_us, lead(uw) OVER w AS next_uw
+  FROM micro WINDOW w AS (PARTITION BY device ORDER BY us, sample_id)),
+lines AS (SELECT *, (next_uw - uw) / CAST(next_us - us AS DOUBLE) AS slope FROM parts WHERE next_us > us),
+asked AS (SELECT run_id, device, epoch_us(t0) AS t0, epoch_us(t1) AS t1 FROM executions),
+cut AS (
+  SELECT run_id, us >= t0 AND next_us <= t1 AS whole, CAST(uw + next_uw AS HUGEINT) * (next_us - us) AS twice,
+         greatest(us, t0) - us AS x, least(next_us, t1) - us AS y, uw, slope
+  FROM asked e JOIN lines s ON s.device = e.device AND s.next_us > e.t0 AND s.us < e.t1),
+sums AS (
+  SELECT run_id, coalesce(sum(twice) FILTER (whole), 0) AS inner_twice,
+         coalesce(sum((y - x) * (2e0 * uw + slope * (x + y))) FILTER (NOT whole), 0e0) AS ends_twice
+  FROM cut GROUP BY run_id),
+span AS (SELECT device, min(us) AS first, max(us) AS last FROM micro GROUP BY device)
+SELECT e.run_id, e.device, round((coalesce(CAST(inner_twice AS DOUBLE), 0e0) + coalesce(ends_twice, 0e0)) / 2e12, 2) AS energy_j,
+       coalesce(first <= t0 AND t1 <= last, false) AS covered
+FROM asked e LEFT JOIN sums USING (run_id) LEFT JOIN span USING (device)"""))
+def energy_per_execution(t):
+    """Energy of every execution out of the power samples of its device."""
+    return rounded(power.energy_between(t.executions(), t.samples(), time_chunk("ts", DAY)), ["energy_j"], 2)
+
+
 @query("a24_idle_baseline", twin(POWER, body="""
 , windows AS (SELECT device, min(ts) AS t0, min(ts) + INTERVAL 1 DAY AS t1 FROM power GROUP BY device)
 SELECT w.device, coalesce((max(counter_kwh) - min(counter_kwh)) * 3.6e6 / 86400e0, 0e0) AS idle_w
