@@ -29,6 +29,8 @@ def test_ids_beyond_32_bits_and_strange_headers(spark, tmp_path):
     (tmp_path / "p.csv").write_text("ID,CATEGORY,PROMPT\n3000000000,Math,a\n")
     assert collected(files.read_prompts(spark, f"{tmp_path}/p.csv")) == [(3_000_000_000, "Math", "a")]
     (tmp_path / "q.csv").write_text("CATEGORY,ID,PROMPT\nMath,1,a\n")
+    assert collected(files.read_prompts(spark, f"{tmp_path}/q.csv")) == [(1, "Math", "a")]
+    (tmp_path / "q.csv").write_text("KIND,ID,PROMPT\nMath,1,a\n")
     with pytest.raises(Exception, match="header|schema"):
         files.read_prompts(spark, f"{tmp_path}/q.csv").collect()
 
@@ -83,6 +85,15 @@ def test_unscored_file_has_null_scores(spark, tmp_path):
     assert collected(got, "run_id", "response", "q_ped", "lpw") == [(1, "r\nr", None, None), (2, "r", 7.5, None)]
 
 
+def test_unreadable_cells_of_results_are_kept(spark, tmp_path):
+    header = "Precision,ID,Category,Prompt,Response,Latency_s,Net_Energy_J,Power_W,LpW,Qped\n"
+    (tmp_path / "r.csv").write_text(header + "FP16,1,Science,p,r,fast,2.0,1.3,,\nFP16,2,Science,p,r,1,2,2,,good\nFP16,3,Science,p,r,1,2,2,,7\n")
+    got = files.read_runs(spark, f"{tmp_path}/r.csv", "unscored")
+    assert collected(got, "run_id", "latency_s", "q_ped", "unreadable") == [
+        (1, None, None, "FP16,1,Science,p,r,fast,2.0,1.3,,"), (2, 1.0, None, "q_ped: good"), (3, 1.0, 7.0, None),
+    ]
+
+
 def test_harmonised_variants(rows):
     one = rows("ID long, Precision string, Category string, Qped int", (1, "F16_GGUF", "Programming_CS", 7))
     two = rows("ID long, HW_Platform string, Precision string, CATEGORY string", (2, "Board, 4GB", "f16", "Science "))

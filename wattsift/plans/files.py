@@ -9,6 +9,7 @@ from wattsift.plans.registry import query
 from wattsift.plans.twins import PLATFORMS, PROMPTS, RAW, RUNS, SCORES, TURNS, twin
 from wattsift.session import work_dir
 from wattsift.sources import checkpoints, files, scores, summary
+from wattsift.sources.quoted import read_quoted
 
 NAME_SQL = "concat('Board ', CAST(platform AS VARCHAR), ' 4GB (chip, core)')"
 RESPONSE_SQL = "concat('He said \"', category, '\",', chr(10), 'then stopped. ')"
@@ -171,22 +172,22 @@ def write_results(t):
     files.write_runs(runs, csv, "csv")
     files.write_runs(runs, table, partition_by=["precision"])
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema)
-    exported = files.read_csv(t.spark, csv, types)
+    exported = read_quoted(t.spark, csv, types)
     kept = t.spark.read.parquet(table).select(*runs.columns)
     return exported.unionByName(kept).distinct()
 
 
 @query("s8_bom_csv", twin(TURNS, body="""
-SELECT conv_id * 1000 + turn AS "ID", prompt AS "Prompt", response AS "Response" FROM turns WHERE response <> ''"""))
+SELECT conv_id * 1000 + turn AS "ID", nullif(prompt, '') AS "Prompt", nullif(response, '') AS "Response" FROM turns"""))
 def bom_csv(t):
-    rows = t.turns().filter(F.col("response") != "").select(
+    rows = t.turns().select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("ID"),
         F.col("prompt").alias("Prompt"),
         F.col("response").alias("Response"),
     )
     path = work_dir(t.spark, "bom")
     files.write_csv(rows, path, bom=True)
-    return files.read_csv(t.spark, path, "ID BIGINT, Prompt STRING, Response STRING")
+    return read_quoted(t.spark, path, "ID BIGINT, Prompt STRING, Response STRING")
 
 
 @query("s9_checkpoint_batches", twin(RAW, body="""

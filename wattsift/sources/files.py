@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from wattsift.functions.text import category_label, model_name, model_precision, number_or_null, precision_label
 from wattsift.schemas import CANONICAL_NAMES, PROMPT_FILE, RESULT_FILES
+from wattsift.sources.quoted import read_quoted
 
 # Quoted fields may hold commas, doubled quotes and line breaks; surrounding blanks are data.
 CSV = {
@@ -21,7 +22,7 @@ CSV = {
 }
 CSV_WRITE = {k: v for k, v in CSV.items() if k not in ("multiLine", "enforceSchema")} | {"quoteAll": True}
 
-# Text with line breaks cannot be split inside a file, so files are kept small enough to read apart.
+# For readers that cannot split text with line breaks inside a file; ``read_quoted`` can.
 ROWS_PER_FILE = 1_000_000
 
 
@@ -35,17 +36,23 @@ def _canonical(df: DataFrame) -> DataFrame:
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
-    rows = _canonical(read_csv(spark, path, PROMPT_FILE))
+    rows = _canonical(read_quoted(spark, path, PROMPT_FILE))
     return rows.withColumnRenamed("run_id", "prompt_id").withColumn("prompt_id", F.col("prompt_id").cast("bigint"))
 
 
 def read_runs(spark: SparkSession, path: str, variant: str) -> DataFrame:
-    """A result file of one of the known variants, under canonical column names.
+    """A result file of one of the known variants, under canonical column names; columns are found by name.
 
-    Blank score columns (text in unscored files) come back as NULL doubles.
+    Blank score columns (text in unscored files) come back as NULL doubles. ``unreadable`` has the text of records with
+    a cell that its column cannot hold or a wrong number of cells, and is NULL for others.
     """
-    rows = _canonical(read_csv(spark, path, RESULT_FILES[variant]))
-    return rows.withColumns({c: _score(rows, c) for c in ("q_ped", "lpw") if c in rows.columns})
+    rows = _canonical(read_quoted(spark, path, RESULT_FILES[variant], corrupt="unreadable"))
+    scores = [c for c in ("q_ped", "lpw") if c in rows.columns]
+    bad = F.col("unreadable")
+    for c in scores:
+        if rows.schema[c].dataType == T.StringType():
+            bad = F.coalesce(bad, F.when(_score(rows, c).isNull() & (F.trim(c) != ""), F.concat(F.lit(f"{c}: "), F.col(c))))
+    return rows.withColumn("unreadable", bad).withColumns({c: _score(rows, c) for c in scores})
 
 
 def _score(df: DataFrame, name: str) -> Column:

@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 
 from wattsift.operators.panel import long_rubric
 from wattsift.schemas import DIMENSIONS, SCORING_SHEET
-from wattsift.sources.files import read_csv, write_csv
+from wattsift.sources.files import write_csv
+from wattsift.sources.quoted import read_quoted
 
 
 def read_scores(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Sheets of one kind of rater as long scores; blank cells are no score."""
-    wide = read_csv(spark, path, SCORING_SHEET)
+    """Sheets of one kind of rater as long scores; blank cells are no score. Columns are found by name."""
+    wide = read_quoted(spark, path, SCORING_SHEET)
     ids = ["item_id", "precision", "rater_id"]
     rows = long_rubric(wide.select(*ids, *DIMENSIONS), ids)
     return rows.select(*ids, F.lit(kind).alias("rater_kind"), "dim", F.col("score").cast("bigint").alias("score"))
