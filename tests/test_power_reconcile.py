@@ -78,7 +78,7 @@ def test_energy_between_cuts_the_line_at_both_ends(power, runs, data, rows, span
         own = samples.get(device, [])
         covered = bool(own) and own[0][0] <= t0 and t1 <= own[-1][0]
         want.append((run, device, trapezoids(own, t0, t1), covered))
-    got = collected(P.energy_between(runs, power, O.time_chunk("ts", span)), "run_id", "device", "energy_j", "covered")
+    got = collected(P.energy_between(runs, P.energy_index(power, O.time_chunk("ts", span)), O.time_chunk("ts", span)), "run_id", "device", "energy_j", "covered")
     assert [(r[0], r[1], r[3]) for r in got] == [(w[0], w[1], w[3]) for w in sorted(want, key=repr)]
     assert [r[2] for r in got] == pytest.approx([w[2] for w in sorted(want, key=repr)])
 
@@ -92,13 +92,14 @@ def test_energy_between_edges(rows):
         EXEC, (1, 1, at(0), at(20)), (2, 1, at(-5), at(5)), (3, 1, at(20), at(30)), (4, 1, at(5), at(5)), (5, 1, None, at(5)),
         (6, 1, at(9), at(3)), (7, 2, at(0), at(9)), (8, 3, at(0), at(9)), (9, 1, at(10), at(15)),
     )
-    got = {r.run_id: (r.energy_j, r.covered) for r in P.energy_between(runs, samples).collect()}
+    index = lambda some: P.energy_index(some, O.time_chunk("ts"))
+    got = {r.run_id: (r.energy_j, r.covered) for r in P.energy_between(runs, index(samples)).collect()}
     assert got == {
         1: (150.0 + 400.0, True), 2: (62.5, False), 3: (0.0, False), 4: (0.0, True), 5: (None, False), 6: (None, False),
         7: (0.0, False), 8: (0.0, False), 9: (200.0, True),
     }
-    assert P.energy_between(runs.limit(0), samples).count() == 0
-    assert {r.energy_j for r in P.energy_between(runs.filter("run_id < 3"), samples.limit(0)).collect()} == {0.0}
+    assert P.energy_between(runs.limit(0), index(samples)).count() == 0
+    assert {r.energy_j for r in P.energy_between(runs.filter("run_id < 3"), index(samples.limit(0))).collect()} == {0.0}
 
 
 def test_a_long_history_does_not_blur_a_short_execution(rows):
@@ -106,7 +107,8 @@ def test_a_long_history_does_not_blur_a_short_execution(rows):
     year = 365 * 86_400
     samples = rows(POWER, *[(1, k, at(k * year), 5e5, None) for k in range(11)], (1, 99, at(10 * year + 60), 5e5, None))
     runs = rows(EXEC, (1, 1, at(10 * year + 1), at(10 * year + 2)))
-    assert P.energy_between(runs, samples, O.time_chunk("ts", year)).first().energy_j == 5e5
+    years = O.time_chunk("ts", year)
+    assert P.energy_between(runs, P.energy_index(samples, years), years).first().energy_j == 5e5
 
 
 @pytest.mark.parametrize("bucket", [300, 7200, 10**7])

@@ -9,6 +9,7 @@ from tests.conftest import collected
 from wattsift.operators.power import counter_delta
 from wattsift.streaming import event_time, jobs
 from wattsift.streaming import operators as S
+from wattsift.streaming.first_copies import block_filter, counts, first_copies, possible
 
 START = dt.datetime(2024, 1, 1)
 POWER = "device long, sample_id long, ts timestamp_ntz, counter_kwh double"
@@ -183,6 +184,54 @@ def test_dedupe_over_restarts(spark, readings, tmp_path):
     assert collected(out, "sample_id", "counter_kwh") == collected(readings, "sample_id", "counter_kwh")
 
 
+@pytest.mark.parametrize("expected", (1, 10**6))
+def test_first_copies_over_any_time(spark, rows, tmp_path, expected):
+    """Repeats come in the same batch, the next one and a year later; with a filter far too small all are compared."""
+    schema = "id long, kind string, ts timestamp_ntz, v int"
+    year = 365 * 1440
+    parts = [
+        [(1, "a", at(0), 1), (1, "b", at(0), 2), (None, "a", at(1), 3), (2, None, None, 4), (1, "a", at(9), 1)],
+        [(1, "a", at(20), 1), (3, "a", at(21), 5), (None, "a", at(22), 3)],
+        [],
+        [(1, "b", at(year), 2), (4, "c", at(year), 6), (2, None, at(year), 4), (None, None, at(year), 7)],
+    ]
+    seen, out = set(), None
+    for part in parts:
+        arrive(rows(schema, *part), f"{tmp_path}/in")
+        stream = jobs.ingest(spark, f"{tmp_path}/in", rows(schema, *parts[0]).schema)
+        out = first_copies(stream, ["id", "kind"], f"{tmp_path}/out", f"{tmp_path}/check", expected)
+        seen |= {(r[0], r[1], r[3]) for r in part}
+        assert collected(out, "id", "kind", "v") == sorted(seen, key=repr)
+    n_read, n_new, n_candidates = counts(spark, f"{tmp_path}/out").first()
+    assert (n_read, n_new) == (sum(map(len, parts)), len(seen)) and n_candidates >= 4
+
+
+def test_first_copies_of_a_batch_done_again(spark, readings, tmp_path):
+    import shutil
+
+    run = lambda: first_copies(
+        jobs.ingest(spark, f"{tmp_path}/in", readings.schema), ["sample_id"], f"{tmp_path}/out", f"{tmp_path}/check", 1000
+    )
+    for upper in (100, 250, 300):
+        arrive(readings.filter(F.col("sample_id") < upper), f"{tmp_path}/in")
+        out = run()
+    assert collected(out) == collected(readings)
+    shutil.rmtree(f"{tmp_path}/check/commits")
+    (tmp_path / "check" / "commits").mkdir()
+    assert collected(run()) == collected(readings)
+    assert tuple(counts(spark, f"{tmp_path}/out").first())[:2] == (650, 300)
+
+
+def test_the_filter_knows_its_keys_and_few_others(spark):
+    keys = spark.range(3000).selectExpr("id", "cast(id % 7 as string) AS s")
+    made = block_filter(keys, ["id", "s"], 2)
+    others = spark.range(10_000, 13_000).selectExpr("id", "'x' AS s")
+    hits = lambda df: possible(df, ["id", "s"], 2, made).filter("maybe").count()
+    assert hits(keys) == 3000 and hits(others) < 150
+    grown = block_filter(others, ["id", "s"], 2, made)
+    assert possible(keys.unionByName(others), ["id", "s"], 2, grown).filter("maybe").count() == 6000
+
+
 def test_snapshots_return_the_newest_also_without_new_data(spark, readings, tmp_path):
     folder, sink, checkpoint = (f"{tmp_path}/{x}" for x in ("in", "out", "check"))
 

@@ -109,9 +109,11 @@ def energy_index(power: DataFrame, chunk: Column) -> DataFrame:
     return summed.withColumn("twice", (F.col("twice") - area).cast("decimal(38,0)"))
 
 
-def energy_between(executions: DataFrame, power: DataFrame, chunk: Column | None = None) -> DataFrame:
+def energy_between(executions: DataFrame, index: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Energy of each execution (run_id, device, t0, t1) from watt samples, straight lines between them: energy_j, covered.
 
+    ``index`` is the samples' ``energy_index``, best written as a table: it is read twice, and serves any executions.
+
     Two readings of the energy index take the place of a join with every sample inside: samples and the two times of an
     execution are one ordered series per device, filled forward chunk by chunk, and the last sample before a time
     tells the rest up to it. The rows stay as many as samples and executions.
@@ -122,7 +124,7 @@ def energy_between(executions: DataFrame, power: DataFrame, chunk: Column | None
     if chunk is None:
         chunk = time_chunk("ts")
     sample = ["at", "uw", "next_at", "next_uw", "twice"]
-    index = energy_index(power, chunk).select(
+    index = index.select(
         "device", "ts", F.lit(0).alias("kind"), F.col("sample_id").alias("id"), F.struct(*sample).alias("sample")
     )
     valid = F.coalesce(F.col("t0") <= F.col("t1"), F.lit(False))

@@ -8,6 +8,7 @@ from wattsift.operators.quantiles import exact_quantiles
 from wattsift.plans.registry import query
 from wattsift.plans.tables import F16, PRECISIONS, Q4
 from wattsift.plans.twins import EXECUTIONS, PANEL, PLATFORMS, POWER, PROMPTS, RUNS, SCORES, seconds, twin
+from wattsift.session import written
 
 ITEM = ["item_id", "precision"]
 METRICS = ["latency_s", "net_energy_j", "power_net_w", "tokens_per_s"]
@@ -306,7 +307,9 @@ SELECT e.run_id, e.device, round((coalesce(CAST(inner_twice AS DOUBLE), 0e0) + c
 FROM asked e LEFT JOIN sums USING (run_id) LEFT JOIN span USING (device)"""))
 def energy_per_execution(t):
     """Energy of every execution out of the power samples of its device."""
-    return rounded(power.energy_between(t.executions(), t.samples(), time_chunk("ts", DAY)), ["energy_j"], 2)
+    days = time_chunk("ts", DAY)
+    index = written(power.energy_index(t.samples(), days), "energy-index")
+    return rounded(power.energy_between(t.executions(), index, days), ["energy_j"], 2)
 
 
 @query("a24_idle_baseline", twin(POWER, body="""

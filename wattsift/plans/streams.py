@@ -14,6 +14,7 @@ from wattsift.plans.twins import PLATFORMS, POWER, RAW, RUNS, TURNS, twin, words
 from wattsift.session import work_dir, written
 from wattsift.streaming import event_time, jobs
 from wattsift.streaming import operators as S
+from wattsift.streaming.first_copies import first_copies
 
 
 HALF_DAY = DAY // 2
@@ -167,12 +168,9 @@ def stream_dedupe(t):
     """A cumulative checkpoint repeats the rows of the one before it; each run is kept once."""
     rows = t.raw_runs().select("run_id", "category", "latency_s", "started_at")
     first, _ = halves(rows, "started_at")
-    sink, checkpoint = work_dir(t.spark, "t8"), work_dir(t.spark, "t8-checkpoint")
-
-    def run(stream):
-        return jobs.run_available(S.dedupe(S.timed(stream, "started_at", "60 days"), ["run_id"]), sink, checkpoint)
-
-    return in_sessions(t, [first, rows], "t8", run).drop("started_at")
+    folder, checkpoint = work_dir(t.spark, "t8"), work_dir(t.spark, "t8-checkpoint")
+    out = in_sessions(t, [first, rows], "t8", lambda s: first_copies(s, ["run_id"], folder, checkpoint, 1_000_000))
+    return out.drop("started_at")
 
 
 @query("t9_running_means", twin(RUNS, body="""
