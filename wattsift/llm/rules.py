@@ -59,22 +59,6 @@ def hashed_words(text: Column) -> Column:
     return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
-def maybe_in(ids: DataFrame, id: str, asked: Column, bits: int = 1 << 23) -> Column:
-    """Whether ``asked`` may be among the ids: always where it is, elsewhere for one in bits / ids.
-
-    The filter is a bitmap of a fixed size, one bit an id; it is made from Spark's bitmaps of 32,768 bits and put into the
-    plan as one constant. A NULL is among none.
-    """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    spots = ids.select(place(F.col(id)).alias("p"))
-    made = spots.groupBy((F.shiftright("p", 15)).alias("block")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767).cast("bigint"))).alias("set"))
-    held = bytearray(bits // 8)
-    for block, part in made.collect():  # at most bits / 32,768 rows
-        held[block * 4096 : block * 4096 + len(part)] = part
-    byte = F.conv(F.hex(F.substring(F.lit(bytes(held)), F.floor(place(asked) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(asked.isNotNull() & (F.floor(byte / F.pow(F.lit(2), place(asked) % 8)) % 2 == 1), F.lit(False))
-
-
 def bucket_ratios(
     docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, buckets: int, even: float
 ) -> Column:
@@ -84,11 +68,10 @@ def bucket_ratios(
     """
     known = labels.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("trusted_id")).agg(F.avg(label).alias("mean"))
     trusted = known.where(F.col("mean") >= 0.5).select("trusted_id")
-    own = docs.select(F.col(id).alias("own_id"), F.col(text).alias("own_text"))
-    maybe = maybe_in(trusted, "trusted_id", F.col("own_id"))
-    # only texts that may be trusted meet the labels; the others are counted where they are read
-    marked = own.filter(maybe).join(trusted, F.col("own_id") == F.col("trusted_id"), "left")
-    marked = marked.unionByName(own.filter(~maybe).withColumn("trusted_id", F.lit(None).cast(trusted.schema[0].dataType)))
+    # labels grow with the corpus, so they are never broadcast: the plan is the same at every size
+    marked = docs.select(F.col(id).alias("own_id"), F.col(text).alias("own_text")).join(
+        trusted.hint("merge"), F.col("own_id") == F.col("trusted_id"), "left"
+    )
     grams = marked.select(
         F.col("trusted_id").isNotNull().cast("bigint").alias("good"), F.explode(let(hashed_words(F.col("own_text")), lambda h: ngram_buckets(h, buckets))).alias("bucket")
     )
