@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattsift.operators.apply import apply_judge, apply_model
+from wattsift.operators.batched import Calls, ask_judge, ask_model
 from wattsift.operators.ordered import DAY, HOUR
 from wattsift.plans.registry import query
 from wattsift.plans.tables import Tables, runs_of
@@ -237,3 +238,41 @@ def apply_a_judge(t):
     """Turns without a response make the judge raise; they get the fallback score."""
     rows = apply_judge(t.turns(), length_judge)
     return rows.select("conv_id", "turn", "score", "reason", "parse_ok", "score_ok")
+
+
+def refusing_model():
+    """Answers in batches; a prompt of a length divisible by 7 is refused, and the batch that holds it with it."""
+
+    def ask(prompts):
+        for prompt in prompts:
+            if len(prompt) % 7 == 0:
+                raise ValueError("refused")
+        return [("echo: " + p, len(p.split()), len(p.split()) + 1) for p in prompts]
+
+    return ask
+
+
+@query("x1_batched_model", twin(TURNS, body=f"""
+SELECT conv_id, turn, CASE WHEN length(prompt) % 7 <> 0 THEN 'echo: ' || prompt END AS response,
+       CASE WHEN length(prompt) % 7 <> 0 THEN CAST(len({words('prompt')}) AS BIGINT) END AS input_tokens,
+       CASE WHEN length(prompt) % 7 = 0 THEN 'ValueError: refused' END AS error
+FROM turns"""))
+def ask_a_model(t):
+    """Every text is asked once, however many turns hold it; refused ones say so and cost their batch no answer."""
+    rows = ask_model(t.turns().select("conv_id", "turn", "prompt"), refusing_model, how=Calls(wait_s=0.0))
+    return rows.select("conv_id", "turn", "response", "input_tokens", "error")
+
+
+def failing_judge():
+    return lambda pairs: [f'{{"score": {1 + 60 // (len(r) % 5) % 12}, "reason": "length"}}' for _, r in pairs]
+
+
+@query("x2_batched_judge", twin(TURNS, body="""
+, r AS (SELECT *, length(response) % 5 AS k FROM turns)
+SELECT conv_id, turn, coalesce(CASE WHEN k > 0 THEN 1 + (60 // k) % 12 END, 7) AS score, coalesce(k > 0, false) AS parse_ok,
+       CASE WHEN k IS NULL THEN 'no response' WHEN k = 0 THEN 'ZeroDivisionError: integer division or modulo by zero' END AS error
+FROM r"""))
+def ask_a_judge(t):
+    """Fallback scores with their cause: turns without a response, and replies that the judge failed to give."""
+    rows = ask_judge(t.turns(), failing_judge, Calls(wait_s=0.0))
+    return rows.select("conv_id", "turn", "score", "parse_ok", "error")
