@@ -104,3 +104,19 @@ def test_quantiles_of_tiny_groups(rows):
     df = rows("k string, v double", ("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", 4.0), ("b", 7.0), ("c", None))
     got = exact_quantiles(df, ["k"], "v", [0.5], "m")
     assert collected(got, "k", "m") == [("a", 2.5), ("b", 7.0)]
+
+
+@pytest.mark.parametrize("probs", [[0.5], [0.0, 0.1, 0.37, 0.5, 0.9, 1.0]])
+def test_ranks_outside_their_brackets_are_read_again(spark, probs):
+    """A sketch of 4 bins with brackets that reach nowhere misses most ranks; none of them may be wrong or fail."""
+    n = F.col("id")
+    df = spark.range(4000).select((n % 3).alias("k"), F.when(n % 11 > 0, (n * 7919 % 4001) / 3).alias("v"))
+    got = exact_quantiles(df, ["k"], "v", probs, "q", accuracy=4, reach=0.0)
+    want = df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("w")).collect()
+    exact = {(r.k, p): q for r in want for p, q in zip(probs, r.w, strict=True)}
+    found = got.collect()
+    assert len(found) == len(exact) and got.columns == ["k", "prob", "n", "q"]
+    assert all(r.q == pytest.approx(exact[r.k, r.prob], rel=1e-12) for r in found)
+    alone = exact_quantiles(df, [], "v", probs, "q", accuracy=4, reach=0.0).collect()
+    whole = df.agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("w")).first().w
+    assert {r.prob: r.q for r in alone} == pytest.approx(dict(zip(probs, whole, strict=True)))

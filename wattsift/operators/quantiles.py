@@ -16,16 +16,16 @@ ACCURACY = 10_000
 
 def exact_quantiles(
     df: DataFrame, keys: list[str], column: str, probs: list[float], name: str = "quantile",
-    accuracy: int = ACCURACY, slots: int = 64,
+    accuracy: int = ACCURACY, slots: int = 64, reach: float = 5.0,
 ) -> DataFrame:
     """One row per group and probability: keys, ``prob``, ``n``, ``name``.
 
-    The sketch is off by at most n / accuracy ranks and brackets reach five times as far. Groups too
+    The sketch is off by at most n / accuracy ranks and brackets reach ``reach`` times as far. Groups too
     small for that to cover the neighbouring rank are bracketed whole. Should a rank still lie outside
-    its bracket, the job fails rather than return an inexact value.
+    its bracket, its group is read once more with a bracket that reaches to the end of that side.
     """
     rows = df.select(*keys, F.col(column).alias("__v"))
-    margin = 5.0 / accuracy
+    margin = reach / accuracy
     marks = [m for p in probs for m in (max(p - margin, 0.0), min(p + margin, 1.0))]
     sketch = rows.groupBy(*keys).agg(
         F.count("__v").alias("n"),
@@ -33,7 +33,7 @@ def exact_quantiles(
         F.max("__v").alias("__max"),
         F.percentile_approx("__v", marks, accuracy).alias("__m"),
     )
-    small = F.col("n") * F.lit(margin) < 4
+    small = F.col("n") * F.lit(margin) < 4 if margin > 0 else F.lit(False)
 
     def bracket(i: int, p: float):
         return F.struct(
@@ -43,7 +43,26 @@ def exact_quantiles(
         )
 
     brackets = sketch.select(*keys, "n", F.array(*[bracket(i, p) for i, p in enumerate(probs)]).alias("__b"))
+    picked = written(_picked(rows, brackets, keys, slots), "quantiles-picked")
+    missed = F.col("__a").isNull() | F.col("__z").isNull()
+    found = picked.filter(~missed)
+    if not (again := picked.filter(missed)).isEmpty():
+        # The counts tell on which side a rank lies, and a bracket that reaches to the end of that side cannot miss it.
+        ends = _attach(again, sketch.select(*keys, "__min", "__max"), keys)
+        wider = F.struct(
+            "prob",
+            F.when(F.col("__first") < F.col("__below"), F.col("__min")).otherwise(F.col("low")).alias("low"),
+            F.when(F.col("__second") >= F.col("__within"), F.col("__max")).otherwise(F.col("high")).alias("high"),
+        )
+        widened = ends.groupBy(*keys, "n").agg(F.collect_list(wider).alias("__b"))
+        found = found.unionByName(_picked(rows, widened, keys, slots))
+    value = F.col("__a") + (F.col("__z") - F.col("__a")) * F.col("__part")
+    return found.select(*keys, "prob", "n", value.alias(name))
+
 
+def _picked(rows: DataFrame, brackets: DataFrame, keys: list[str], slots: int) -> DataFrame:
+    """Per group and probability the values at both neighbouring ranks, NULL where a rank lies outside of its bracket, and
+    how many values are below the bracket and up to its end."""
     # Rows above a bracket drop out, rows below it fold into one count, rows inside fold per value.
     needed = F.filter("__b", lambda b: F.col("__v") <= b["high"])
     counted = (
@@ -70,13 +89,12 @@ def exact_quantiles(
         covers = (F.col("__upto") - F.col("__c") <= rank) & (rank < F.col("__upto"))
         return F.max(F.when(covers, F.col("__v")))
 
-    picked = ranked.groupBy(*keys, "prob", "n").agg(
-        at(first).alias("__a"), at(second).alias("__z"), F.max(position - first).alias("__part")
-    )
-    missed = F.col("__a").isNull() | F.col("__z").isNull()
-    failure = F.raise_error(F.lit("quantile outside its bracket: use a higher accuracy")).cast("double")
-    value = F.col("__a") + (F.col("__z") - F.col("__a")) * F.col("__part")
-    return picked.select(*keys, "prob", "n", F.when(missed, failure).otherwise(value).alias(name))
+    return ranked.groupBy(*keys, "prob", "n", "low", "high").agg(
+        at(first).alias("__a"), at(second).alias("__z"), F.max(position - first).alias("__part"),
+        F.max(first).alias("__first"), F.max(second).alias("__second"),
+        F.coalesce(F.sum(F.when(F.col("__v").isNull(), F.col("__c"))), F.lit(0)).alias("__below"),
+        F.sum("__c").alias("__within"),
+    )
 
 
 def _attach(left: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:

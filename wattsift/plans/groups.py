@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from wattsift.operators import compare, panel, power, sampling
+from wattsift.operators import compare, panel, power, sampling, sketches
 from wattsift.operators.ordered import DAY, time_chunk
 from wattsift.operators.quantiles import exact_quantiles
 from wattsift.plans.registry import query
@@ -335,3 +335,32 @@ def distinct_prompts(t):
 @query("a25_distinct_prompts_approx")
 def distinct_prompts_approx(t):
     return sampling.approximate_distinct(t.prompts(), ["corpus"], "prompt")
+
+
+@query("a25_sketched_prompts", twin(PROMPTS, body="""
+SELECT corpus, count(*) AS n, count(DISTINCT prompt) AS n_distinct, true AS within FROM prompts GROUP BY corpus
+UNION ALL
+SELECT 'both' AS corpus, count(*) AS n, count(*) AS n_distinct, true AS within
+FROM (SELECT prompt FROM prompts WHERE corpus = 'A' INTERSECT SELECT prompt FROM prompts WHERE corpus = 'B') shared
+WHERE prompt IS NOT NULL"""))
+def sketched_prompts(t):
+    """Distinct prompts of each corpus, and those of both, out of stored sketches per category: ``within`` tells whether the
+    exact number lies within the error that the sketches state."""
+    stored = written(sketches.sketch(t.prompts(), ["corpus", "category"], "prompt"), "sketches")
+    estimated = sketches.distinct(stored, ["corpus"]).drop("n")
+    both = sketches.shared(stored, [], "corpus", "A", "B").select(F.lit("both").alias("corpus"), "*")
+    folded = t.prompts().groupBy("prompt").agg(
+        F.count_if(F.col("corpus") == "A").alias("A"), F.count_if(F.col("corpus") == "B").alias("B")
+    )
+    text = F.col("prompt").isNotNull()
+    held = lambda of: F.count_if(of & text)
+    shared = (F.col("A") > 0) & (F.col("B") > 0)
+    entry = lambda name, n, d: F.struct(F.lit(name).alias("corpus"), n.alias("n"), d.alias("n_distinct"))
+    exact = folded.agg(
+        F.array(
+            entry("A", F.sum("A"), held(F.col("A") > 0)), entry("B", F.sum("B"), held(F.col("B") > 0)),
+            entry("both", held(shared), held(shared)),
+        ).alias("e")
+    ).select(F.inline("e"))
+    within = F.col("n_distinct").between(F.col("at_least"), F.col("at_most"))
+    return exact.join(estimated.unionByName(both), "corpus").select("corpus", "n", "n_distinct", within.alias("within"))
