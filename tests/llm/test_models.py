@@ -301,3 +301,79 @@ def test_stretches_hold_every_spelling_and_take_linear_time():
     for hostile in ("at-" * 350_000, "at " * 350_000, "at" + "a" * 1_000_000, "at" + " " * 1_000_000):
         pii.stretches(hostile)
     assert time.perf_counter() - start < 20
+
+
+@pytest.mark.parametrize("text,name", [
+    ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("The MIT License (MIT)", "MIT"), ("MIT License", "MIT"),
+    ("Distributed under the MIT license.", "MIT"), ("Licensed under the BSD 3-Clause License.", "BSD-3-Clause"),
+    ("Licensed under GPLv3.", "GPL-3.0"), ("Eclipse Public License, version 2.0", "EPL-2.0"),
+    ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("SPDX-License-Identifier: CC-BY-NC-SA-4.0", "CC-BY-NC-SA-4.0"),
+])
+def test_titles_tags_and_short_headers(text, name):
+    (found,) = Scanner().scan("# a file\n# " + text + "\nimport of goods is a long story\n")
+    assert (found["license"], found["missing"], found["added"]) == (name, 0, 0)
+
+
+def test_bodies_are_told_apart_whole():
+    two, three = (max((b for n, b in NOTICES if n == name), key=len) for name in ("BSD-2-Clause", "BSD-3-Clause"))
+    mit = max((b for n, b in NOTICES if n == "MIT"), key=len)
+    text = "\n\n".join(["Copyright (c) 2001 somebody", three, "and some other part:", mit, "and a third one:", two])
+    found = Scanner().scan(text)
+    assert [(f["license"], f["missing"], f["added"]) for f in found] == [("BSD-3-Clause", 0, 0), ("MIT", 0, 0), ("BSD-2-Clause", 0, 0)]
+    assert found[0]["end"] - found[0]["start"] > 1300
+
+
+class Unranked(Scanner):
+    """Takes the notices in the reverse of their order, whatever they save."""
+
+    def ranked(self, piece, notices):
+        return [(1000 * k, k, 0.5) for k in sorted(notices, reverse=True)]
+
+
+class Deaf(Scanner):
+    """Compression that never saves anything."""
+
+    def ranked(self, piece, notices):
+        return []
+
+
+def test_compression_selects_and_orders():
+    body = next(b for name, b in NOTICES if name == "CC-BY-NC-4.0" and len(b) > 60)
+    text = "Some prose. " + body + " More prose."
+    assert [f["license"] for f in Scanner().scan(text)] == ["CC-BY-NC-4.0"]
+    assert [f["license"] for f in Unranked().scan(text)] != ["CC-BY-NC-4.0"]
+    assert Deaf().scan(text) == []
+
+
+def test_nothing_that_wording_alone_confirms_is_lost():
+    """Every notice tried at every word, whatever it saves: wherever one is confirmed, the scan has a license too."""
+    rng, scan = random.Random(11), Scanner()
+    for _ in range(25):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            parts.append(" ".join("".join(rng.choices("etaoinshr", k=rng.randrange(2, 9))) for _ in range(rng.randrange(5, 120))))
+            words = rng.choice(NOTICES)[1].split(" ")
+            if len(words) > 25:
+                words[rng.randrange(len(words))] = "otherwise"
+            parts.append(" ".join(words))
+        text = "\n".join(parts)
+        spans = [(f["start"], f["end"]) for f in scan.scan(text)]
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+        words = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"\w+", text)]
+        spoken = [w for w, _, _ in words]
+        for k, (_, want) in enumerate(scan.notices):
+            for start in range(len(spoken)):
+                if spoken[start] == want[0] and spoken[start : start + len(want)] == want:
+                    a, b = words[start][1], words[start + len(want) - 1][2]
+                    assert any(s < b and a < e for s, e in spans), (k, text[a:b])
+
+
+def test_long_texts_of_notices_take_linear_time():
+    import time
+
+    line, seconds = "Licensed under the MIT License.\n", []
+    for n in (500, 2000):
+        start = time.perf_counter()
+        assert len(Scanner().scan(line * n)) == n
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 10 * seconds[0]

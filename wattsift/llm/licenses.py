@@ -1,12 +1,14 @@
 """License scans by conditional compression.
 
-A block of text that may hold a license is compressed alone and with each notice as a raw zstandard dictionary. Notices
-are ranked by how much smaller they make it, and confirmed in this order by the exact differences in wording. All that
-share a few words in a row with the block are, however many there are.
+A block of text that may hold a license is compressed alone and with each notice as a raw zstandard dictionary. The notices
+that make it smaller by more than a margin are ranked by how much, and the first whose wording is confirmed by exact
+differences takes its places. These are taken out of the block, which is ranked again, until no notice saves more than the
+margin or none that does is confirmed.
 """
 
 import re
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -21,9 +23,14 @@ CUES = ("licen", "permission", "redistribut", "public domain", "copyright", "rel
 CUE = re.compile("|".join(CUES), re.IGNORECASE | re.ASCII)
 WORD = re.compile(r"\w+")
 FOUND = "array<struct<start:bigint,end:bigint,license:string,reduction:double,missing:int,added:int>>"
-BLOCK = 1500
-#: Words in a row that a text and a notice must share, or all of a shorter notice.
+BLOCK = 1200
+#: Words in a row that say where a notice may start in a text, or all of a shorter notice.
 RUN = 4
+LEVEL = 6
+#: Bytes that a notice must save. The given texts' shortest license line saves 13 of its block; prose without one saves none.
+MARGIN = 1
+#: Rivals within this many bytes of the first that is confirmed are compared by their wording: an exact one goes first.
+NEAR = 8
 
 
 def words_at(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
@@ -35,7 +42,7 @@ def runs(words: list[str], n: int) -> Iterator[tuple[str, ...]]:
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Ranges of text around cue words, up to half a block to either side, cut at line ends beyond the next; merged."""
+    """Ranges of text around cue words, half a block to either side; those that touch are one."""
     out: list[list[int]] = []
     half = BLOCK // 2
     for m in CUE.finditer(text):
@@ -48,44 +55,49 @@ def blocks(text: str) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    """Notices as dictionaries and words, and which notices hold each run of as many words as a confirmation needs."""
+    """Notices as dictionaries and words, and where each run of words stands in them."""
 
-    def __init__(self, notices=NOTICES, level: int = 3):
+    def __init__(self, notices=NOTICES, level: int = LEVEL):
         self.notices = [(name, [w for w, _, _ in words_at(body, 0, len(body))]) for name, body in notices]
         self.plain = zstandard.ZstdCompressor(level=level)
-        self.given = [
-            zstandard.ZstdCompressor(
-                level=level, dict_data=zstandard.ZstdCompressionDict(body.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            )
-            for _, body in notices
-        ]
+        self.given = []
+        for _, body in notices:
+            given = zstandard.ZstdCompressionDict(body.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            given.precompute_compress(level=level)
+            self.given.append(zstandard.ZstdCompressor(level=level, dict_data=given))
         self.holders: dict[tuple[str, ...], list[tuple[int, int]]] = {}
         for k, (_, want) in enumerate(self.notices):
             for at, run in enumerate(runs(want, min(RUN, len(want)))):
                 self.holders.setdefault(run, []).append((k, at))
         self.sizes = sorted({len(run) for run in self.holders})
 
-    def sharing(self, words: list[str]) -> dict[int, set[int]]:
-        """Notices that share a run with the words, with the places where they would start: no other can be confirmed."""
+    def places(self, words: list[str | None], low: int, high: int) -> dict[int, set[int]]:
+        """Where each notice would start, by the runs it shares with the words from ``low`` to ``high``."""
         out: dict[int, set[int]] = {}
         for n in self.sizes:
-            for here, run in enumerate(runs(words, n)):
+            for here, run in enumerate(runs(words[low:high], n), low):
                 for k, at in self.holders.get(run, ()):
                     out.setdefault(k, set()).add(here - at)
         return out
 
-    def ranked(self, piece: str, notices: Iterable[int]) -> list[tuple[float, int]]:
-        """(share of the compressed size saved, notice) of the given notices, best first."""
+    def ranked(self, piece: str, notices: list[int]) -> list[tuple[int, int, float]]:
+        """(bytes saved, notice, share of the compressed size saved) of those of the notices that save more than the margin,
+        best first."""
         data = piece.encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(data))
-        return sorted(((1 - len(self.given[k].compress(data)) / alone, k) for k in notices), key=lambda x: (-x[0], x[1]))
+        saved = ((alone - len(self.given[k].compress(data)), k) for k in notices)
+        return sorted(((s, k, s / alone) for s, k in saved if s > MARGIN), key=lambda x: (-x[0], x[1]))
 
-    def differences(self, notice: int, words: list[str], start: int) -> tuple[int, int, int, int] | None:
+    def differences(self, notice: int, words: list[str | None], start: int) -> tuple[int, int, int, int] | None:
         """(first word, last word, notice words missing, words between that are not the notice's) of a copy that starts at
-        ``start`` or, as words were added or left out, a little before or behind."""
+        ``start`` or, as words were added or left out, a little before or behind. Words taken out before end the search."""
         want = self.notices[notice][1]
         slack = max(4, len(want) // 10 + 1)
         low, high = max(0, start - slack), min(len(words), start + len(want) + slack)
+        middle = min(max(start + len(want) // 2, low), high)
+        if None in words[low:high]:
+            low = max((k + 1 for k in range(low, middle) if words[k] is None), default=low)
+            high = min((k for k in range(middle, high) if words[k] is None), default=high)
         same = [b for b in SequenceMatcher(None, words[low:high], want, autojunk=False).get_matching_blocks() if b.size]
         if not same:
             return None
@@ -93,38 +105,75 @@ class Scanner:
         first, last = low + same[0].a, low + same[-1].a + same[-1].size - 1
         return first, last, len(want) - held, last - first + 1 - held
 
+    def confirmed(self, notice: int, words: list[str | None], starts: set[int]) -> list[tuple[int, int, int, int]]:
+        """The notice's copies with the fewest differences, none over another: at most a tenth of its words may be missing,
+        and as many added."""
+        size = len(self.notices[notice][1])
+        found = {d for start in starts if (d := self.differences(notice, words, start)) and 10 * max(d[2], d[3]) <= size}
+        fewest = min((d[2] + d[3] for d in found), default=0)
+        out: list[tuple[int, int, int, int]] = []
+        for d in sorted(found):
+            if d[2] + d[3] == fewest and (not out or d[0] > out[-1][1]):
+                out.append(d)
+        return out
+
+    def winner(self, ranked, words: list[str | None], places: dict[int, set[int]]):
+        """(notice, share saved, copies) of the first ranked notice that is confirmed, or of a rival that saves nearly as
+        much with fewer differences, or as few in a longer wording."""
+        best, first = None, 0
+        for saved, k, share in ranked:
+            if best and saved < first - NEAR:
+                break
+            copies = self.confirmed(k, words, places[k]) if k in places else []
+            if copies:
+                order = (copies[0][2] + copies[0][3], -len(self.notices[k][1]))
+                if best is None:
+                    best, first = (order, k, share, copies), saved
+                elif order < best[0]:
+                    best = (order, k, share, copies)
+        return best and best[1:]
+
     def scan(self, text: str) -> list[dict]:
-        """Confirmed notices at every place: at most a tenth of the wording missing and a tenth added. Of overlapping ones
-        those with fewer differences win, then longer ones."""
-        found: list[tuple] = []
+        """Confirmed notices at every place, in order; no two overlap."""
+        found: list[dict] = []
         for a, b in blocks(text):
-            for start in range(a, b, BLOCK // 2):
-                piece = text[start : min(b, start + BLOCK)]
-                if not CUE.search(piece):
-                    continue
-                words = words_at(text, start, min(b, start + BLOCK))
-                spoken = [w for w, _, _ in words]
-                places = self.sharing(spoken)
-                for saved, notice in self.ranked(piece, places) if places else ():
-                    size = len(self.notices[notice][1])
-                    for start_word in sorted(places[notice]):
-                        d = self.differences(notice, spoken, start_word)
-                        if d is not None and 10 * d[2] <= size and 10 * d[3] <= size:
-                            first, last, missing, added = d
-                            found.append((words[first][1], words[last][2], notice, saved, missing, added))
-        best: dict[tuple, tuple] = {}
-        for f in found:
-            key = f[:3]
-            if key not in best or f[3] > best[key][3]:
-                best[key] = f
-        out: list[tuple] = []
-        for f in sorted(best.values(), key=lambda f: (f[4] + f[5], f[0] - f[1], f[0], f[2])):
-            if all(f[1] <= o[0] or f[0] >= o[1] for o in out):
-                out.append(f)
-        return [
-            {"start": s, "end": e, "license": self.notices[n][0], "reduction": round(r, 6), "missing": m, "added": x}
-            for s, e, n, r, m, x in sorted(out)
-        ]
+            words = words_at(text, a, b)
+            spoken: list[str | None] = [w for w, _, _ in words]
+            starts = [s for _, s, _ in words]
+            taken: list[tuple[int, int]] = []
+            for start in range(a, max(a + 1, b - BLOCK // 2), BLOCK // 2):
+                end = min(b, start + BLOCK)
+                low, high = bisect_left(starts, start), bisect_left(starts, end)
+                left = list(range(len(self.notices)))
+                while left:
+                    rest = _without(text, start, end, taken)
+                    if not CUE.search(rest):
+                        break
+                    ranked = self.ranked(rest, left)
+                    won = self.winner(ranked, spoken, self.places(spoken, low, high))
+                    if won is None:
+                        break
+                    k, share, copies = won
+                    for first, last, missing, added in copies:
+                        spoken[first : last + 1] = [None] * (last + 1 - first)
+                        taken.append((words[first][1], words[last][2]))
+                        found.append({
+                            "start": words[first][1], "end": words[last][2], "license": self.notices[k][0],
+                            "reduction": round(share, 6), "missing": missing, "added": added,
+                        })
+                    # what saves too little of the piece saves no more of what is left of it
+                    left = [k for _, k, _ in ranked]
+        return sorted(found, key=lambda f: f["start"])
+
+
+def _without(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> str:
+    """The text from start to end with a line break in place of each range taken out."""
+    out, at = [], start
+    for s, e in sorted(taken):
+        if e > at and s < end:
+            out.append(text[at : max(at, s)])
+            at = e
+    return "\n".join([*out, text[at:end]])
 
 
 def find_licenses(docs: DataFrame, text: str = "text", notices=NOTICES) -> DataFrame:
