@@ -377,3 +377,54 @@ def test_long_texts_of_notices_take_linear_time():
         assert len(Scanner().scan(line * n)) == n
         seconds.append(time.perf_counter() - start)
     assert seconds[1] < 10 * seconds[0]
+
+
+def test_tagged_spans_on_held_out_texts(spark):
+    """Instances that the exact patterns miss, and look-alikes, in texts that the tagger has not seen: exact ends."""
+    texts = [r.text for r in table(spark, SF_01, "documents").where("text IS NOT NULL").orderBy("doc_id").select("text").collect()]
+    tagger = pii.train([t[:2000] for t in texts[:500]])
+    held = [pii.TRIGGER.sub("", t) for t in texts[500:900] if len(t) > 300]
+    rng = np.random.default_rng(99)
+    words = [w for c in held[:50] for w in c.split()[:40] if len(w) > 2]
+    found, right, added = dict.fromkeys(KINDS, 0), 0, 0
+
+    def carried(item):
+        carrier = held[int(rng.integers(0, len(held)))]
+        at = carrier.index(" ", int(rng.integers(0, len(carrier) - 100)))
+        return carrier[:at] + " " + item + carrier[at:], at + 1
+
+    for kind in KINDS:
+        items = []
+        while len(items) < 100:
+            item = pii._example(kind, rng, words)
+            if not pii.base_spans(item):
+                items.append(item)
+        placed = [carried(item) for item in items]
+        spans = pii.added_spans(tagger, [t for t, _ in placed], [pii.base_spans(t) for t, _ in placed], 0.3)
+        for item, (_, at), got in zip(items, placed, spans):
+            want = (at, "likely_" + kind, at + len(item))
+            found[kind] += want in got
+            right, added = right + (want in got), added + len(got)
+    decoys = [carried(pii._decoy(rng))[0] for _ in range(400)]
+    added += sum(map(len, pii.added_spans(tagger, decoys, [pii.base_spans(t) for t in decoys], 0.3)))
+    assert min(found.values()) >= 90, found
+    assert right >= 0.9 * added
+
+
+@pytest.mark.parametrize("kind,text,body", [
+    ("email", "nardo. and68 (at) ntat2.example.com then", "and68 (at) ntat2.example.com"),
+    ("email", "ask euxr38@the . net or not", "euxr38@the . net"), ("email", "x jane [at] example [dot] org y", "jane [at] example [dot] org"),
+    ("card", "no 4111.1111.1111.1111 is", "4111.1111.1111.1111"), ("ip", "at 10, 1.2. 3. 4 and", "1.2. 3. 4"),
+    ("phone", "call (555) 123-4567 now", "(555) 123-4567"), ("phone", "or tel 154.746.2488.", "tel 154.746.2488"),
+])
+def test_ends_are_settled_on_whole_runs(kind, text, body):
+    start = text.index(body)
+    for a, b in ((0, 0), (3, 0), (0, -3), (2, -2), (-2, 2)):
+        got = pii.settled(kind, text, start + a, start + len(body) + b)
+        assert got and text[slice(*got)] == body, (a, b, got and text[slice(*got)])
+
+
+def test_parts_of_longer_chains_are_no_spans():
+    assert pii.settled("ip", "v 1.2.3.4.5.6 x", 2, 9) is None
+    assert pii.settled("phone", "id 12345678901234567890 x", 3, 14) is None
+    assert pii.settled("phone", "in 2021 we sold 123456 of them", 3, 22) is None

@@ -5,6 +5,7 @@ averaged, those near a window's middle counting more, and one path through each
 """
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ from wattsift.llm.tagger import KINDS, LENGTH, PAD, TAGS, Tagger, encode
 
 Span = tuple[int, str, int]  # start, kind, end
 STRIDE = LENGTH // 2
+#: Weight of the tag outside when a path is settled: spans that only look like one fail on their wording afterwards.
+OUTSIDE = 0.25
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -183,7 +186,7 @@ def stretches(text: str) -> list[tuple[int, int]]:
 
 
 def tag_stretches(tagger: Tagger, parts: list[str], step: int = 512) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(tags, probability of each tag) of every part, settled over its overlapping windows."""
+    """(tags, probability of each kind at each character) of every part, settled over its overlapping windows."""
     codes = [encode(p) for p in parts]
     starts = [(k, a) for k, c in enumerate(codes) for a in range(0, max(1, len(c) - STRIDE), STRIDE)]
     sums = [np.zeros((len(c), TAGS)) for c in codes]
@@ -201,47 +204,120 @@ def tag_stretches(tagger: Tagger, parts: list[str], step: int = 512) -> list[tup
             sums[k][s : s + n] += p[:n, row] * centred[:n, None]
             weights[k][s : s + n] += centred[:n]
     mean = [s / np.maximum(w, 1e-9)[:, None] for s, w in zip(sums, weights)]
-    paths = tagger.best_paths([np.log(m + 1e-6) for m in mean])
-    return [(t, m[np.arange(len(t)), t]) for t, m in zip(paths, mean)]
+    lean = np.array([OUTSIDE] + [1.0] * (TAGS - 1))
+    paths = tagger.best_paths([np.log(m * lean + 1e-6) for m in mean])
+    return [(t, (m[:, 1::2] + m[:, 2::2]).clip(0, 1)) for t, m in zip(paths, mean)]
 
 
 def _plausible(kind: str, body: str) -> bool:
     """What a tagged span must at least look like."""
     digits = sum(c in "0123456789" for c in body)
-    if kind == "email":
-        return bool(re.search(r"[a-zA-Z0-9]\s*[(\[]?\s*(@|\bat\b)\s*[)\]]?\s*[a-zA-Z0-9-]+\s*(\.|\bdot\b)\s*[a-zA-Z]", body))
     if kind == "ip":
         groups = GROUPS.findall(body)
-        return len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups) and not re.search(r"[A-Za-z]", body)
+        return len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups) and bool(re.fullmatch(r"[0-9 .,]+", body))
     if kind == "card":
         number = "".join(GROUPS.findall(body))
-        return 14 <= digits <= 19 and luhn(number) and not re.search(r"[A-Za-z]", body)
-    return 10 <= digits <= 15 and len(GROUPS.findall(body)) >= 2 and not re.search(r"[0-9][A-Za-z]|[A-Za-z][0-9]", body)
+        return 14 <= digits <= 19 and luhn(number) and bool(re.fullmatch(r"[0-9 ./-]+", body))
+    return 10 <= digits <= 15 and len(GROUPS.findall(body)) >= 2 and bool(re.fullmatch(r"(?:tel )?[0-9+() ./-]+", body))
+
+
+#: An address as people spell it: signs for @ and for dots may stand apart, in brackets or as words.
+SPELLED = re.compile(
+    r"[A-Za-z0-9._%+-]{1,64}\s?(?:@|[(\[]\s?(?:@|at)\s?[)\]]|\bat\b)\s?[A-Za-z0-9-]{1,63}"
+    r"(?:(?:\.|\s\.\s|\s?[(\[]?\s?\bdot\b\s?[)\]]?\s?)[A-Za-z0-9-]{1,63})+",
+    re.IGNORECASE,
+)
+#: Characters around a tagged span among whose runs its ends are looked for.
+REACH = 10
+#: Least mean probability of the kind that a span is given.
+LEAST = 0.1
+
+
+def settled(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The plausible span of whole runs (groups of digits, or a spelled address) whose ends lie nearest to the tagged ones.
+
+    The tagger is sure of a kind sooner than of its first and last characters. Of spans as near, the longer.
+    """
+    low, high = max(0, start - REACH), min(len(text), end + REACH)
+    if kind == "email":
+        while low > max(0, start - 64) and text[low - 1] in LOCAL_CHARS:
+            low -= 1
+        while high < min(len(text), end + 64) and text[high] in LOCAL_CHARS:
+            high += 1
+        near = [m.span() for m in SPELLED.finditer(text, low, high) if m.start() < end and m.end() > start]
+        return min(near, key=lambda x: (abs(x[0] - start) + abs(x[1] - end), x[0] - x[1]), default=None)
+    while low > 0 and start - low < 30 and text[low].isdigit() and text[low - 1].isdigit():
+        low -= 1
+    while high < len(text) and high - end < 30 and text[high - 1].isdigit() and text[high].isdigit():
+        high += 1
+    found = [m.span() for m in GROUPS.finditer(text, low, high)]
+    begins = [s for s, e in found if s <= start + REACH and e > start - REACH]
+    ends = [e for s, e in found if e >= end - REACH and s < end + REACH]
+    best = None
+    for s in begins:
+        s = _opened(kind, text, s)
+        for e in ends:
+            if s < e:
+                order = (abs(s - start) + abs(e - end), s - e)
+                if (best is None or order < best[0]) and _plausible(kind, text[s:e]) and _whole(text, s, e):
+                    best = (order, s, e)
+    return best and best[1:]
+
+
+def _opened(kind: str, text: str, start: int) -> int:
+    """The start moved back over a plus, a bracket or the word that opens a phone number."""
+    if kind == "phone":
+        for sign in ("(", "+", "tel "):
+            if text.startswith(sign, start - len(sign)) and start >= len(sign):
+                start -= len(sign)
+    return start
+
+
+def _whole(text: str, start: int, end: int) -> bool:
+    """No more digits of the same chain stand before or behind: part of a longer chain is not a span."""
+    return not re.search(r"[0-9][.-]?\Z", text[max(0, start - 2) : start]) and not re.match(r"[.-]?[0-9]", text[end : end + 2])
+
+
+def _merged(base: list[Span]) -> list[tuple[int, int]]:
+    """Ranges that the spans cover, in order and apart."""
+    out: list[tuple[int, int]] = []
+    for s, _, e in sorted(base):
+        if out and s < out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
 
 
 def added_spans(tagger: Tagger, texts: list[str], bases: list[list[Span]], sure: float) -> list[list[Span]]:
-    """Spans of the tagger that touch no exact match, are plausible and have a mean probability of ``sure``."""
+    """Spans of the tagger that touch no exact match, with ends settled on whole runs and a mean probability of ``sure`` to be of
+    any kind."""
     places = [(k, a, b) for k, text in enumerate(texts) for a, b in stretches(text)]
     out: list[list[Span]] = [[] for _ in texts]
     if not places:
         return out
     tagged = tag_stretches(tagger, [texts[k][a:b] for k, a, b in places])
+    taken = [_merged(base) for base in bases]
     for (k, a, _), (tags, p) in zip(places, tagged):
-        taken = [(s, e) for s, _, e in bases[k]]
         cuts = np.flatnonzero(np.diff(np.concatenate(([0], (tags + 1) // 2, [0]))) | np.concatenate((tags % 2 == 1, [False])))
         for i, j in zip(cuts[:-1], cuts[1:]):
-            if tags[i] == 0:
+            held = p[i:j].mean(axis=0)
+            if tags[i] == 0 or held.sum() < sure:
+                continue
+            # digits in groups look alike to the tagger: of the kinds it holds likely, the first that the span can be
+            ways = ((KINDS[x], settled(KINDS[x], texts[k], a + i, a + j)) for x in np.argsort(-held, kind="stable") if held[x] >= LEAST)
+            kind, span = next(((x, found) for x, found in ways if found), (None, None))
+            if span is None:
                 continue
-            body = texts[k][a + i : a + j]
-            start, end = a + i + len(body) - len(body.lstrip()), a + j - len(body) + len(body.rstrip())
-            kind = KINDS[(tags[i] - 1) // 2]
-            free = all(e <= start or s >= end for s, e in taken)
-            if end > start and free and p[i:j].mean() >= sure and _plausible(kind, texts[k][start:end]):
+            start, end = span
+            at = bisect_left(taken[k], (start, start))
+            if all(e <= start or s >= end for s, e in taken[k][max(0, at - 1) : at + 1]):
+                taken[k].insert(at, span)
                 out[k].append((start, "likely_" + kind, end))
     return out
 
 
-def find_pii(docs: DataFrame, id: str = "doc_id", text: str = "text", max_carriers: int = 500, sure: float = 0.9, seed: int = 5) -> DataFrame:
+def find_pii(docs: DataFrame, id: str = "doc_id", text: str = "text", max_carriers: int = 500, sure: float = 0.3, seed: int = 5) -> DataFrame:
     """Add ``pii``, an array of (start, kind, end) in order of start, to every document.
 
     Kinds email, ip, card and phone are exact matches; likely_email and so on are the tagger's. Positions count code
@@ -249,6 +325,9 @@ def find_pii(docs: DataFrame, id: str = "doc_id", text: str = "text", max_carrie
     those that hash lowest with their ids; of a long text, 2000 characters from a place anywhere in it. All of every text is
     searched: exact matches and the tagger need a digit, an @ or an address in words, and every window that holds one is read.
 
+    Decoding leans towards spans (``OUTSIDE``, ``sure``: the least mean probability of being of any kind); each is then
+    settled on whole groups of digits or a spelled address, and dropped if it cannot be of a kind the tagger holds likely.
+
     A NULL or empty text has no spans. Repeated rows get the same spans each. A column of this name is replaced.
     """
     base = without(docs, "pii")
