@@ -150,3 +150,18 @@ def test_votes_fold_by_hash(spark):
 
     plan = Tables(spark, "/root/testdata/sf0.001").scores()._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_ranks_say_what_the_pairs_say(rows):
+    needs = [0.5, 2.0, 2.0, 7.99, 8.0, 8.01, 64.0, 65.0, None]
+    have = [4.0, 8.0, 8.0, 2.0, 64.0, 16.0, None]
+    models = rows("m int, need double", *enumerate(needs))
+    platforms = rows("p int, have double", *enumerate(have))
+    ranked = sampling.ranked_capacities(platforms, "have", step=3.0)
+    assert collected(ranked, "p", "rank") == sorted([(0, 2), (1, 3), (2, 3), (3, 1), (4, 6), (5, 5), (6, None)], key=repr)
+    got = sampling.fit_ranks(models, platforms, "need", "have", step=3.0)
+    ranks = {r.p: r["rank"] for r in ranked.collect() if r["rank"]}
+    pairs = sorted((r.m, p) for r in got.collect() if r.first_rank for p, rank in ranks.items() if rank >= r.first_rank)
+    assert pairs == sorted((m, p) for m, n in enumerate(needs) for p, h in enumerate(have) if n is not None and h is not None and n <= h)
+    assert collected(got, "m", "n_fit") == [(m, sum(1 for h in have if n is not None and h is not None and h >= n)) for m, n in enumerate(needs)]
+    assert sampling.fit_ranks(models, platforms.limit(0), "need", "have").filter("first_rank IS NOT NULL OR n_fit <> 0").count() == 0

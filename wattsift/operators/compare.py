@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from wattsift.functions.metrics import per_unit
 from wattsift.operators.quantiles import exact_quantiles
+from wattsift.session import written
 
 
 def summarise(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,9 +83,13 @@ def paired(df: DataFrame, key: str, config: str, a: str, b: str, metrics: list[s
 
 
 def paired_statistics(pairs: DataFrame, metric: str) -> DataFrame:
-    """Mean, median and sample deviation of a - b, mean ratio, and the share where a exceeds b."""
+    """Mean, median and sample deviation of a - b, mean ratio, and the share where a exceeds b.
+
+    The pairs are written once, three numbers each, as the moments and the exact median read them several times.
+    """
     a, b = F.col(f"{metric}_a"), F.col(f"{metric}_b")
     rows = pairs.select((a - b).alias("diff"), F.try_divide(a, b).alias("ratio"), (a > b).cast("double").alias("wins"))
+    rows = written(rows, "pairs")
     moments = rows.agg(
         F.count("diff").alias("n_pairs"),
         F.avg("diff").alias("diff_mean"),

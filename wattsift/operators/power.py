@@ -35,20 +35,23 @@ def integrate(power: DataFrame, chunk: Column | None = None) -> DataFrame:
 
 
 def idle_baseline(power: DataFrame, windows: DataFrame, seconds: float = IDLE_SECONDS) -> DataFrame:
-    """Idle watts per device over its idle window (device, t0, t1); 0.0 where nothing was read in it."""
-    inside = power.join(windows, "device").filter(F.col("ts").between(F.col("t0"), F.col("t1")))
+    """Idle watts per device over its idle window (device, t0, t1); 0.0 where nothing was read in it.
+
+    Readings meet the window in time buckets as long as it: a busy device's other readings fall into buckets without one.
+    """
+    inside = range_join(windows, power, max(1, int(seconds)), id="ts")
     watts = joules(F.max("counter_kwh") - F.min("counter_kwh")) / F.lit(seconds)
     measured = inside.groupBy("device").agg(watts.alias("__w"))
     idle = F.coalesce("__w", F.lit(0.0)).alias("idle_w")
     return windows.select("device").distinct().join(measured, "device", "left").select("device", idle)
 
 
-def range_join(executions: DataFrame, power: DataFrame, bucket_s: int, salts: int = 4) -> DataFrame:
+def range_join(executions: DataFrame, power: DataFrame, bucket_s: int, salts: int = 4, id: str = "sample_id") -> DataFrame:
     """Samples with t0 <= ts <= t1 on the same device, one row per (execution, sample).
 
     Executions are copied into the time buckets they touch, samples fall into one, and the equi join
     runs on (device, bucket, salt): a busy device is spread over its buckets, a busy bucket over the
-    salts. A bucket about as long as an execution keeps both the copies and the misses few.
+    salts, by ``id``. A bucket about as long as an execution keeps both the copies and the misses few.
     """
     spread = F.sequence(time_chunk("t0", bucket_s), time_chunk("t1", bucket_s))
     left = executions.withColumn("__bucket", F.explode(spread)).withColumn(
@@ -57,7 +60,7 @@ def range_join(executions: DataFrame, power: DataFrame, bucket_s: int, salts: in
     right = power.withColumns(
         {
             "__bucket": time_chunk("ts", bucket_s),
-            "__salt": F.pmod(F.xxhash64("sample_id"), F.lit(salts)).cast("int"),
+            "__salt": F.pmod(F.xxhash64(id), F.lit(salts)).cast("int"),
         }
     )
     joined = left.join(right, ["device", "__bucket", "__salt"])

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattsift.operators.ordered import top_per_group
+from wattsift.operators.ordered import fill_forward, running, top_per_group
 
 
 def stratified_first(df: DataFrame, stratum: str, order: str, k: int) -> DataFrame:
@@ -59,6 +59,41 @@ def fits(models: DataFrame, platforms: DataFrame, need: str, have: str, step: fl
     return pairs.drop("__step", "__salt")
 
 
+def ranked_capacities(platforms: DataFrame, have: str, step: float = 4.0) -> DataFrame:
+    """The platforms with their ``rank`` by capacity, from 1 upwards; equal capacities share the lowest. A NULL capacity
+    fits nothing and has no rank."""
+    below = _capacities(platforms, have, step).select(F.col("at").alias("__at"), F.col("rank"))
+    return platforms.join(below, F.col(have) == F.col("__at"), "left").drop("__at")
+
+
+def fit_ranks(models: DataFrame, platforms: DataFrame, need: str, have: str, step: float = 4.0) -> DataFrame:
+    """Every model with ``first_rank``, the rank of the smallest platform that it fits, and ``n_fit``, how many it fits.
+
+    With the ranked platforms this says all that the pairs of ``fits`` say, in as many rows as there are models: a model
+    fits the platforms of its first rank and above. Needs are read off the ordered capacities, the next one as great or
+    greater, chunk by chunk of ``step``. A model that fits none, or whose need is NULL, has a NULL rank and n_fit 0.
+    """
+    sizes = _capacities(platforms, have, step).select(
+        (-F.col("at")).alias("at"), F.lit(0).alias("kind"), F.struct(F.col("rank").alias("first_rank"), "n_fit").alias("size")
+    )
+    needs = models.filter(F.col(need).isNotNull()).select((-F.col(need).cast("double")).alias("at"), F.lit(1).alias("kind"))
+    # From the greatest down, and capacities before needs of their size, the last capacity seen is the one that fits.
+    series = sizes.unionByName(needs.distinct(), allowMissingColumns=True).withColumn("all", F.lit(1))
+    read = fill_forward(series, ["all"], ["at", "kind"], "size", "seen", F.floor(F.col("at") / F.lit(step)))
+    found = read.filter(F.col("kind") == 1).select((-F.col("at")).alias("__at"), "seen.first_rank", "seen.n_fit")
+    joined = models.join(found, F.col(need).cast("double") == F.col("__at"), "left").drop("__at")
+    return joined.withColumn("n_fit", F.coalesce("n_fit", F.lit(0).cast("bigint")))
+
+
+def _capacities(platforms: DataFrame, have: str, step: float) -> DataFrame:
+    """Distinct capacities ``at`` with the rank of the first platform that has it and the number that have as much or more."""
+    sizes = platforms.filter(F.col(have).isNotNull()).groupBy(F.col(have).cast("double").alias("at")).agg(F.count("*").alias("n"))
+    sizes = sizes.withColumns({"all": F.lit(1), "down": -F.col("at")})
+    upto = running(sizes, ["all"], ["at"], {"__upto": F.col("n")}, F.floor(F.col("at") / F.lit(step)))
+    both = running(upto, ["all"], ["down"], {"n_fit": F.col("n")}, F.floor(F.col("down") / F.lit(step)))
+    return both.select("at", (F.col("__upto") - F.col("n") + 1).alias("rank"), "n_fit")
+
+
 def distinct_counts(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Rows, distinct values and surplus copies per key; copies fold before the keys meet."""
     folded = df.groupBy(*keys, column).agg(F.count("*").alias("__c"))

@@ -95,6 +95,19 @@ def fits_in_memory(t):
     return pairs.select("model_id", "model_label", "platform", "platform_name", "ram_needed_gb", "ram_gb")
 
 
+@query("j8_fit_ranks", twin(MODELS, PLATFORMS, body="""
+SELECT model_id, model_label, ram_needed_gb, 1 + (SELECT count(*) FROM platforms WHERE ram_gb < m.first_gb) AS first_rank, n_fit
+FROM (SELECT model_id, any_value(model_label) AS model_label, ram_needed_gb, min(ram_gb) AS first_gb, count(ram_gb) AS n_fit
+      FROM models LEFT JOIN platforms ON ram_needed_gb <= ram_gb GROUP BY model_id, ram_needed_gb) m WHERE n_fit > 0
+UNION ALL
+SELECT model_id, model_label, ram_needed_gb, NULL, 0 FROM models
+WHERE ram_needed_gb IS NULL OR NOT EXISTS (SELECT 1 FROM platforms WHERE ram_gb >= ram_needed_gb)"""))
+def fit_ranks(t):
+    """The same as the pairs, in as many rows as models: each model's smallest platform by rank, and how many it fits."""
+    ranks = sampling.fit_ranks(t.models(), t.platforms(), "ram_needed_gb", "ram_gb")
+    return ranks.select("model_id", "model_label", "ram_needed_gb", "first_rank", "n_fit")
+
+
 @query("j9_missing_cells", twin(RUNS, PLATFORMS, body="""
 SELECT p.platform, p.platform_name, g.precision, coalesce(s.n, 0) AS n, round(s.lpw_mean, 6) AS lpw_mean,
        s.n IS NULL AS missing
