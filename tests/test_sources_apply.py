@@ -210,6 +210,8 @@ def test_a_failing_judge_falls_back_per_row(rows):
     df = rows("prompt string, response string", ("p", "ab"), ("p", ""), ("p", "a" * 20))
     got = apply_judge(df, loader)
     assert collected(got, "score", "parse_ok", "score_ok") == [(0, True, False), (5, True, True), (7, False, True)]
+    assert [r.error for r in got.filter("NOT parse_ok").collect()] == ["ZeroDivisionError: integer division or modulo by zero"]
+    assert got.filter("parse_ok AND error IS NOT NULL").count() == 0
 
 
 def test_work_folder_follows_the_cluster_setting(spark, monkeypatch):

@@ -54,25 +54,26 @@ def apply_model(
 
 
 def apply_judge(runs: DataFrame, loader: Callable[[], Judge], partitions: int | None = None) -> DataFrame:
-    """Add the judge's reply and its parsed score, reason, parse_ok and score_ok.
+    """Add the judge's reply and its parsed score, reason, parse_ok and score_ok, and ``error``.
 
-    A judge that raises leaves a NULL reply, which the parser turns into the fallback score.
+    A judge that raises leaves a NULL reply, which the parser turns into the fallback score, and its cause in ``error``.
     """
-    schema = T.StructType(runs.schema.fields + [T.StructField("reply", T.StringType())])
+    schema = T.StructType([*runs.schema.fields, T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask = loader()
 
         def reply(prompt, response):
             try:
-                return ask(prompt, response)
-            except Exception:
-                return None
+                return ask(prompt, response), None
+            except Exception as e:
+                return None, f"{type(e).__name__}: {e}"
 
         for batch in batches:
             pairs = zip(batch.column("prompt").to_pylist(), batch.column("response").to_pylist(), strict=True)
-            replies = pa.array([reply(*pair) for pair in pairs], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, replies], names=schema.names)
+            got = [reply(*pair) for pair in pairs]
+            replies, errors = (pa.array([g[k] for g in got], pa.string()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, replies, errors], names=schema.names)
 
     judged = _spread(runs, partitions).mapInArrow(run, schema)
     return parse_judge(judged).withColumn("score_ok", valid_score(F.col("score")))
