@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tests.conftest import collected
 from wattsift.functions.distance import edits_within
+from wattsift.functions.text import fold, signature
 from wattsift.operators import ordered as O
 from wattsift.operators import power as P
-from wattsift.operators.reconcile import reconcile
+from wattsift.operators.reconcile import prompt_classes, reconcile
 
 START = dt.datetime(2024, 1, 1)
 POWER = "device long, sample_id long, ts timestamp_ntz, watts double, counter_kwh double"
@@ -154,19 +155,24 @@ def test_bounded_distance_equals_the_full_table():
             assert edits_within(a, b, limit) == (full if full <= limit else -1)
 
 
+LETTERS = {"latin": "abcd ", "cyrillic": "абвг ", "han": "水火木金土", "beyond": "𐍈𐍉𐍊 "}
+OPENING = {"latin": "explain what is meant by ", "cyrillic": "объясни своими словами что такое ", "han": "请用自己的话解释", "beyond": "𐍈𐍉𐍈𐍉 "}
+
+
+@pytest.mark.parametrize("script", sorted(LETTERS))
 @pytest.mark.parametrize("limit,busy", [(1, 1000), (3, 1000), (3, 0), (3, 5)])
-def test_reconcile_equals_brute_force(rows, limit, busy):
-    """Near copies under a common opening, short texts, copies, and a split of every crowded key."""
+def test_reconcile_equals_brute_force(rows, limit, busy, script):
+    """Near copies under a common opening, short texts, copies, and a split of every crowded key, in several scripts."""
     rng = random.Random(limit)
-    opening = "explain in your own words what is meant by "
+    letters, opening = LETTERS[script], OPENING[script]
 
     def mutate(text):
         for _ in range(rng.randint(0, 4)):
             i = rng.randrange(len(text) + 1)
-            text = rng.choice([text[:i] + text[i + 1:], text[:i] + rng.choice("abc") + text[i:]])
+            text = rng.choice([text[:i] + text[i + 1:], text[:i] + rng.choice(letters.strip()) + text[i:]])
         return text
 
-    base = [opening + "".join(rng.choices("abcd ", k=12)).strip() for _ in range(25)] + ["a", "ab", "abc"]
+    base = [opening + "".join(rng.choices(letters, k=12)).strip() for _ in range(25)] + [letters[:n] for n in (1, 2, 3)]
     a = [(i, t) for i, t in enumerate(base)] + [(100, base[0].upper() + "!")]
     b = [(200 + i, mutate(t)) for i, t in enumerate(base)] + [(300, base[3]), (301, base[3] + " ?")]
 
@@ -187,9 +193,30 @@ def test_reconcile_equals_brute_force(rows, limit, busy):
     schema = "prompt_id long, prompt string"
     got = reconcile(rows(schema, *a), rows(schema, *b), limit, busy=busy)
     assert collected(got, "id_a", "id_b", "distance") == sorted(want, key=repr)
+    both = rows(schema, *a, *b)
+    classes = {t: min(i for s in (fa, fb) for x, i in s.items() if x == t) for t in fa | fb}
+    named = {r.prompt_id: r.id for r in prompt_classes(both).collect()}
+    assert named == {i: classes.get(" ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())) for i, t in a + b}
+
+
+def test_folding():
+    same = [
+        ("Straße, ÉTÉ!", "strasse ete"), ("ΟΔΟΣ", "οδος"), ("Ёлка", "елка"), ("Ａ１　Ｂ", "a1 b"), ("한국어", "\u1112\u1161\u11ab국어"),
+        ("e\u0301", "é"), ("ﬁne™", "finetm"), ("a_b-c", "a b c"), ("", "?!"),
+    ]
+    assert [fold(x) == fold(y) for x, y in same] == [True] * len(same)
+    assert fold("कि") != fold("का") and fold("水") != fold("火") and fold("한국어") == "한국어"
+    rng = random.Random(3)
+    for _ in range(500):
+        text = "".join(rng.choices("ab水火 ж𐍈", k=rng.randint(0, 9)))
+        i = rng.randrange(len(text) + 1)
+        edits = [text[:i] + text[i + 1:], text[:i] + "金" + text[i:], text[:i] + "q" + text[i + 1:]]
+        assert all(abs(x - y) <= 1 for e in edits for x, y in zip(signature(text), signature(e), strict=True))
 
 
 def test_texts_that_fold_to_nothing_match_nothing(rows):
-    a = rows("prompt_id long, prompt string", (1, "Привет"), (2, "same text"), (3, "?!"))
-    b = rows("prompt_id long, prompt string", (7, "你好"), (8, "Same, text"), (9, ""))
-    assert collected(reconcile(a, b), "id_a", "id_b", "distance") == [(2, 8, 0)]
+    a = rows("prompt_id long, prompt string", (1, "Привет"), (2, "same text"), (3, "?!"), (4, None), (5, None))
+    b = rows("prompt_id long, prompt string", (7, "你好"), (8, "Same, text"), (9, ""), (10, "привет!"), (11, None))
+    assert collected(reconcile(a, b), "id_a", "id_b", "distance") == [(1, 10, 0), (2, 8, 0)]
+    assert collected(prompt_classes(a)) == [(1, 1), (2, 2), (3, None), (4, None), (5, None)]
+    assert reconcile(a.limit(0), b).count() == 0 and prompt_classes(a.limit(0)).count() == 0

@@ -1,15 +1,16 @@
 """Prompt, response and label text."""
 
+import re
+import unicodedata
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wattsift.schemas import CATEGORY_LABELS, PRECISION_LABELS
 
-# Letters folded to ASCII when prompts are compared.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-
-
 def strip_ws(text: Column) -> Column:
     """Strip all leading and trailing whitespace (``trim`` only strips spaces)."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -34,10 +35,54 @@ def drop_prefix(sequence: Column, prefix_length: Column) -> Column:
     return F.slice(sequence, prefix_length + 1, F.greatest(F.size(sequence), F.lit(1)))
 
 
-def comparable(text: Column) -> Column:
-    """Case, accents, punctuation and spacing folded away, leaving ASCII words."""
-    plain = F.translate(F.lower(text), ACCENTED, PLAIN)
-    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
+class _Words(dict):
+    """Character table for ``str.translate``: letters, digits and their marks stay, all else is a space."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code if unicodedata.category(chr(code))[0] in "LNM" else 32
+        return self[code]
+
+
+_WORDS = _Words()
+# Fixed value: the accents that stand above or below letters of many scripts.
+_ACCENTS = re.compile("[\u0300-\u036f]+")
+
+
+def fold(text: str) -> str:
+    """Case, accents, forms of a character, punctuation and spacing folded away, in any script.
+
+    Signs that carry vowels (in Indic scripts, say) are no accents and stay.
+    """
+    if text.isascii():
+        text = text.lower()
+    else:
+        apart = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).casefold())
+        text = unicodedata.normalize("NFC", _ACCENTS.sub("", apart))
+    return " ".join(text.translate(_WORDS).split())
+
+
+# A text's signature: how many of its characters have bit 0, 1, 2, 3 of the code point set, in any script.
+# One edit changes each count by at most one.
+SIGNATURE = ["bit0", "bit1", "bit2", "bit3"]
+
+
+def signature(text: str) -> list[int]:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return [int((codes >> bit & 1).sum()) for bit in range(len(SIGNATURE))]
+
+
+def comparable() -> Callable[[Column], Column]:
+    """Struct of a text folded (``norm``, NULL for NULL) and its signature."""
+
+    @F.pandas_udf(", ".join(["norm string", *(f"{name} int" for name in SIGNATURE)]))
+    def folded(texts: pd.Series) -> pd.DataFrame:
+        norms = [None if t is None else fold(t) for t in texts]
+        counts = [signature(n or "") for n in norms]
+        found = pd.DataFrame(counts, columns=SIGNATURE, dtype="int32")
+        found.insert(0, "norm", pd.Series(norms, dtype="object"))
+        return found
+
+    return folded
 
 
 def _folded(label: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Match the prompts of two corpora: equal after folding, else within an edit distance.
+"""Match the prompts of two corpora, in any script: equal after folding, else within an edit distance.
 
 Near matches use the pigeonhole rule: cut a text into d + 1 segments, and any text within d edits
 holds one of them unchanged, shifted by at most d. Segments become equi-join keys together with the
@@ -6,12 +6,14 @@ text length, so no pair within d is missed and texts are compared only where a s
 """
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattsift.functions.distance import edit_distance
-from wattsift.functions.text import comparable
+from wattsift.functions.text import SIGNATURE, comparable
 from wattsift.session import written
 
 
@@ -22,21 +24,22 @@ def _segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
     return start + 1, end - start
 
 
-def _letters(letters: str) -> Column:
-    """How many of ``letters`` a text has; one edit changes it by at most one."""
-    return F.length("norm") - F.length(F.translate("norm", letters, ""))
+WIDTH = 4  # bytes of a character in UTF-32
+
+
+def _part(text: Column, start: Column, size: Column) -> Column:
+    return text.substr((start - 1) * WIDTH + 1, size * WIDTH)
 
 
 def _keyed(texts: DataFrame, keys: Callable[[Column, Column], Column]) -> DataFrame:
-    """One row per key; the text itself stays behind.
+    """One row per key, with the signature; the text itself stays behind.
 
-    Folded texts are ASCII, so they are cut as bytes: any part is found without walking the text.
+    Texts are cut as UTF-32, where any part is found without walking the text.
     """
-    counts = [_letters("etaoins").alias("common"), _letters("hrdlu ").alias("other")]
-    rows = texts.select("id", *counts, F.col("norm").cast("binary").alias("bytes"))
-    parts = rows.select("id", "common", "other", keys(F.col("bytes"), F.length("bytes")).alias("keys"))
+    rows = texts.select("id", F.array(*SIGNATURE).alias("signature"), F.encode("norm", "UTF-32").alias("wide"))
+    parts = rows.select("id", "signature", keys(F.col("wide"), F.expr(f"length(wide) div {WIDTH}").cast("int")).alias("keys"))
     # The outer form keeps the optimiser from also evaluating the keys in a filter on the text's scan.
-    return parts.select("id", "common", "other", F.explode_outer("keys").alias("key"))
+    return parts.select("id", "signature", F.explode_outer("keys").alias("key"))
 
 
 def _indexed(texts: DataFrame, d: int) -> DataFrame:
@@ -44,7 +47,7 @@ def _indexed(texts: DataFrame, d: int) -> DataFrame:
 
     def keys(text: Column, length: Column) -> Column:
         def key(i: Column) -> Column:
-            return F.xxhash64(length, i, text.substr(*_segment(length, i, d + 1)))
+            return F.xxhash64(length, i, _part(text, *_segment(length, i, d + 1)))
 
         return F.transform(F.sequence(F.lit(0), F.lit(d)), key)
 
@@ -65,7 +68,7 @@ def _probed(texts: DataFrame, d: int) -> DataFrame:
             low = F.greatest(start - i, start + gap - (F.lit(d) - i), F.lit(1))
             high = F.least(start + i, start + gap + (F.lit(d) - i), mine - size + 1)
             at_all = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-            return F.transform(at_all, lambda at: F.xxhash64(near, i, text.substr(at, size)))
+            return F.transform(at_all, lambda at: F.xxhash64(near, i, _part(text, at, size)))
 
         def segments(near: Column) -> Column:
             return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(d)), lambda i: places(near, i)))
@@ -76,56 +79,73 @@ def _probed(texts: DataFrame, d: int) -> DataFrame:
 
 
 def _candidates(left: DataFrame, right: DataFrame, d: int, busy: int) -> DataFrame:
-    """Distinct (id_a, id_b) that share a key.
+    """Distinct (id_a, id_b) that share a key and whose signatures differ by at most d in every count.
 
-    A segment held by more than ``busy`` texts (a common opening, say) is split by two letter counts:
-    texts within d edits differ by at most d in each, so the probing side lists those values.
+    A segment held by more than ``busy`` texts (a common opening, say) is dealt into cells by the first two counts:
+    the probing side lists the values within d. All pairs of a cell are met, whatever ``busy`` is.
     """
     crowded = right.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > busy).select("key")
     crowded = crowded.withColumn("hot", F.lit(True))
     slack = F.sequence(F.lit(-d), F.lit(d))
     none = F.array(F.lit(0))
     hot = F.col("hot").isNotNull()
+    one, two = F.col("signature")[0], F.col("signature")[1]
 
-    def cell(common: Column, other: Column) -> Column:
-        return F.when(hot, F.xxhash64("key", common, other)).otherwise(F.col("key")).alias("cell")
+    def cell(first: Column, second: Column) -> Column:
+        return F.when(hot, F.xxhash64("key", first, second)).otherwise(F.col("key")).alias("cell")
 
     a = (
         left.join(crowded, "key", "left")
-        .withColumn("dc", F.explode(F.when(hot, slack).otherwise(none)))
-        .withColumn("do", F.explode(F.when(hot, slack).otherwise(none)))
-        .select(F.col("id").alias("id_a"), cell(F.col("common") + F.col("dc"), F.col("other") + F.col("do")))
-    )
-    b = right.join(crowded, "key", "left").select(
-        F.col("id").alias("id_b"), cell(F.col("common"), F.col("other"))
+        .withColumn("d1", F.explode(F.when(hot, slack).otherwise(none)))
+        .withColumn("d2", F.explode(F.when(hot, slack).otherwise(none)))
+        .select(F.col("id").alias("id_a"), F.col("signature").alias("sa"), cell(one + F.col("d1"), two + F.col("d2")))
     )
-    return a.join(b, "cell").select("id_a", "id_b").distinct()
+    b = right.join(crowded, "key", "left").select(F.col("id").alias("id_b"), F.col("signature").alias("sb"), cell(one, two))
+    near = reduce(and_, (F.abs(F.col("sa")[i] - F.col("sb")[i]) <= d for i in range(len(SIGNATURE))))
+    return a.join(b, "cell").where(near).select("id_a", "id_b").distinct()
+
+
+def _folded(prompts: DataFrame) -> DataFrame:
+    """(prompt_id, norm, signature) of the prompts with anything left after folding."""
+    rows = prompts.select("prompt_id", comparable()(F.col("prompt")).alias("f"))
+    return rows.select("prompt_id", "f.*").filter("norm <> ''")
+
+
+def prompt_classes(prompts: DataFrame) -> DataFrame:
+    """(prompt_id, id) of every prompt: the lowest id among the prompts that fold to the same text, which ``reconcile``
+    names it by. A prompt that is NULL or folds to nothing has a NULL id.
+
+    Copies are counted by a hash aggregate on the text and come back by a join on its hash and the text, which Spark
+    can split where many prompts are copies of one.
+    """
+    rows = prompts.select("prompt_id", comparable()(F.col("prompt")).alias("f"))
+    rows = rows.select("prompt_id", F.nullif("f.norm", F.lit("")).alias("norm"))
+    named = rows.where("norm IS NOT NULL").groupBy("norm").agg(F.min("prompt_id").alias("id"))
+    return rows.join(named, "norm", "left").select("prompt_id", "id")
 
 
 def reconcile(a: DataFrame, b: DataFrame, max_distance: int = 2, busy: int = 1000) -> DataFrame:
     """One row per matched (text of a, text of b): id_a, id_b, distance.
 
     Inputs have ``prompt_id`` and ``prompt``. Copies of a folded text are one text, named by its lowest
-    id. Texts equal in both corpora match at distance 0; the others match at 1..max_distance, all of
-    their partners kept. A text with nothing left after folding (other scripts, signs only) matches nothing.
+    id, to which ``prompt_classes`` leads from every copy. Texts equal in both corpora match at distance 0; the
+    others match at 1..max_distance, all of their partners kept. Distances count characters, not bytes. A text
+    with nothing left after folding (signs only) matches nothing.
     """
-
-    def folded(df: DataFrame) -> DataFrame:
-        norm = comparable(F.col("prompt")).alias("norm")
-        return df.select("prompt_id", norm).filter("norm <> ''").groupBy("norm").agg(F.min("prompt_id").alias("id"))
-
+    none = F.lit(None).cast("bigint")
     both = (
-        folded(a).select("norm", F.col("id").alias("id_a"), F.lit(None).cast("bigint").alias("id_b"))
-        .unionByName(folded(b).select("norm", F.lit(None).cast("bigint").alias("id_a"), F.col("id").alias("id_b")))
-        .groupBy("norm").agg(F.max("id_a").alias("id_a"), F.max("id_b").alias("id_b"))
+        _folded(a).select("norm", *SIGNATURE, F.col("prompt_id").alias("id_a"), none.alias("id_b"))
+        .unionByName(_folded(b).select("norm", *SIGNATURE, none.alias("id_a"), F.col("prompt_id").alias("id_b")))
+        # the signature follows from the text; fixed-width buffers keep this a hash aggregate
+        .groupBy("norm").agg(*(F.min(c).alias(c) for c in [*SIGNATURE, "id_a", "id_b"]))
     )
     # Both corpora are folded once; the steps below read the written table, some of them ids only.
     both = written(both, "folded")
     exact = both.filter("id_a IS NOT NULL AND id_b IS NOT NULL").select(
         "id_a", "id_b", F.lit(0).cast("bigint").alias("distance")
     )
-    only_a = both.filter("id_b IS NULL").select(F.col("id_a").alias("id"), "norm")
-    only_b = both.filter("id_a IS NULL").select(F.col("id_b").alias("id"), "norm")
+    only_a = both.filter("id_b IS NULL").select(F.col("id_a").alias("id"), "norm", *SIGNATURE)
+    only_b = both.filter("id_a IS NULL").select(F.col("id_b").alias("id"), "norm", *SIGNATURE)
 
     # Only ids and hashed keys are shuffled to find candidates; whole texts are attached afterwards.
     candidates = _candidates(_probed(only_a, max_distance), _indexed(only_b, max_distance), max_distance, busy)

@@ -2,11 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from wattsift.functions import text as X
 from wattsift.operators import compare, panel, power, sampling
 from wattsift.operators.enrich import with_efficiency
 from wattsift.operators.ordered import DAY, fill_forward, id_chunk, moving, running, time_chunk
-from wattsift.operators.reconcile import reconcile
+from wattsift.operators.reconcile import prompt_classes, reconcile
 from wattsift.plans.registry import query
 from wattsift.plans.tables import F16, PRECISIONS, Q4
 from wattsift.plans.twins import (
@@ -150,12 +149,14 @@ def human_against_ai(t):
     )
 
 
-# Fixed values in the twin: the letters folded by functions.text.comparable.
+# The letters beyond ASCII in the given texts are Latin ones, which the twin can fold too.
+FOLDED = r"trim(regexp_replace(replace(strip_accents(lower(prompt)), 'ß', 'ss'), '[^\p{L}\p{N}]+', ' ', 'g'))"
+
+
 @query("j12_reconcile_prompts", twin(PROMPTS, body=f"""
 , folded AS (
   SELECT corpus, norm, min(prompt_id) AS id FROM (
-    SELECT corpus, prompt_id, trim(regexp_replace(translate(lower(prompt), '{X.ACCENTED}', '{X.PLAIN}'), '[^a-z0-9]+', ' ', 'g')) AS norm
-    FROM prompts) WHERE norm <> '' GROUP BY ALL),
+    SELECT corpus, prompt_id, {FOLDED} AS norm FROM prompts) WHERE norm <> '' GROUP BY ALL),
 a AS (SELECT * FROM folded WHERE corpus = 'A'),
 b AS (SELECT * FROM folded WHERE corpus = 'B')
 SELECT a.id AS id_a, b.id AS id_b, CAST(0 AS BIGINT) AS distance FROM a JOIN b USING (norm)
@@ -166,6 +167,14 @@ def reconcile_prompts(t):
     return reconcile(t.corpus("A"), t.corpus("B"), max_distance=6)
 
 
+@query("j12_prompt_classes", twin(PROMPTS, body=f"""
+SELECT prompt_id, CASE WHEN norm <> '' THEN min(prompt_id) OVER (PARTITION BY norm) END AS id
+FROM (SELECT prompt_id, {FOLDED} AS norm FROM prompts)"""))
+def classes_of_prompts(t):
+    """Every prompt of both corpora with the lowest id among its copies, also those that differ in case or accents."""
+    return prompt_classes(t.prompts())
+
+
 @query("j13_samples_in_execution", twin(POWER, EXECUTIONS, body="""
 SELECT run_id, e.device, count(*) AS n_samples, round(avg(watts), 6) AS mean_w, min(watts) AS min_w, max(watts) AS max_w
 FROM executions e JOIN power p ON p.device = e.device AND p.ts BETWEEN e.t0 AND e.t1 GROUP BY ALL"""))
