@@ -35,7 +35,7 @@ def test_weight_sweep_spans_the_panels(rows):
 def test_outstanding_ratings(rows):
     items = rows("item_id long", (1,), (2,))
     scores = rows(SCORE, *[(1, r, "human", "CA", 5) for r in range(13) if r not in (3, 11)], (1, 99, "human", "CA", 5))
-    got = panel.outstanding(items, scores, ["item_id"])
+    got = panel.outstanding(scores, ["item_id"], items)
     assert collected(got) == [(1, 11), (1, 3)] + sorted([(2, r) for r in range(13)], key=repr)
 
 

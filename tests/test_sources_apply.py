@@ -8,7 +8,7 @@ from wattsift import session
 from wattsift.functions.replies import rubric
 from wattsift.operators.apply import apply_judge, apply_model
 from wattsift.operators.judging import parse_judge
-from wattsift.sources import checkpoints, files, scores, summary
+from wattsift.sources import batches, checkpoints, files, scores, summary
 
 PROMPT = "ID int, CATEGORY string, PROMPT string"
 
@@ -122,11 +122,14 @@ def test_summary_document_round_trip(spark, rows, tmp_path):
 
 def test_checkpoint_batches_and_files(spark, tmp_path):
     df = spark.range(1, 121).select(F.col("id").alias("task_id"))
-    checkpoints.write_checkpoints(df, f"{tmp_path}/c", "task_id")
-    assert sorted(p.name for p in (tmp_path / "c").glob("batch=*")) == ["batch=1", "batch=2", "batch=3"]
-    got = checkpoints.read_checkpoints(spark, f"{tmp_path}/c", df.schema)
-    assert got.filter(F.col("source_file").contains("batch=3")).count() == 20
-    assert got.select("task_id").distinct().count() == 120
+    path = f"{tmp_path}/c"
+    assert checkpoints.write_checkpoints(df.filter("task_id <= 70"), path, "task_id", session="a")
+    assert not checkpoints.write_checkpoints(df.filter("task_id <= 70"), path, "task_id", session="a")
+    assert checkpoints.write_checkpoints(df.filter("task_id > 70"), path, "task_id", session="b")
+    got = batches.read_batches(spark, path, checkpoints.with_batch(df, "task_id").schema)
+    assert collected(got.groupBy("batch").count()) == [(1, 50), (2, 50), (3, 20)]
+    assert len(list((tmp_path / "c" / "data").iterdir())) == 2
+    assert checkpoints.read_checkpoints(spark, f"{path}/data", df.schema).select("task_id").distinct().count() == 120
 
 
 def test_score_sheets(spark, rows, tmp_path):

@@ -82,20 +82,21 @@ def long_rubric(wide: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def outstanding(
-    items: DataFrame, scores: DataFrame, keys: list[str], roster: int = HUMAN_RATERS + AI_RATERS
+    scores: DataFrame, keys: list[str], items: DataFrame | None = None, roster: int = HUMAN_RATERS + AI_RATERS
 ) -> DataFrame:
     """Ratings still to be done: every roster member not yet seen on an item.
 
     The raters seen are folded per item (at most ``roster`` of them) and subtracted from the roster,
-    so neither a product of raters and items nor an anti join of it is shuffled.
+    so neither a product of raters and items nor an anti join of it is shuffled. ``items`` may name items
+    that nobody has rated yet, one row each; without it they are the items of ``scores``, in one aggregate.
     """
-    seen = scores.filter(F.col("rater_id").between(0, roster - 1)).groupBy(*keys).agg(
-        F.collect_set("rater_id").alias("__seen")
-    )
+    known = F.when(F.col("rater_id").between(0, roster - 1), F.col("rater_id"))
+    seen = scores.groupBy(*keys).agg(F.collect_set(known).alias("__seen"))
     everyone = F.sequence(F.lit(0).cast("bigint"), F.lit(roster - 1).cast("bigint"))
     none_yet = F.array().cast("array<bigint>")
     missing = F.array_except(everyone, F.coalesce("__seen", none_yet))
-    return items.select(*keys).join(seen, keys, "left").select(*keys, F.explode(missing).alias("rater_id"))
+    asked = seen if items is None else items.select(*keys).join(seen, keys, "left")
+    return asked.select(*keys, F.explode(missing).alias("rater_id"))
 
 
 def blind_sheet(df: DataFrame, item: str, config: str, salt: str) -> tuple[DataFrame, DataFrame]:

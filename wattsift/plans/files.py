@@ -8,7 +8,7 @@ from wattsift.plans.groups import ITEM, SUMMARY_MEANS, SUMMARY_SQL, rounded
 from wattsift.plans.registry import query
 from wattsift.plans.twins import PLATFORMS, PROMPTS, RAW, RUNS, SCORES, TURNS, twin
 from wattsift.session import work_dir
-from wattsift.sources import checkpoints, files, scores, summary
+from wattsift.sources import batches, checkpoints, files, scores, summary
 from wattsift.sources.quoted import read_quoted
 
 NAME_SQL = "concat('Board ', CAST(platform AS VARCHAR), ' 4GB (chip, core)')"
@@ -193,11 +193,15 @@ def bom_csv(t):
 @query("s9_checkpoint_batches", twin(RAW, body="""
 SELECT run_id, precision, latency_s, CAST(ceil((run_id + 1) / 1000e0) AS BIGINT) AS batch FROM raw_runs"""))
 def checkpoint_batches(t):
+    """Three sessions of a collection, one of them tried twice, put together and then read back."""
     rows = t.raw_runs().select("run_id", "precision", "latency_s", (F.col("run_id") + 1).alias("task_id"))
+    schema = checkpoints.with_batch(rows, "task_id", 1000).schema
     path = work_dir(t.spark, "batches")
-    checkpoints.write_checkpoints(rows, path, "task_id", 1000)
-    schema = checkpoints.with_batch(rows, "task_id", 1000).drop("task_id").schema
-    stored = t.spark.read.schema(schema).parquet(path)
+    for session in (0, 1, 1, 2):
+        part = rows.filter(F.expr("(task_id - 1) div 1000 % 3") == session)
+        checkpoints.write_checkpoints(part, path, "task_id", 1000, f"session-{session}")
+    batches.compact(t.spark, path, schema, ["batch", "task_id"])
+    stored = batches.read_batches(t.spark, path, schema)
     return stored.select("run_id", "precision", "latency_s", "batch")
 
 

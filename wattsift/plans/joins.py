@@ -131,8 +131,7 @@ FROM (SELECT DISTINCT item_id, precision FROM scores) i CROSS JOIN (SELECT unnes
 WHERE NOT EXISTS (SELECT 1 FROM scores s
                   WHERE s.item_id = i.item_id AND s.precision = i.precision AND s.rater_id = r.rater_id)"""))
 def outstanding_ratings(t):
-    votes = t.votes()
-    return panel.outstanding(votes.select(*ITEM).distinct(), votes, ITEM)
+    return panel.outstanding(t.votes(), ITEM)
 
 
 @query("j11_human_against_ai", twin(PANEL, body="""
