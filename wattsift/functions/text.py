@@ -3,6 +3,7 @@
 import re
 import unicodedata
 from collections.abc import Callable
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -85,6 +86,17 @@ def comparable() -> Callable[[Column], Column]:
     return folded
 
 
+def folded_digest() -> Callable[[Column], Column]:
+    """SHA-256 of a text folded, which tells texts apart in 32 bytes; NULL for NULL and where nothing is left."""
+
+    @F.pandas_udf("binary")
+    def digest(texts: pd.Series) -> pd.Series:
+        norms = (None if t is None else fold(t) for t in texts)
+        return pd.Series([sha256(n.encode("utf-8", "surrogatepass")).digest() if n else None for n in norms], dtype="object")
+
+    return digest
+
+
 def _folded(label: Column) -> Column:
     return F.regexp_replace(F.lower(strip_ws(label)), r"[_\s-]+", "-")
 

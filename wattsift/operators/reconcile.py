@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattsift.functions.distance import edit_distance
-from wattsift.functions.text import SIGNATURE, comparable
+from wattsift.functions.text import SIGNATURE, comparable, folded_digest
 from wattsift.session import written
 
 
@@ -115,13 +115,12 @@ def prompt_classes(prompts: DataFrame) -> DataFrame:
     """(prompt_id, id) of every prompt: the lowest id among the prompts that fold to the same text, which ``reconcile``
     names it by. A prompt that is NULL or folds to nothing has a NULL id.
 
-    Copies are counted by a hash aggregate on the text and come back by a join on its hash and the text, which Spark
-    can split where many prompts are copies of one.
+    Only ids and digests of the folded texts are shuffled; texts are read and folded once. The least ids are found with
+    partial sums ahead of the shuffle, and come back by a join that Spark can split where most prompts are copies of one.
     """
-    rows = prompts.select("prompt_id", comparable()(F.col("prompt")).alias("f"))
-    rows = rows.select("prompt_id", F.nullif("f.norm", F.lit("")).alias("norm"))
-    named = rows.where("norm IS NOT NULL").groupBy("norm").agg(F.min("prompt_id").alias("id"))
-    return rows.join(named, "norm", "left").select("prompt_id", "id")
+    rows = written(prompts.select("prompt_id", folded_digest()(F.col("prompt")).alias("digest")), "digests")
+    named = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("prompt_id").alias("id"))
+    return rows.join(named, "digest", "left").select("prompt_id", "id")
 
 
 def reconcile(a: DataFrame, b: DataFrame, max_distance: int = 2, busy: int = 1000) -> DataFrame:
