@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wattsift.llm.flow import cheapest_transfers
 from wattsift.llm.mixing import leaf_budgets, mix, taken
-from wattsift.llm.reshard import Layout, manifest, place_blocks, read_shards, reshard, rewrite_affected
+from wattsift.llm.reshard import Layout, manifest, place_blocks, read_shards, reshard, rewrite_affected, room_of
 
 
 def ones():
@@ -174,3 +174,44 @@ def test_a_write_without_its_manifest_changes_nothing(spark, tmp_path, monkeypat
     before = manifest(spark, path)
     docs.selectExpr("doc_id", "text", "1 AS shard").write.partitionBy("shard").parquet(f"{path}/data/half-done")
     assert manifest(spark, path) == before and read_shards(spark, path, docs.schema).count() == 50
+
+
+def test_room_follows_capacities():
+    assert room_of(10, 3) == [4, 3, 3]
+    for total, caps in [(10, [2, 9, 9]), (100, [50, 50, 0]), (7, [3, 3, 3]), (0, [0, 5]), (21, [1, 20]), (30, [10, 10, 10])]:
+        room = room_of(total, len(caps), caps)
+        assert sum(room) == total and all(r <= c for r, c in zip(room, caps, strict=True))
+        free = [r for r, c in zip(room, caps, strict=True) if r < c]
+        assert not free or (max(free) - min(free) <= 1 and all(r <= min(free) + 1 for r in room))
+    for total, caps in [(10, [2, 7]), (10, [20])]:
+        with pytest.raises(ValueError):
+            room_of(total, 2, caps)
+
+
+def test_reshard_from_given_shards_to_given_capacities(spark):
+    """Shards as the caller has them, some rows without; a text in all shards; the fewest bytes move, up to a block."""
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choices("abc ", k=rng.randint(5, 60))), rng.choice([0, 0, 1, 2])) for i in range(3000)]
+    rows += [(5000 + i, "the same text", i % 3) for i in range(90)] + [(6000, None, 1), (6001, "late", None), (6002, "odd", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place int")
+    layout = Layout(old=3, new=4, blocks=64, heavy=8)
+    size = {i: len(t or "") + 1 for i, t, _ in rows}
+    total = sum(size.values())
+    caps = [total // 10, total, total // 3, total // 2]
+    got = reshard(docs, layout, old="place", capacities=caps).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _, _ in rows)
+    given = {i: p for i, _, p in rows}
+    assert all(r.old_shard == given[r.doc_id] for r in got if given[r.doc_id] in (0, 1, 2))
+    assert all(r.old_shard in (0, 1, 2) and r.size == size[r.doc_id] for r in got)
+    held = [sum(r.size for r in got if r.shard == j) for j in range(4)]
+    assert all(h <= c for h, c in zip(held, caps, strict=True))
+    assert len({r.shard for r in got if 5000 <= r.doc_id < 6000}) == 1
+    for j in range(4):
+        assert sorted(r.slot for r in got if r.shard == j) == list(range(sum(r.shard == j for r in got)))
+    had = [sum(r.size for r in got if r.old_shard == i) for i in range(3)]
+    least = sum(max(0, had[i] - room) for i, room in enumerate(room_of(total, 4, caps)[:3]))
+    moved = sum(r.size for r in got if r.shard != r.old_shard)
+    assert moved <= least + 90 * size[5000] + 4 * total // 64
+    with pytest.raises(ValueError):
+        reshard(docs, layout, capacities=[1, 1, 1, 1])
+    assert reshard(docs.limit(0), layout, old="place", capacities=caps).count() == 0

@@ -6,6 +6,7 @@ their block.
 """
 
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from math import ceil
@@ -32,11 +33,11 @@ class Layout:
     slot_rows: int = 10_000
 
 
-def sized(docs: DataFrame, id: str, text: str) -> DataFrame:
+def sized(docs: DataFrame, id: str, text: str, held: Column | None = None) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
         F.col(id).alias("id"), (F.octet_length(body) + 1).cast("bigint").alias("size"), F.crc32(body.cast("binary")).alias("crc"),
-        F.xxhash64(body).alias("group"),
+        F.xxhash64(body).alias("group"), *([] if held is None else [held.alias("held")]),
     )
 
 
@@ -45,37 +46,71 @@ def old_shard(group: Column, layout: Layout) -> Column:
     return F.pmod(group, F.lit(layout.old)).cast("int")
 
 
-def _light_block(group: Column, layout: Layout) -> Column:
+def _light_block(group: Column, layout: Layout, home: Column | None = None) -> Column:
     slice_ = F.pmod(F.shiftright(group, 20), F.lit(layout.blocks)).cast("bigint")
-    return old_shard(group, layout).cast("bigint") * layout.blocks + slice_
+    return (old_shard(group, layout) if home is None else home).cast("bigint") * layout.blocks + slice_
 
 
-def place_blocks(blocks: list[tuple[int, int, int]], old: int, new: int) -> dict[int, int]:
+def room_of(total: int, new: int, capacities: Sequence[int] | None = None) -> list[int]:
+    """The bytes that each new shard is to have: near equal, where its capacity allows it; together all bytes."""
+    if capacities is None:
+        return [total // new + (j < total % new) for j in range(new)]
+    if len(capacities) != new or sum(capacities) < total:
+        raise ValueError(f"{new} shards need as many capacities, of {total} bytes together at least")
+    room, rest = [0] * new, total
+    for n, j in enumerate(sorted(range(new), key=lambda j: (capacities[j], -j))):
+        room[j] = min(capacities[j], rest // (new - n))  # what a small one cannot take is dealt to the larger ones
+        rest -= room[j]
+    return room
+
+
+def place_blocks(
+    blocks: list[tuple[int, int, int]], old: int, new: int, capacities: Sequence[int] | None = None
+) -> dict[int, int]:
     """Block -> new shard for blocks (block, old shard, bytes), along the cheapest transfers.
 
     Blocks go largest first. A block follows the transfer of its old shard with the most bytes left, staying if it
     can; where none has half of it left, it goes to the shard with the most room. Small blocks come last and level
-    the shards.
+    the shards. No shard gets more than its capacity; a ValueError says where blocks are too coarse for that.
     """
     sizes = [0] * old
     for _, shard, size in blocks:
         sizes[shard] += size
     total = sum(sizes)
-    room = [total // new + (j < total % new) for j in range(new)]
+    room = room_of(total, new, capacities)
+    spare = list(capacities or [total] * new)
     left = cheapest_transfers(sizes, room)
     by_shard = [[j for j in range(new) if (i, j) in left] for i in range(old)]
     out = {}
     for block, i, size in sorted(blocks, key=lambda b: (-b[2], b[0])):
         ways = [j for j in by_shard[i] if left[i, j] * 2 >= size and room[j] >= size]
-        j = max(ways, key=lambda j: (j == i, left[i, j], -j)) if ways else max(range(new), key=lambda j: (room[j], j == i, -j))
+        fits = [j for j in range(new) if spare[j] >= size]
+        if not fits:
+            raise ValueError(f"no shard has {size} bytes left for block {block}; use more blocks or more capacity")
+        j = max(ways, key=lambda j: (j == i, left[i, j], -j)) if ways else max(fits, key=lambda j: (room[j], j == i, -j))
         if (i, j) in left:
             left[i, j] -= size
         room[j] -= size
+        spare[j] -= size
         out[block] = j
     return out
 
 
-def placement(rows: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
+def with_home(docs: DataFrame, id: str, text: str, old: str, layout: Layout) -> DataFrame:
+    """Sized rows with ``held``, the old shard that column ``old`` names, and ``home``, the one with most bytes of the
+    row's group of equal texts, which the group counts as being in, so that it moves as one.
+
+    Sums by group and shard are folded before the shuffle, so a text that is most of the rows makes one row a shard.
+    """
+    known = F.when(F.col(old).between(0, layout.old - 1), F.col(old).cast("int"))
+    held = sized(docs.select(id, text, old), id, text, F.coalesce(known, old_shard(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), layout)))
+    held = written(held, "sizes")
+    sums = held.groupBy("group", "held").agg(F.sum("size").alias("bytes"))
+    home = sums.groupBy("group").agg(F.max(F.struct("bytes", (-F.col("held")).alias("down"))).alias("most"))
+    return written(held.join(home.select("group", (-F.col("most.down")).alias("home")), "group"), "homes")
+
+
+def placement(rows: DataFrame, layout: Layout, capacities: Sequence[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """(heavy groups: group, block, pieces), (blocks: block, shard, subs); both at most a few thousand rows."""
     spark = rows.sparkSession
     total = rows.agg(F.sum("size")).first()[0] or 0
@@ -91,28 +126,37 @@ def placement(rows: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
         first += pieces
     held = spark.createDataFrame(groups, "group bigint, first_block bigint, pieces int")
     in_blocks = with_blocks(rows, held, layout).groupBy("block", "old_shard").agg(F.sum("size"), F.count("*")).collect()
-    to = place_blocks([(b, i, s) for b, i, s, _ in in_blocks], layout.old, layout.new)
+    to = place_blocks([(b, i, s) for b, i, s, _ in in_blocks], layout.old, layout.new, capacities)
     subs = [(b, to[b], ceil(n / layout.slot_rows)) for b, _, _, n in in_blocks]
     return held, spark.createDataFrame(subs, "block bigint, shard int, subs int")
 
 
 def with_blocks(rows: DataFrame, heavy: DataFrame, layout: Layout) -> DataFrame:
     piece = F.col("first_block") + F.pmod(F.xxhash64("id"), F.col("pieces"))
-    marked = rows.join(F.broadcast(heavy), "group", "left").withColumn("old_shard", old_shard(F.col("group"), layout))
-    block = F.coalesce(piece.cast("bigint"), _light_block(F.col("group"), layout))
+    home = F.col("home") if "home" in rows.columns else old_shard(F.col("group"), layout)
+    marked = rows.join(F.broadcast(heavy), "group", "left").withColumn("old_shard", home)
+    block = F.coalesce(piece.cast("bigint"), _light_block(F.col("group"), layout, home))
     return marked.withColumn("block", block).drop("first_block", "pieces")
 
 
-def reshard(docs: DataFrame, layout: Layout = Layout(), id: str = "doc_id", text: str = "text") -> DataFrame:
+def reshard(
+    docs: DataFrame, layout: Layout = Layout(), id: str = "doc_id", text: str = "text", old: str | None = None,
+    capacities: Sequence[int] | None = None,
+) -> DataFrame:
     """(id, size, text_crc32, old_shard, shard, slot) of every row: new shards near equal in bytes, fewest bytes moved.
 
     A row's size is the UTF-8 bytes of its text, none for NULL, plus 1. Rows of equal texts stay together, unless all of
     them are more than a shard's fair part; such a group is cut by id. Shards differ by about a block: a fair part of
     all bytes over the number of blocks, or the longest text. Slots of a shard count from 0 without gaps, by block and
     id; rows that repeat id and text take neighbouring slots. An empty table gives no rows.
+
+    ``old`` names a column with the shard each row is in now, 0 to layout.old - 1; rows without one, or with another,
+    are taken to be where the content-addressed layout has their text, as all rows are without ``old``. Equal texts in
+    several old shards move to the one place. ``capacities`` are the bytes each new shard can hold: shards are near
+    equal as far as these allow, and none gets more; a ValueError says that they do not suffice.
     """
-    rows = written(sized(docs.select(id, text), id, text), "sizes")
-    heavy, blocks = placement(rows, layout)
+    rows = with_home(docs, id, text, old, layout) if old else written(sized(docs.select(id, text), id, text), "sizes")
+    heavy, blocks = placement(rows, layout, capacities)
     placed = with_blocks(rows, heavy, layout).join(F.broadcast(blocks), "block")
     placed = placed.withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int")).drop("subs")
     chunk = ["shard", "block", "sub"]
@@ -122,7 +166,7 @@ def reshard(docs: DataFrame, layout: Layout = Layout(), id: str = "doc_id", text
     number = F.row_number().over(Window.partitionBy(*chunk).orderBy("id", "group"))
     slots = placed.withColumn("number", number).join(offsets, chunk)
     return slots.select(
-        F.col("id").alias(id), "size", F.col("crc").alias("text_crc32"), "old_shard", "shard",
+        F.col("id").alias(id), "size", F.col("crc").alias("text_crc32"), F.col("held" if old else "old_shard").alias("old_shard"), "shard",
         (F.col("offset") + F.col("number") - 1).cast("bigint").alias("slot"),
     )
 
