@@ -84,23 +84,22 @@ def _candidates(left: DataFrame, right: DataFrame, d: int, busy: int) -> DataFra
     A segment held by more than ``busy`` texts (a common opening, say) is dealt into cells by the first two counts:
     the probing side lists the values within d. All pairs of a cell are met, whatever ``busy`` is.
     """
-    crowded = right.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > busy).select("key")
-    crowded = crowded.withColumn("hot", F.lit(True))
+    held = right.groupBy("key").agg((F.count("*") > busy).alias("hot"))
     slack = F.sequence(F.lit(-d), F.lit(d))
     none = F.array(F.lit(0))
-    hot = F.col("hot").isNotNull()
+    hot = F.col("hot")
     one, two = F.col("signature")[0], F.col("signature")[1]
 
     def cell(first: Column, second: Column) -> Column:
         return F.when(hot, F.xxhash64("key", first, second)).otherwise(F.col("key")).alias("cell")
 
     a = (
-        left.join(crowded, "key", "left")
+        left.join(held, "key")  # most keys of the probing side are held by no text and end here
         .withColumn("d1", F.explode(F.when(hot, slack).otherwise(none)))
         .withColumn("d2", F.explode(F.when(hot, slack).otherwise(none)))
         .select(F.col("id").alias("id_a"), F.col("signature").alias("sa"), cell(one + F.col("d1"), two + F.col("d2")))
     )
-    b = right.join(crowded, "key", "left").select(F.col("id").alias("id_b"), F.col("signature").alias("sb"), cell(one, two))
+    b = right.join(held, "key").select(F.col("id").alias("id_b"), F.col("signature").alias("sb"), cell(one, two))
     near = reduce(and_, (F.abs(F.col("sa")[i] - F.col("sb")[i]) <= d for i in range(len(SIGNATURE))))
     return a.join(b, "cell").where(near).select("id_a", "id_b").distinct()
 
