@@ -1,14 +1,16 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import collected
 from wattsift.functions.distance import edits_within
-from wattsift.functions.text import fold, signature
+from wattsift.functions.text import LOST, fold, marks, signature
 from wattsift.operators import ordered as O
 from wattsift.operators import power as P
+from wattsift.operators import reconcile as reconcile_module
 from wattsift.operators.reconcile import prompt_classes, reconcile
 
 START = dt.datetime(2024, 1, 1)
@@ -220,3 +222,72 @@ def test_texts_that_fold_to_nothing_match_nothing(rows):
     assert collected(reconcile(a, b), "id_a", "id_b", "distance") == [(1, 10, 0), (2, 8, 0)]
     assert collected(prompt_classes(a)) == [(1, 1), (2, 2), (3, None), (4, None), (5, None)]
     assert reconcile(a.limit(0), b).count() == 0 and prompt_classes(a.limit(0)).count() == 0
+
+
+def edited(rng, text, letters):
+    i, new = rng.randrange(len(text) + 1), rng.choice(letters)
+    return rng.choice([text[:i] + text[i + 1 :], text[:i] + new + text[i:], text[:i] + new + text[i + 1 :]])
+
+
+def marks_of(*texts):
+    return [set(m.tolist()) for m in marks([np.array([ord(c) for c in t], dtype="u4") for t in texts])]
+
+
+def test_an_edit_changes_few_marks():
+    rng = random.Random(4)
+    for _ in range(2000):
+        letters = rng.choice(["ab", "abcdefgh ", "水火木金土"])
+        text = "".join(rng.choices(letters, k=rng.randint(0, 200)))
+        before, after, alone = *marks_of(text, edited(rng, text, letters)), marks_of(text)[0]
+        assert max(len(before - after), len(after - before)) <= LOST and before == alone
+    long = "".join(rng.choices("abcdefgh ", k=150_000))
+    assert marks_of("ab", long, "")[1] >= marks_of(long[:90_000])[0] | marks_of(long[60_000:])[0]
+
+
+def long_texts(rng):
+    """Families of near copies with many marks, with about as many as are needed, and with few for their length."""
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(200)]
+    passage = " ".join(rng.choices(words, k=60))
+    base = [passage + " " + " ".join(rng.choices(words, k=n)) for n in (20, 40, 90, 150)]
+    base += [" ".join(rng.choices(words, k=n)) for n in range(18, 48, 3)] + ["ab " * 150, "a" * 400, "abcdefg h" * 40]
+    a = b = ()
+    for text in base:
+        for k in (1, 3, 4, 7):
+            x = y = text
+            for _ in range(k):
+                x = edited(rng, x, "abcdefgh")
+                y = edited(rng, y, "abcdefgh") if rng.random() < 0.6 else y
+            a, b = (*a, x), (*b, y)
+    return list(enumerate(a)), list(enumerate(b, 500))
+
+
+@pytest.mark.parametrize("limit,busy", [(2, 1000), (6, 1000), (6, 0), (6, 3)])
+def test_reconcile_of_long_texts_equals_brute_force(rows, limit, busy):
+    a, b = long_texts(random.Random(limit + busy))
+    fa, fb = ({t: i for i, t in reversed([(i, fold(t)) for i, t in side])} for side in (a, b))
+    want = [(fa[t], fb[t], 0) for t in fa if t in fb]
+    for x in fa.keys() - fb.keys():
+        for y in fb.keys() - fa.keys():
+            d = edits_within(x, y, limit)
+            want += [(fa[x], fb[y], d)] if d >= 0 else []
+    schema = "prompt_id long, prompt string"
+    got = reconcile(rows(schema, *a), rows(schema, *b), limit, busy=busy)
+    assert len(want) > 20 and collected(got, "id_a", "id_b", "distance") == sorted(want, key=repr)
+
+
+def test_long_texts_bring_few_keys(rows, monkeypatch):
+    """The keys of a text, probing for partners within 6 edits, do not grow with the places that edits can shift."""
+    counted = {}
+
+    def probed(texts, d, plain=reconcile_module._probed):
+        keys = plain(texts, d)
+        counted.update(keys=keys.count(), texts=texts.count())
+        return keys
+
+    monkeypatch.setattr(reconcile_module, "_probed", probed)
+    rng = random.Random(6)
+    texts = [(i, " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(200))) for i in range(20)]
+    schema = "prompt_id long, prompt string"
+    got = reconcile(rows(schema, *texts), rows(schema, *((i, t[3:] + "x") for i, t in texts)), 6)
+    assert collected(got, "id_a", "id_b") == [(i, i) for i in sorted(range(20), key=lambda i: repr((i, i)))]
+    assert counted["texts"] == 20 and counted["keys"] <= 2 * 20 * (6 * LOST + 1)
